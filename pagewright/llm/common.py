@@ -17,7 +17,7 @@ from pagewright.sources.tables import table
 PAGE_SCHEMA = (
     "page_id bigint, url string, title string, lang string, "
     "blocks array<struct<kind:string,level:int,marker:string,spans:array<struct<text:string,link:int,image:boolean>>,"
-    "cell_rows:array<array<array<struct<text:string>>>>>>"
+    "cell_rows:array<array<array<struct<text:string>>>>,caption:boolean>>"
 )
 
 #: Invisible characters that may hide within a word.
@@ -108,6 +108,7 @@ class Flat:
         self.span_block = owner
         texts = pc.fill_null(spans.field("text"), "")
         self.span_texts = texts.to_pylist()
+        self.span_linked = pc.is_valid(spans.field("link")).to_pylist()
         size = np.asarray(pc.utf8_length(texts)).astype(np.int64)
         link = np.asarray(pc.is_valid(spans.field("link")))
         image = np.asarray(pc.fill_null(spans.field("image"), False))
@@ -119,7 +120,9 @@ class Flat:
         st = self.span_texts
         self.span_starts = ends
         self.text = [st[a] if b - a == 1 else "".join(st[a:b]) for a, b in zip(ends, ends[1:])]
-        self.rows = blocks.field("cell_rows") if "cell_rows" in [f.name for f in blocks.type] else None
+        names = [f.name for f in blocks.type]
+        self.caption = pc.fill_null(blocks.field("caption"), False).to_pylist() if "caption" in names else [False] * count
+        self.rows = blocks.field("cell_rows") if "cell_rows" in names else None
 
     def table_text(self, b: int) -> str:
         """The cells of a table block: a line for each row, cells apart by a tab."""
