@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.llm import collapse, pack, repeats, segment, tokenize, unify
+from pagewright.llm import collapse, pack, repeats, segment, sitetree, tokenize, unify
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p3_found": repeats.found,
+        "p4_found": sitetree.found,
         "p3_pages": repeats.cleaned,
         "p5_found": segment.found,
         "p6_found": collapse.found,
