@@ -75,9 +75,12 @@ def count_block(text: str, kind: str, linked: int, common: frozenset[str], piece
         short += size < 40
         if kind in ("table", "pre", "hr"):
             continue
-        if broken or odd * 4 >= word_count or line.count(";") > 2 or line.count("|") > 1 or "\t" in line:
+        if broken or odd * 4 >= word_count or (line.count(";") + line.count("|")) * 40 > size or "\t" in line:
             continue
         if spaceless * 3 > n:
+            blanks = line.count(" ")
+            if blanks > 4 and size < 7 * blanks:  # single words in a row
+                continue
             sentence += size if size >= (30 if _THAI.search(line) else 18) or ends and size >= 8 else 0
             continue
         parts = line.lower().split()
@@ -87,7 +90,7 @@ def count_block(text: str, kind: str, linked: int, common: frozenset[str], piece
         if _HANGUL.search(line) or _CYRILLIC.search(line) or usual * 10 >= len(parts) or len(parts) < 10 and usual:
             if usual * 4 <= len(parts) * 3 and (ends or len(parts) >= 8):
                 sentence += size
-        elif ends and usual * 16 >= len(parts):
+        elif ends and len(parts) > 3 and not odd:
             sentence += size
     text_block = kind in ("p", "quote", "h")
     return n, sentence, len(lines), stopped, word_count, known, letters, digits, symbols, broken, separators, linked, short, n * (kind == "li"), n * (kind == "table"), n * (kind == "pre"), n * text_block, word_chars, odd
@@ -226,8 +229,8 @@ def probability(model: dict, x: np.ndarray) -> np.ndarray:
 def weak_labels(x: np.ndarray) -> np.ndarray:
     """1 prose, 0 structural junk, -1 no opinion: votes of structure rules."""
     s = dict(zip(STATS, x.T))
-    prose = (s["sentence_share"] > 0.62) & (s["text_share"] > 0.4) & (s["broken_share"] < 0.005) & (s["common_share"] < 0.7)
-    junk = (s["sentence_share"] < 0.38) | (s["broken_share"] > 0.03) | (s["common_share"] > 0.85) | (s["symbol_share"] > 0.3)
+    prose = (s["sentence_share"] > 0.54) & (s["broken_share"] < 0.005) & (s["common_share"] < 0.7)
+    junk = (s["sentence_share"] < 0.46) | (s["broken_share"] > 0.03) | (s["common_share"] > 0.85) | (s["symbol_share"] > 0.3)
     return np.where(junk & ~prose, 0, np.where(prose & ~junk, 1, -1))
 
 
