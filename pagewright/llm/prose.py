@@ -260,8 +260,8 @@ def bodies(b: pa.RecordBatch, low: sitetree.Low) -> np.ndarray:
     return np.array(out, bool)
 
 
-def batch_stats(b: pa.RecordBatch, low: sitetree.Low) -> np.ndarray:
-    body = bodies(b, low)
+def batch_stats(b: pa.RecordBatch, low: sitetree.Low, body: np.ndarray | None = None) -> np.ndarray:
+    body = bodies(b, low) if body is None else body
     counts = b.column("counts")
     values = np.asarray(counts.flatten()).reshape(-1, K)
     page = np.repeat(np.arange(b.num_rows), np.diff(np.asarray(counts.offsets)) // K)
