@@ -33,7 +33,7 @@ ALIKE = {
 #: The Cyrillic look-alike of a Latin letter, for words that are Cyrillic otherwise.
 ALIKE_CYRILLIC = {v: k for k, v in ALIKE.items() if "Ѐ" <= k <= "ӿ" and k not in "ԁԛԝӏҺһѕіјЅІЈ"}
 
-_DROP = {ord(c): None for c in INVISIBLE}
+_HIDDEN = re.compile(f"[{INVISIBLE}]")
 _LATIN = "A-Za-zÀ-ɏ"
 _OTHER = "Ͱ-ϿЀ-ԯ"
 _MIXED = re.compile(f"[{_LATIN}][{_OTHER}]|[{_OTHER}][{_LATIN}]")
@@ -59,15 +59,19 @@ def fold(text: str) -> str:
     """The ordinary form of a text: compatibility forms, invisible characters and look-alike letters undone."""
     if text.isascii():
         return text
-    text = unicodedata.normalize("NFKC", text).translate(_DROP)
+    text = _HIDDEN.sub("", unicodedata.normalize("NFKC", text))
     return _MIXED_WORD.sub(_unmix, text) if _MIXED.search(text) else text
 
 
+_LOWER = bytes(range(256)).lower()
+_NO_LETTERS = bytes(c for c in range(256) if not chr(c).isalpha() or c > 127)
 _NOT_LETTER = re.compile("[^\\wัิ-ฺ็-๎]+|[\\d_]+")
 
 
 def line_key(text: str) -> str:
     """What two lines must share to be the same line: their letters, in lower case, of the folded text; '' without letters."""
+    if text.isascii():
+        return text.encode().translate(_LOWER, _NO_LETTERS).decode()
     return _NOT_LETTER.sub("", fold(text).lower())
 
 

@@ -35,34 +35,46 @@ STATS = ("sentence_share", "text_share", "list_share", "table_share", "code_shar
 RIDGE = 1.0
 MODEL = Path(__file__).with_name("prose_model.json")
 
-_STOP_END = re.compile("[.!?…。！？][”’\"'»“」』）)\\]]*\\s*$")
+_STOPS = frozenset(".!?…。！？")
+_CLOSERS = " \t\r\xa0”’\"'»“」』）)]"
 _LETTERS = re.compile(r"[^\W\d_]+")
 _DIGITS = re.compile(r"\d+")
-_SYMBOLS = re.compile(r"[^\w\s.,;:!?'\"()…、。，！？「」“”„«»¿¡·—–（）’\-฀-๿̀-゙゚ͯ]")
+_SYMBOLS = re.compile(r"[^\w\s.,;:!?'\"()…、。，！？「」“”„«»¿¡·—–（）’\-฀-๿̀-゙゚ͯ]")
 _BROKEN = re.compile("[ÃÂÐÑÒØÙãäåæçèéêëìíïâ][¤-¿]|[à-ï]¤|�")
-_ODD = re.compile("(?i)[bcdfghjklmnpqrstvwxz]{5}|[бвгджзклмнпрстфхцчшщ]{5}|[a-z]\\d+[a-z]+\\d")
-_CYRILLIC = re.compile("[а-яё]")
-_SEPARATORS = re.compile(r"[;|\t]|\s[·/]\s")
-_SPACELESS = re.compile("[぀-ヿ㐀-鿿฀-๿]")
+_ODD = re.compile("[bcdfghjklmnpqrstvwxz]{5}|[бвгджзклмнпрстфхцчшщ]{5}|[a-z]\\d+[a-z]+\\d")
+_SPACELESS = re.compile("[぀-ヿ㐀-鿿฀-๿]+")
 _THAI = re.compile("[฀-๿]")
-_HANGUL = re.compile("[가-힣]")
+_BLANKLESS_FORM = re.compile("[가-힣а-яё]")
+
+# sets of ASCII characters, for counting by deletion
+_NO_LETTER = bytes(c for c in range(128) if not chr(c).isalpha())
+_NO_DIGIT = bytes(c for c in range(128) if not chr(c).isdigit())
+_NO_SYMBOL = bytes(c for c in range(128) if not _SYMBOLS.match(chr(c)))
 
 
 def count_block(text: str, kind: str, linked: int, common: frozenset[str], pieces: re.Pattern | None) -> tuple[int, ...]:
     """COUNTS of one block's text."""
     n = len(text)
-    words = text.lower().split()
+    low = text.lower()
+    words = low.split()
     word_count = len(words)
     known = sum(map(common.__contains__, words))
-    letters = sum(map(len, _LETTERS.findall(text)))
-    digits = sum(map(len, _DIGITS.findall(text)))
-    symbols = len(_SYMBOLS.findall(text))
-    broken = 0 if text.isascii() else len(_BROKEN.findall(text))
-    separators = len(_SEPARATORS.findall(text))
-    spaceless = 0 if text.isascii() else len(_SPACELESS.findall(text))
-    odd = len(_ODD.findall(text))
     word_chars = sum(map(len, words))
-    if spaceless * 3 > n:  # a script without blanks: two characters count as a word
+    if text.isascii():
+        raw = text.encode()
+        letters, digits, symbols = len(raw.translate(None, _NO_LETTER)), len(raw.translate(None, _NO_DIGIT)), len(raw.translate(None, _NO_SYMBOL))
+        broken = spaceless = 0
+    else:
+        letters = sum(map(len, _LETTERS.findall(text)))
+        digits = sum(map(len, _DIGITS.findall(text)))
+        symbols = len(_SYMBOLS.findall(text))
+        broken = len(_BROKEN.findall(text))
+        spaceless = sum(map(len, _SPACELESS.findall(text)))
+    separators = text.count(";") + text.count("|") + text.count("\t") + text.count(" · ") + text.count(" / ")
+    # odd letter sequences are looked for where few words are common ones
+    odd = len(_ODD.findall(low)) if known * 12 < word_count else 0
+    blankless = spaceless * 3 > n
+    if blankless:  # a script without blanks: two characters count as a word
         word_count = max(word_count, n // 2)
         if pieces is not None:
             known += len(pieces.findall(text))
@@ -70,30 +82,31 @@ def count_block(text: str, kind: str, linked: int, common: frozenset[str], piece
     stopped = short = sentence = 0
     for line in lines:
         size = len(line)
-        ends = _STOP_END.search(line) is not None
-        stopped += ends
         short += size < 40
-        if kind in ("table", "pre", "hr"):
+        end = line.rstrip(_CLOSERS)
+        ends = end[-1:] in _STOPS and end != ""
+        stopped += ends
+        if kind == "table" or kind == "pre" or broken or odd * 4 >= word_count:
             continue
-        if broken or odd * 4 >= word_count or (line.count(";") + line.count("|")) * 40 > size or "\t" in line:
+        if separators and ((line.count(";") + line.count("|")) * 40 > size or "\t" in line):
             continue
-        if spaceless * 3 > n:
+        if blankless:
             blanks = line.count(" ")
             if blanks > 4 and size < 7 * blanks:  # single words in a row
                 continue
-            sentence += size if size >= (30 if _THAI.search(line) else 18) or ends and size >= 8 else 0
+            if ends and size >= 8 or size >= 18 and (size >= 30 or not _THAI.search(line)):
+                sentence += size
             continue
-        parts = line.lower().split()
-        if len(parts) < 3:
+        parts = words if len(lines) == 1 else line.lower().split()
+        count = len(parts)
+        if count < 3 or not ends and count < 8:
             continue
-        usual = sum(map(common.__contains__, parts))
-        if _HANGUL.search(line) or _CYRILLIC.search(line) or usual * 10 >= len(parts) or len(parts) < 10 and usual:
-            if usual * 4 <= len(parts) * 3 and (ends or len(parts) >= 8):
-                sentence += size
-        elif ends and len(parts) > 3 and not odd:
+        usual = known if len(lines) == 1 else sum(map(common.__contains__, parts))
+        if usual * 4 > count * 3:
+            continue
+        if usual * 10 >= count or count < 10 and usual or ends and count > 3 and not odd or _BLANKLESS_FORM.search(line.lower()):
             sentence += size
-    text_block = kind in ("p", "quote", "h")
-    return n, sentence, len(lines), stopped, word_count, known, letters, digits, symbols, broken, separators, linked, short, n * (kind == "li"), n * (kind == "table"), n * (kind == "pre"), n * text_block, word_chars, odd
+    return n, sentence, len(lines), stopped, word_count, known, letters, digits, symbols, broken, separators, linked, short, n * (kind == "li"), n * (kind == "table"), n * (kind == "pre"), n * (kind in ("p", "quote", "h")), word_chars, odd
 
 
 _ASIAN = ("ja", "zh", "th")

@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.llm import collapse, pack, prose, repeats, segment, sitetree, tokenize, unify
+from pagewright.llm import collapse, language, pack, prose, repeats, segment, sitetree, tokenize, unify
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": prose.found,
         "p1_statistics": prose.page_statistics,
+        "p2_found": language.found,
+        "p2_languages": language.page_languages,
         "p3_found": repeats.found,
         "p4_found": sitetree.found,
         "p3_pages": repeats.cleaned,
