@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.llm import collapse, language, pack, prose, repeats, segment, sitetree, tokenize, unify
+from pagewright.llm import collapse, language, pack, prose, repeats, residue, segment, sitetree, tokenize, unify
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_statistics": prose.page_statistics,
         "p2_found": language.found,
         "p2_languages": language.page_languages,
+        "p10_found": residue.found,
+        "p10_reasons": residue.reasons,
         "p3_found": repeats.found,
         "p4_found": sitetree.found,
         "p3_pages": repeats.cleaned,
