@@ -27,10 +27,14 @@ from pagewright.sources.tables import table
 
 #: A document with more characters than this beside menu words is more than a message.
 MESSAGE_CHARS = 320
+#: A message with its menu words has fewer characters than this.
+RESPONSE_CHARS = 800
 #: A low-information response is duplicated from so many addresses on, of so many hosts.
 ADDRESSES, HOSTS = 3, 2
 #: A document is filler if this part of its words or sentences is.
 FILLER = 0.6
+#: Filler repeats itself: it has no more distinct sentences, or words of one phrase, than this.
+DISTINCT = 12
 
 # ---- places of a template ---------------------------------------------------------------------------------------
 
@@ -45,15 +49,17 @@ _PLACE = re.compile(
     re.I | re.X,
 )
 _CASED = re.compile(r"^(?:__|<[A-Za-z]|\$[A-Za-z])")
-_MAYBE_PLACE = re.compile(r"[{}%$@#\[【○〇]|__|<[A-Z]{2}")
+#: How each of them begins.
+_BEGIN = re.compile(r"\{[{%\d]|\$[{A-Z]|<[%A-Z]|%[(%sd]|__[A-Z]|\[|@@|\#\{|【|[○〇]{2}")
 
 
 def places(text: str) -> list[str]:
     """The places of a template left unfilled, outside code."""
-    if not _MAYBE_PLACE.search(text):
+    if not _BEGIN.search(text):
         return []
     bare = _CODE.sub(" ", text) if "`" in text else text
-    return [m for m in _PLACE.findall(bare) if not _CASED.match(m) or m.upper() == m]
+    found_ = (_PLACE.match(bare, b.start()) for b in _BEGIN.finditer(bare))
+    return [m.group() for m in found_ if m and (not _CASED.match(m.group()) or m.group().upper() == m.group())]
 
 
 # ---- filler -----------------------------------------------------------------------------------------------------
@@ -91,21 +97,23 @@ def _periodic(tokens: list[str]) -> bool:
 
 def filler(text: str) -> bool:
     """Whether the text below its headings is stock Latin or one sentence over and over."""
-    body = [x for x in text.split("\n") if x.strip() and not x.lstrip().startswith("#")]
+    body = [x for x in text.split("\n") if x and not x.isspace() and not x.lstrip().startswith("#")]
     if not body:
         return False
     joined = " ".join(body)
-    if _periodic(joined.lower().split()):
+    low = joined.lower()
+    tokens = low.split()
+    if len(set(tokens)) <= DISTINCT and _periodic(tokens):
         return True
-    words = _WORD.findall(joined.lower())
+    words = _WORD.findall(low) if any(w in low for w in ("ipsum", "lorem", "dolor", "amet")) else []
     if len(words) >= 5:
         stock = [w for w in words if w[:4] in _LATIN]
         if len(stock) >= FILLER * len(words) and len(set(stock)) >= 4:
             return True
-    said = [s.strip() for x in body for s in _SENTENCE.findall(x) if len(s.strip()) > 3]
-    if not said:
-        return False
+    said = [t for x in body for s in _SENTENCE.findall(x) if len(t := s.strip()) > 3]
     times = Counter(said)
+    if not said or len(times) > DISTINCT:
+        return False
     stock_chars = sum(len(s) * n for s, n in times.items() if _STOCK.search(s))
     total = sum(len(s) * n for s, n in times.items())
     if stock_chars >= FILLER * total:
@@ -143,7 +151,15 @@ _ADDRESS = re.compile(
     |ください|申し訳|请|抱歉|주세요|죄송|โปรด|กรุณา|ขออภัย|\b[45]\d\d\b""",
     re.X,
 )
+#: Every message holds one of these.
+_STEMS = """found trouv trovat encontr gefunden найден страницы 見つか 存在 찾을 ไม่พบ error erro fehler ошибка エラー 错误 오류 ข้อผิดพลาด server denied
+    permission human robot captcha session sign log unavailable time-out timeout gateway request maintenance wrong available removed moved
+    indispon verfügbar erreichbar disponi недоступ работы позже しばらく メンテ サーバ ただいま 服务器 系统 稍后 找不到 页面 서비스 점검 잠시 ระบบ ลองใหม่
+    ปิดปรับปรุง script スクリプト 스크립트 cookies access accès acceso acesso accesso zugriff доступ アクセス 访问 拒绝 접근 액세스 ปฏิเสธ สิทธิ์ abgelaufen expir
+    caducado scaduta сеанс セッション 会话 세션 เซสชัน again exist gone payment unauthori implemented method stack exception traffic subscribers
+    look allowed authori can't can’t cant down slow forbidden nothing""".split()
 _RULE = re.compile(r"^[\W_]*$")
+_BAR = re.compile(r"\s*[|·•›»]\s*")
 _LEGAL = re.compile(r"^\W*(?:©|\(c\)\s|copyright\b)", re.I)
 _END = re.compile(r"[.!?。！？…]\W*$")
 _CLAIM = re.compile(r"\w/\d+(?:\.\d+)*$")
@@ -151,21 +167,27 @@ _CLAIM = re.compile(r"\w/\d+(?:\.\d+)*$")
 
 def _remaining(text: str) -> tuple[list[str], bool]:
     """The lines beside menu words, rules and legal lines; whether a heading is among them."""
-    out, title = [], False
+    out, title, size = [], False, 0
     for line in text.split("\n"):
         line = line.strip()
         if not line or _RULE.match(line) or _LEGAL.match(line):
             continue
-        parts = [x for x in re.split(r"\s*[|·•›»]\s*", line) if x.strip()]
+        parts = [x for x in _BAR.split(line) if x.strip()] if _BAR.search(line) else []
         if len(parts) >= 3 and all(len(x.split()) <= 4 and len(x) < 30 for x in parts):
             continue
         title = title or line.startswith("#")
         out.append(line)
+        size += len(line)
+        if title or size > MESSAGE_CHARS:
+            return [], True
     return out, title
 
 
 def message(lines: list[str]) -> bool:
     """Whether the remaining lines are a message, with no more than a few menu words besides."""
+    low = "\n".join(lines).lower()
+    if not any(stem in low for stem in _STEMS):
+        return False
     told = [x for x in lines if _MESSAGE.search(x)]
     if not told:
         return False
@@ -203,9 +225,9 @@ def signs(documents: DataFrame) -> DataFrame:
             for doc_id, raw, url in zip(*(c.to_pylist() for c in b.columns)):
                 if not raw or raw.isspace():
                     continue
-                text = raw if raw.isascii() else fold(raw)
+                text = fold(raw) if len(raw) < RESPONSE_CHARS else raw
                 place = bool(places(text))
-                lines, title = _remaining(text) if len(text) < 4 * MESSAGE_CHARS else ([], True)
+                lines, title = _remaining(text) if len(raw) < RESPONSE_CHARS else ([], True)
                 low = bool(lines) and not title and sum(map(len, lines)) <= MESSAGE_CHARS
                 said = low and message(lines)
                 speaks = mismatch = False
