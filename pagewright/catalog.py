@@ -6,16 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pagewright import catalog_blocks, catalog_state, catalog_text, catalog_urls
+from pagewright.operators.markdown import markdown
+from pagewright.sources.tables import FULL_BLOCKS, table
+
+_PARTS = (catalog_urls, catalog_blocks, catalog_text, catalog_state)
 
-def flagship(spark: SparkSession, data_dir: str) -> DataFrame:
-    from pagewright.sources.tables import table
 
-    return table(spark, data_dir, "page_docs").select("page_id", "url", "title")
+def flagship(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Every page as Markdown, once."""
+    pages = table(spark, data_dir, "page_docs", f"page_id bigint, url string, title string, {FULL_BLOCKS}, links array<string>")
+    return markdown(pages).dropDuplicates(["page_id"])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    out: dict[str, Callable[[SparkSession, str], DataFrame]] = {"page_markdown": flagship}
+    for part in _PARTS:
+        out |= part.QUERIES
+    return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for part in _PARTS for k, v in part.SQL.items()}

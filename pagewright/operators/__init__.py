@@ -1 +1 @@
-
+"""Operators over pages, blocks, items and documents."""
