@@ -6,7 +6,7 @@ repeat their content, so a page's rows are the same whichever delivery they come
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -35,7 +35,9 @@ def page_blocks(pages: DataFrame, *more: str) -> DataFrame:
     return out.withColumn("text", block_text(F.col("spans"), F.col("rows"))).dropDuplicates(["page_id", "pos"])
 
 
-PAGE = W.partitionBy("page_id").orderBy("pos")
+def in_page() -> WindowSpec:
+    """A page's blocks in their order."""
+    return W.partitionBy("page_id").orderBy("pos")
 
 
 def linked_chars(spans: Column, images: bool = True) -> Column:
@@ -71,7 +73,7 @@ def dedupe(blocks: DataFrame, window: int = 10) -> DataFrame:
     best = F.min(F.when(F.col("hit") & (F.col("kind") == "h"), F.struct("level", "pos"))).over(per_page)
     b = b.withColumn("best", best["pos"])
     b = b.where(~F.col("hit") | (F.col("hits") < 2) | (F.col("pos") == F.col("best")))
-    before = F.lag("norm").over(PAGE)
+    before = F.lag("norm").over(in_page())
     return b.withColumn("before", before).where(F.col("before").isNull() | (F.col("norm") == "") | (F.col("norm") != F.col("before"))).drop("hit", "hits", "best", "before", "norm")
 
 
@@ -93,8 +95,8 @@ def sections(blocks: DataFrame) -> DataFrame:
     b = blocks.withColumn("tail", tail)
     inside = F.lit(False)
     for level in range(1, 7):
-        last_close = F.max(F.when((F.col("kind") == "h") & (F.col("level") <= level), F.col("pos"))).over(PAGE)
-        last_tail = F.max(F.when(F.col("tail") & (F.col("level") == level), F.col("pos"))).over(PAGE)
+        last_close = F.max(F.when((F.col("kind") == "h") & (F.col("level") <= level), F.col("pos"))).over(in_page())
+        last_tail = F.max(F.when(F.col("tail") & (F.col("level") == level), F.col("pos"))).over(in_page())
         inside = inside | F.coalesce(last_tail == last_close, F.lit(False))
     return b.withColumn("in_tail", inside).drop("tail")
 

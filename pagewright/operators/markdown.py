@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagewright.functions import text as X
-from pagewright.operators.blocks import PAGE
+from pagewright.operators.blocks import in_page
 
 
 
@@ -52,7 +52,7 @@ def block_markdown(kind: Column, level: Column, marker: Column, spans: Column, r
 
 def markdown_blocks(blocks: DataFrame) -> DataFrame:
     """(page_id, pos, gap, md): each block's Markdown and whether an empty line stands before it."""
-    before = F.lag("kind").over(PAGE)
+    before = F.lag("kind").over(in_page())
     gap = before.isNotNull() & ~((before == "li") & (F.col("kind") == "li"))
     md = block_markdown(F.col("kind"), F.col("level"), F.col("marker"), F.col("spans"), F.col("rows"))
     return blocks.select("page_id", "pos", gap.alias("gap"), F.coalesce(md, F.lit("")).alias("md"))
@@ -78,7 +78,7 @@ def indents(blocks: DataFrame, step: int = 2, most: int = 8) -> DataFrame:
     rank = heads.withColumn("rank", F.row_number().over(W.partitionBy("page_id").orderBy("level")) - 1)
     b = blocks.select("page_id", "pos", "kind", "level").join(rank, ["page_id", "level"], "left")
     own = F.when(F.col("kind") == "h", F.col("rank"))
-    last = F.last(own, ignorenulls=True).over(PAGE)
+    last = F.last(own, ignorenulls=True).over(in_page())
     below = F.when(last.isNull(), 0).otherwise(F.least((last + 1) * step, F.lit(most)))
     return b.select("page_id", "pos", F.when(F.col("kind") == "h", F.least(F.col("rank") * step, F.lit(most))).otherwise(below).cast("int").alias("indent"))
 

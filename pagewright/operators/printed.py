@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -11,7 +11,11 @@ from pagewright.functions.text import strip
 # fixed values: signs that end a sentence at a line's end, and the length of a line that fills its column
 SENTENCE_END = r"[。.．！!？?：:」』）)]$"
 SHORT_LINE = 40
-LINE = W.partitionBy("doc_id").orderBy("line_no")
+
+
+def in_document() -> WindowSpec:
+    """A document's lines in their order."""
+    return W.partitionBy("doc_id").orderBy("line_no")
 
 
 def lines(documents: DataFrame) -> DataFrame:
@@ -29,7 +33,7 @@ def hyphens(documents: DataFrame) -> DataFrame:
     """(doc_id, line_no, left, right, joined): words parted at a line end before a small letter; joined if the document
     has the whole word elsewhere, else the hyphen stays."""
     ls = lines(documents)
-    nxt = ls.withColumn("below", F.lead("line").over(LINE))
+    nxt = ls.withColumn("below", F.lead("line").over(in_document()))
     cut = nxt.withColumn("left", F.regexp_extract("line", "([A-Za-z]+)-$", 1)).withColumn("right", F.regexp_extract("below", "^([a-z][A-Za-z]*)", 1)).where("left <> '' AND right <> ''")
     cut = cut.withColumn("word", F.lower(F.concat("left", "right")))
     return cut.join(vocabulary(documents).withColumn("known", F.lit(True)), ["doc_id", "word"], "left").select("doc_id", "line_no", "left", "right", F.when(F.col("known"), F.concat("left", "right")).otherwise(F.concat("left", F.lit("-"), "right")).alias("joined"))
@@ -39,10 +43,10 @@ def paragraphs(documents: DataFrame) -> DataFrame:
     """(doc_id, par_no, text): lines joined, by a blank between ASCII characters; broken at empty lines and after a
     short line that ends a sentence."""
     ls = lines(documents).withColumn("line", strip(F.col("line")))
-    before = F.lag("line").over(LINE)
+    before = F.lag("line").over(in_document())
     new = before.isNull() | (before == "") | ((F.length(before) < SHORT_LINE) & before.rlike(SENTENCE_END))
     ls = ls.withColumn("before", before).withColumn("new", new)
-    ls = ls.withColumn("par", F.sum((F.col("new") & (F.col("line") != "")).cast("int")).over(LINE)).where("line <> ''")
+    ls = ls.withColumn("par", F.sum((F.col("new") & (F.col("line") != "")).cast("int")).over(in_document())).where("line <> ''")
     gap = F.when(F.col("before").rlike(r"[\x00-\x7F]$") & F.col("line").rlike(r"^[\x00-\x7F]") & ~F.col("new"), F.lit(" ")).otherwise(F.lit(""))
     p = ls.groupBy("doc_id", "par").agg(F.array_sort(F.collect_list(F.struct("line_no", F.concat(gap, "line").alias("t")))).alias("l"))
     return p.select("doc_id", (F.col("par") - 1).alias("par_no"), F.array_join(F.transform("l", lambda x: x["t"]), "").alias("text"))
