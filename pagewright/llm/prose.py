@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pagewright.llm import sitetree
 from pagewright.llm.common import PAGE_SCHEMA, Flat, pages
+from pagewright.llm.repeats import CACHE
 from pagewright.plans.stages import materialize
 from pagewright.sources.tables import table
 
@@ -124,6 +125,10 @@ def _pattern(p: str) -> re.Pattern | None:
     return re.compile(p) if p else None
 
 
+_short_blocks: dict[tuple, tuple[int, ...]] = {}
+_NOTHING = (0,) * K
+
+
 class CountExtra:
     """Adds ``counts`` (COUNTS of every block, one after another) to the analysis of pages."""
 
@@ -136,10 +141,21 @@ class CountExtra:
         pattern = _pattern(self.pieces)
         linked = flat.linked.tolist()
         out: list[tuple[int, ...]] = []
+        short = _short_blocks
+        if len(short) > CACHE:
+            short.clear()
         for i, (kind, text) in enumerate(zip(flat.kind, flat.text)):
             if kind == "table" and not text:
                 text = flat.table_text(i)
-            out.append(count_block(text, kind or "p", linked[i], self.words, pattern) if text else (0,) * K)
+            if not text:
+                out.append(_NOTHING)
+            elif len(text) < 80:  # menus and prompts recur
+                known = short.get((text, kind, linked[i]))
+                if known is None:
+                    known = short[text, kind, linked[i]] = count_block(text, kind or "p", linked[i], self.words, pattern)
+                out.append(known)
+            else:
+                out.append(count_block(text, kind or "p", linked[i], self.words, pattern))
         values = np.array(out, np.int32).reshape(-1)
         return [pa.ListArray.from_arrays(pa.array((flat.starts * K).astype(np.int32)), pa.array(values))]
 
