@@ -40,8 +40,8 @@ _SEPARATOR = r"\s*[|｜¦]\s*|\s+[·•:：‧∙»›>/\-‐‑‒–—―]+\s
 
 
 def words(c: Column) -> Column:
-    """The words of a text in lower case (of their upper case, so that ß meets SS), one blank between them."""
-    low = F.translate(F.lower(F.upper(c)), "ς", "σ")
+    """The words of a text in lower case (ß as ss, its form in capitals), one blank between them."""
+    low = F.translate(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), "ς", "σ")
     return F.trim(F.regexp_replace(low, _BETWEEN, " "))
 
 

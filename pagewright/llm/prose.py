@@ -275,6 +275,7 @@ def analysed(page_docs: DataFrame, sites: DataFrame, common_words: DataFrame) ->
     """The structure of pages with the counts of their blocks, and what decides their bodies."""
     words, pieces = common_sets(common_words.select("lang", "word").limit(100_000).collect())
     extra = CountExtra(words, pieces)
+    page_docs = page_docs.select("page_id", "url", "title", "blocks")
     structured = materialize(sitetree.analyse(page_docs, sitetree.site_names(sites), extra, extra.FIELDS), "statistics")
     return sitetree.with_low(structured, sitetree.low_contents(structured, sites))
 

@@ -64,8 +64,8 @@ INSIDE = [
 BRACKET = [_no(r"[^\s.!?…。！？]\s*[(（][^()（）]*[)）]")]
 
 ENGLISH = [
-    _no(_short("Mr Mrs Ms Dr Prof Rev Gen Col Capt Lt Sgt Gov Sen Rep St Mt Ft Messrs vs Vol vol Ch ch Sec sec approx Approx ed eds cf Cf al"), r"\s?\S"),
-    _no(_short("fig Fig figs Figs p pp No no nos Nos Art art Eq eq Ver v"), r"\s?[\d(IVX]"),
+    _no(_short("Mr Mrs Ms Dr Prof Rev Gen Col Capt Lt Sgt Gov Sen Rep St Mt Ft Messrs vs approx Approx eds cf Cf"), r"\s?\S"),
+    _no(_short("fig Fig figs Figs p pp No no nos Nos Art art Eq eq Ver v Vol vol Ch ch chap cap Cap Sec sec hab tel Tel"), r"\s?(?:[\d(]|[IVXLC]+\b)"),
     _no(r"(?<!\w)(?:e\.\s?g|i\.\s?e)\.", ""),
     _no(r"(?<!\w)[eiap]\.", r"\s?[gem]\."),
 ]
@@ -76,22 +76,22 @@ GERMAN = [
     _no(r"(?<![\w.,])\d{1,2}\.", r"\s?(?:Januar|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember|Jahrhundert|Jh|Jahrestag|Geburtstag|Klasse|Stock|Auflage|Kapitel|Woche|Tag|Platz|Mal)\b"),
 ]
 FRENCH = [
-    _no(_short("M MM Mme Mlle Dr Pr Me St Ste av Av bd Bd boul env Env cf Cf vol éd chap art hab fig Fig"), r"\s?\S"),
+    _no(_short("M MM Mme Mlle Dr Pr Me St Ste av Av bd Bd boul env Env cf Cf éd fig Fig"), r"\s?\S"),
     _no(_short("p pp n no tél"), r"\s?[\d(]"),
     _no(r"(?<!\w)p\.", r"\s?ex\."),
     _no(r"(?<!\w)c\.?-à-d\.|(?<!\w)c\.", r"\s?\S"),
 ]
 SPANISH = [
-    _no(_short("Sr Sra Srta Sres Dr Dra D Dña Ud Uds Avda Av Avd Gral Lic Ing Prof núm Núm pág págs Pág fig Fig cap vol aprox Aprox tel Tel art cf"), r"\s?\S"),
+    _no(_short("Sr Sra Srta Sres Dr Dra D Dña Ud Uds Avda Av Avd Gral Lic Ing Prof núm Núm pág págs Pág fig Fig aprox Aprox cf"), r"\s?\S"),
     _no(r"(?<!\w)p\.", r"\s?(?:ej|m)\."),
     _no(r"\bEE\.", r"\s?UU\."),
 ]
 PORTUGUESE = [
-    _no(_short("Sr Sra Srs Dr Dra Drs D Prof Profa Av R Eng Exmo núm pág págs Pág fig Fig cap vol aprox Aprox tel Tel art cf séc"), r"\s?\S"),
+    _no(_short("Sr Sra Srs Dr Dra Drs D Prof Profa Av R Eng Exmo núm pág págs Pág fig Fig aprox Aprox cf séc"), r"\s?\S"),
     _no(r"(?<!\w)p\.", r"\s?ex\."),
 ]
 ITALIAN = [
-    _no(_short("sig Sig dott Dott prof Prof ing avv Avv on p.zza v.le c.so pag pagg Pag fig Fig cap vol ca Ca cfr Cfr tel Tel art sec n nn N"), r"\s?\S"),
+    _no(_short("sig Sig dott Dott prof Prof ing avv Avv p.zza v.le c.so pag pagg Pag fig Fig ca Ca cfr Cfr n nn N"), r"\s?\S"),
     _no(r"(?<!\w)(?:[Ss]ig|[Dd]ott|[Pp]rof)\.", r"(?:ra|na|ssa)\b"),
     _no(r"(?<!\w)p\.", r"(?:zza|le|es)\b|\s?es\."),
 ]
