@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright import catalog_blocks, catalog_state, catalog_text, catalog_urls
+from pagewright import catalog_blocks, catalog_html, catalog_state, catalog_text, catalog_urls
 from pagewright.operators.markdown import markdown
 from pagewright.sources.tables import FULL_BLOCKS, table
 
-_PARTS = (catalog_urls, catalog_blocks, catalog_text, catalog_state)
+_PARTS = (catalog_urls, catalog_blocks, catalog_html, catalog_text, catalog_state)
 
 
 def flagship(spark: SparkSession, data_dir: str) -> DataFrame:
