@@ -65,6 +65,7 @@ def fold(text: str) -> str:
 
 _LOWER = bytes(range(256)).lower()
 _NO_LETTERS = bytes(c for c in range(256) if not chr(c).isalpha() or c > 127)
+_SIGNS = re.compile("[№™℃℉℠℡]")  # signs whose compatibility form is letters
 _NOT_LETTER = re.compile("[^\\wัิ-ฺ็-๎]+|[\\d_]+")
 
 
@@ -72,7 +73,7 @@ def line_key(text: str) -> str:
     """What two lines must share to be the same line: their letters, in lower case, of the folded text; '' without letters."""
     if text.isascii():
         return text.encode().translate(_LOWER, _NO_LETTERS).decode()
-    return _NOT_LETTER.sub("", fold(text).lower())
+    return _NOT_LETTER.sub("", fold(_SIGNS.sub("", text)).casefold())
 
 
 _HOST = re.compile(r"^\s*(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", re.I)

@@ -77,7 +77,7 @@ def build_sql(only_altered: bool = False, source: str = "batch") -> str:
     mapped AS (SELECT * EXCLUDE level, CASE WHEN level = 2 THEN {steps} ELSE text END AS t, level FROM seen{" WHERE level > 0" if only_altered else ""}),
     spelled AS (
         SELECT * EXCLUDE (t, level), CASE WHEN level > 0 AND regexp_matches(t, '{mixed}') THEN
-            array_to_string(list_transform(regexp_extract_all(t, '[\\p{{L}}\\p{{M}}]+|[^\\p{{L}}\\p{{M}}]+'), lambda w: {word}), '')
+            nfc_normalize(array_to_string(list_transform(regexp_extract_all(t, '[\\p{{L}}\\p{{M}}]+|[^\\p{{L}}\\p{{M}}]+'), lambda w: {word}), ''))
             ELSE t END AS unified
         FROM mapped)
     SELECT record, record_id, pos, span_pos, text, unified, unified IS DISTINCT FROM text AS altered

@@ -24,6 +24,7 @@ def test_hosts(url, host):
 
 def test_line_keys():
     assert line_key("Terms · of USE (12)!") == line_key("terms of use") == "termsofuse"
+    assert line_key("ZWEI STRASSEN") == line_key("zwei Straßen™")
     assert line_key("Ｔｅrms o​f usе") == "termsofuse"
     assert line_key("— 12 —") == line_key("") == ""
     assert fold("café") == "café"
