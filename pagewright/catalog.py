@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pagewright import catalog_blocks, catalog_html, catalog_state, catalog_text, catalog_urls
 from pagewright.operators.markdown import markdown
+from pagewright.plans.stages import once
 from pagewright.sources.tables import FULL_BLOCKS, table
 
 _PARTS = (catalog_urls, catalog_blocks, catalog_html, catalog_text, catalog_state)
@@ -16,7 +17,7 @@ _PARTS = (catalog_urls, catalog_blocks, catalog_html, catalog_text, catalog_stat
 def flagship(spark: SparkSession, data_dir: str) -> DataFrame:
     """Every page as Markdown, once."""
     pages = table(spark, data_dir, "page_docs", f"page_id bigint, url string, title string, {FULL_BLOCKS}, links array<string>")
-    return markdown(pages).dropDuplicates(["page_id"])
+    return markdown(once(pages, "page_id"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.functions import text as X
+from pagewright.functions import urls as U
 from pagewright.operators import blocks as B
 from pagewright.operators import markdown as M
+from pagewright.operators import selection as S
 from pagewright.sources.tables import FULL_BLOCKS, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -351,3 +353,35 @@ def find_in_page(spark, d):
     lines = _blocks(spark, d).select("page_id", "pos", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     hit = lines.where(F.contains(F.lower("line"), F.lit("cookie")))
     return hit.select("page_id", F.col("pos").cast("bigint"), F.col("line_no").cast("bigint"), F.row_number().over(W.partitionBy("page_id").orderBy("pos", "line_no")).cast("bigint").alias("hit_no"))
+
+
+@_query()
+def select_by_reference(spark, d):
+    """The blocks of a page that its reference text covers."""
+    b = _blocks(spark, d)
+    return S.selected(b, _reference(b.withColumn("norm", X.norm(F.col("text"))))).select("page_id", F.col("pos").cast("bigint"))
+
+
+@_query()
+def prefer_own_decision(spark, d):
+    """Whether a page's own extraction is preferred to one of its quotes only."""
+    b = _blocks(spark, d).where("kind IN ('p', 'li', 'quote')")
+    s = b.select("page_id", "kind", F.explode(X.prose_sentences(F.col("text"))).alias("sentence"))
+    out = S.prefer_own(s.select("page_id", "sentence"), s.where("kind = 'quote'").select("page_id", "sentence"))
+    return out.select("page_id", F.col("own_chars").cast("bigint"), F.col("other_chars").cast("bigint"), F.col("common_chars").cast("bigint"), "prefer")
+
+
+@_query(
+    f"""WITH {BLOCKS}, l AS (SELECT page_id, unnest(range(len(links))) AS link, unnest(links) AS url FROM d),
+    hit AS (SELECT l.page_id, l.link FROM l JOIN sites ON sites.lang <> 'en' AND (lower(regexp_extract(url, '://([^/?#:]*)', 1)) = sites.host OR ends_with(lower(regexp_extract(url, '://([^/?#:]*)', 1)), '.' || sites.host))),
+    s AS (SELECT page_id, pos, kind, unnest(spans) AS s FROM blk),
+    t AS (SELECT s.page_id, s.pos, s.kind, hit.link IS NOT NULL AS hit, {_solid("coalesce(s.s.text, '')")} = 0 AS blank FROM s LEFT JOIN hit ON hit.page_id = s.page_id AND hit.link = s.s.link),
+    g AS (SELECT page_id, pos, any_value(kind) AS kind, bool_and(hit OR blank) AS only_, count(*) FILTER (WHERE hit) AS hits FROM t GROUP BY page_id, pos)
+    SELECT page_id, pos, kind IN ('p', 'li', 'quote') AND only_ AS removed, CAST(CASE WHEN kind IN ('p', 'li', 'quote') AND only_ THEN 0 ELSE hits END AS BIGINT) AS unlinked FROM g WHERE hits > 0"""
+)
+def listed_links_cleaned(spark, d):
+    """Pages without links to listed hosts (here those of one half of the sites): blocks removed, spans unlinked."""
+    hosts = table(spark, d, "sites").where("lang <> 'en'").select(F.col("host").alias("suffix"))
+    links = _pages(spark, d, "page_id bigint, links array<string>").select("page_id", F.posexplode("links").alias("link", "url"))
+    listed = links.select("page_id", "link", F.explode(U.host_suffixes(U.host(F.col("url")))).alias("suffix")).join(hosts, "suffix").select("page_id", "link")
+    return S.cleaned(_blocks(spark, d), listed).select("page_id", F.col("pos").cast("bigint"), "removed", "unlinked")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagewright.operators import state as S
+from pagewright.plans.stages import stage_dir
 from pagewright.sources.tables import table
 from pagewright.streaming import visits as V
 
@@ -181,3 +183,19 @@ def streamed_history(spark, d):
 def streamed_unique_items(spark, d):
     """Items once, duplicates dropped within the watermark of their delivery."""
     return V.unique_stream(spark, f"{d}/items.parquet")
+
+
+@_query(f"SELECT kind, target, coalesce(title, '') AS title, coalesce(time_s, 0.0) AS time FROM {_I} WHERE list_name = 'bookmarks' AND target <> ''")
+def saved_bookmarks(spark, d):
+    """Bookmarks saved as JSON and read again."""
+    marks = _items(spark, d).where("list_name = 'bookmarks'").select("kind", "target", "title", F.col("time_s").alias("time"))
+    path = f"{stage_dir(spark).rstrip('/')}/pagewright/bookmarks-{uuid.uuid4().hex}"
+    marks.write.mode("overwrite").json(path)
+    lines = spark.read.schema("kind string, target string, title string, time double").json(path)
+    return lines.select("kind", "target", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("time", F.lit(0.0)).alias("time")).where("target <> ''")
+
+
+@_query("SELECT user_id, event_type AS mark, CAST(arg_max(json_extract_string(props, '$.k'), (ts, event_id)) AS BIGINT) AS target FROM events GROUP BY ALL")
+def marks(spark, d):
+    """The last target set for each mark of a user."""
+    return _events(spark, d).groupBy("user_id", F.col("event_type").alias("mark")).agg(F.max_by("k", F.struct("ts", "event_id")).alias("target"))

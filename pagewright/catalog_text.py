@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.catalog_blocks import _SP, _strip
+from pagewright.functions import layout as L
 from pagewright.functions import text as X
 from pagewright.operators import printed as R
+from pagewright.sources import store as J
 from pagewright.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -201,3 +203,31 @@ def content_routes(spark, d):
     m = F.col("mime")
     route = F.when(m.isin("text/html", "application/xhtml+xml", ""), "page").when(m == "application/pdf", "pdf").when(m.startswith("text/") | m.rlike("(json|xml|javascript)$"), "text").otherwise("download")
     return t.select("site_id", "content_type", "mime", F.lower(F.regexp_extract("content_type", r'(?i)charset=\s*"?([^\s;"]*)', 1)).alias("charset"), route.alias("route"))
+
+
+@_query()
+def cell_widths(spark, d):
+    """How many cells of a terminal each text takes."""
+    return _docs(spark, d).select("doc_id", L.cell_width("text").alias("cells"))
+
+
+@_query()
+def wrapped_lines(spark, d):
+    """Texts in lines of 80 cells."""
+    return _docs(spark, d).select("doc_id", F.posexplode(L.wrapped("text")).alias("line_no", "line"))
+
+
+@_query()
+def shortened_titles(spark, d):
+    """Titles cut to 20 cells."""
+    p = table(spark, d, "page_docs", "page_id bigint, title string").distinct()
+    return p.select("page_id", L.shortened("title", F.lit(20)).alias("title"))
+
+
+@_query(f"SELECT doc_id, CAST(1 AS BIGINT) AS parts, text AS first FROM {_D} WHERE text <> '' AND NOT regexp_matches(text, '<') AND NOT regexp_matches(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]')")
+def reply_spans(spark, d):
+    """Replies of a translator taken apart (here texts as JSON)."""
+    docs = _docs(spark, d).where("text <> ''").where(~F.col("text").rlike("<") & ~F.col("text").rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F]"))
+    texts = docs.select("doc_id", F.explode(J.reply_texts(F.to_json(F.array("text")))).alias("reply"))
+    spans = J.reply_spans(F.col("reply"))
+    return texts.select("doc_id", F.size(spans).cast("bigint").alias("parts"), F.get(spans, F.lit(0))["text"].alias("first"))

@@ -1,16 +1,24 @@
 """Blocks of pages as a relation, and the operators that read them in order.
 
 The working form is one row per block: (page_id, pos, kind, level, marker, spans, rows, text, ...). Redelivered pages
-repeat their content, so a page's rows are the same whichever delivery they come from; ``page_blocks`` keeps one.
+repeat their content, so a page's rows are the same whichever delivery they come from; ``page_blocks`` keeps one and
+shuffles no page for it but the redelivered.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagewright.functions import text as X
+from pagewright.plans.stages import once
+
+
+#: Characters of a shingle.
+SHINGLE = 4
 
 
 def joined(spans: Column) -> Column:
@@ -30,9 +38,9 @@ def image_only(spans: Column) -> Column:
 
 def page_blocks(pages: DataFrame, *more: str) -> DataFrame:
     """One row per block of each page, once per page."""
-    b = pages.select("page_id", *more, F.posexplode("blocks").alias("pos", "b"))
+    b = once(pages.select("page_id", *more, "blocks"), "page_id").select("page_id", *more, F.posexplode("blocks").alias("pos", "b"))
     out = b.select("page_id", *more, "pos", F.col("b.kind").alias("kind"), F.coalesce("b.level", F.lit(0)).alias("level"), F.coalesce("b.marker", F.lit("")).alias("marker"), F.col("b.spans").alias("spans"), F.col("b.cell_rows").alias("rows"))
-    return out.withColumn("text", block_text(F.col("spans"), F.col("rows"))).dropDuplicates(["page_id", "pos"])
+    return out.withColumn("text", block_text(F.col("spans"), F.col("rows")))
 
 
 def in_page() -> WindowSpec:
@@ -83,8 +91,8 @@ def renumbered_links(pages: DataFrame) -> DataFrame:
     per_block = F.transform("blocks", lambda b: F.concat(F.coalesce(b["spans"]["link"], none), F.coalesce(F.flatten(F.flatten(b["cell_rows"]))["link"], none)))
     spans = F.flatten(per_block)
     used = F.array_distinct(F.filter(spans, lambda x: x.isNotNull()))
-    rows = pages.select("page_id", "links", F.posexplode(used).alias("link_no", "old"))
-    return rows.select("page_id", "link_no", F.get("links", F.col("old")).alias("url")).dropDuplicates(["page_id", "link_no"])
+    rows = once(pages.select("page_id", "links", "blocks"), "page_id").select("page_id", "links", F.posexplode(used).alias("link_no", "old"))
+    return rows.select("page_id", "link_no", F.get("links", F.col("old")).alias("url"))
 
 
 def sections(blocks: DataFrame) -> DataFrame:
@@ -115,12 +123,27 @@ def max_run(weighted: DataFrame, key: str = "page_id") -> DataFrame:
     return best.where("m.run > 0").select(key, F.col("m.start").alias("first"), F.col("m.pos").alias("last"), F.col("m.run").alias("best"))
 
 
-def coverage(blocks: DataFrame, reference: DataFrame, n: int = 4) -> DataFrame:
-    """(page_id, pos, shingles, matched): how many of a block's runs of ``n`` characters occur in its page's reference
-    text. ``reference``: (page_id, ref). Semi join on (page, shingle), so no list of a page is searched."""
-    parts = blocks.select("page_id", "pos", F.explode(X.shingles(F.col("norm"), n)).alias("s"))
-    known = reference.select("page_id", F.explode(F.array_distinct(X.shingles(F.col("ref"), n))).alias("s")).withColumn("hit", F.lit(1))
-    return parts.join(known, ["page_id", "s"], "left").groupBy("page_id", "pos").agg(F.count("*").alias("shingles"), F.count("hit").alias("matched"))
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("shingles", T.LongType()), T.StructField("matched", T.LongType())])))
+def _covered(norms: pa.Array, refs: pa.Array) -> pa.Array:
+    n = SHINGLE
+    offsets, total, hits = [0], [], []
+    for texts, ref in zip(norms.to_pylist(), refs.to_pylist()):
+        known = {ref[i : i + n] for i in range(len(ref) - n + 1)} if ref else frozenset()
+        for t in texts or []:
+            parts = [t[i : i + n] for i in range(len(t) - n + 1)] if t else []
+            total.append(len(parts))
+            hits.append(sum(map(known.__contains__, parts)))
+        offsets.append(len(total))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(total, pa.int64()), pa.array(hits, pa.int64())], ["shingles", "matched"]))
+
+
+def coverage(blocks: DataFrame, reference: DataFrame) -> DataFrame:
+    """(page_id, pos, shingles, matched): how many of a block's runs of four characters occur in its page's reference
+    text. ``reference``: (page_id, ref). The texts of a page meet in one row, so no run is ever shuffled."""
+    page = blocks.groupBy("page_id").agg(F.collect_list(F.struct("pos", "norm")).alias("l"))  # bounded by the page
+    both = page.join(reference.select("page_id", "ref"), "page_id", "left")
+    rows = both.select("page_id", F.explode(F.arrays_zip(F.col("l.pos").alias("pos"), _covered(F.col("l.norm"), F.col("ref")).alias("c"))).alias("x"))
+    return rows.select("page_id", F.col("x.pos").alias("pos"), F.col("x.c.shingles").alias("shingles"), F.col("x.c.matched").alias("matched")).where("shingles > 0")
 
 
 def style_groups(blocks: DataFrame) -> DataFrame:

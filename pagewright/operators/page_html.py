@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.functions.text import escape
+from pagewright.plans.stages import once
 
 
 def _quoted(c: Column) -> Column:
@@ -51,4 +52,4 @@ def to_html(pages: DataFrame) -> DataFrame:
     """(page_id, url, html) of pages, once each."""
     blocks = F.array_join(F.transform("blocks", lambda b: _block(b, F.col("links"))), "\n")
     head = F.concat(F.lit('<!DOCTYPE html><html lang="'), _quoted(F.coalesce("lang", F.lit(""))), F.lit('"><head><title>'), escape(F.coalesce("title", F.lit(""))), F.lit("</title></head><body>"))
-    return pages.select("page_id", "url", F.concat(head, F.coalesce(blocks, F.lit("")), F.lit("</body></html>")).alias("html")).dropDuplicates(["page_id"])
+    return once(pages, "page_id").select("page_id", "url", F.concat(head, F.coalesce(blocks, F.lit("")), F.lit("</body></html>")).alias("html"))

@@ -42,3 +42,17 @@ def join_small(left: DataFrame, right: DataFrame, on, how: str = "inner", rows:
     if right.limit(rows + 1).count() <= rows:
         return left.join(F.broadcast(right), on, how)
     return left.join(right, on, how)
+
+
+def once(df: DataFrame, key: str, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """One row per key of a table in which few keys are repeated with the same content.
+
+    Keys alone are counted first. Rows of keys that occur once pass without a shuffle; only those of repeated keys are
+    made unique. The repeated keys are broadcast if they are few enough, else joined. A null key is no key: its rows stay.
+    """
+    again = df.groupBy(key).count().where("count > 1").select(key)
+    found = again.limit(rows + 1).count()
+    if not found:
+        return df
+    again = F.broadcast(again) if found <= rows else again
+    return df.join(again, key, "left_anti").unionByName(df.join(again, key, "left_semi").dropDuplicates([key]))
