@@ -104,6 +104,15 @@ def test_bodies(spark):
     assert sitetree.boilerplate(H.pages(spark, rows[:3]), H.sites(spark).limit(0)).count() >= 0
 
 
+def test_pictures_are_no_lead_ins(spark):
+    rows = []
+    for i in range(40):
+        picture = ("p", 0, None, [(f"［画像: pic {chr(97 + i % 26)}{chr(97 + i // 26)}］", None, True)], None, False)
+        rows.append(H.page(i, [H.block("h", f"Story {i}", 1), picture, H.block("p", f"Read also: other {chr(97 + i % 26)}{chr(97 + i // 26)}")], url=f"https://a.example/{i}"))
+    got = {(r["page_id"], r["pos"]) for r in sitetree.boilerplate(H.pages(spark, rows), H.sites(spark)).collect()}
+    assert got == {(i, 2) for i in range(40)}
+
+
 def test_low_contents_travel_with_their_host(spark, monkeypatch):
     df = H.pages(spark, site_pages(40))
     want = {tuple(r) for r in sitetree.boilerplate(df, H.sites(spark)).collect()}
