@@ -44,15 +44,16 @@ _TO_CYRILLIC = str.maketrans(ALIKE_CYRILLIC)
 
 
 def _unmix(m: re.Match) -> str:
+    """A word of mixed scripts in the script of its unmistakable letters, else in that of most of its text."""
     w = m.group()
     latin, other = _ALL_LATIN.findall(w), _ALL_OTHER.findall(w)
     if not latin or not other:
         return w
     to_latin = all(c in ALIKE for c in other)
     to_cyrillic = all(c in ALIKE_CYRILLIC for c in latin)
-    if to_cyrillic and (not to_latin or len(other) > len(latin)):
-        return w.translate(_TO_CYRILLIC)
-    return w.translate(_TO_LATIN)
+    if to_cyrillic and to_latin:
+        to_latin = len(_ALL_LATIN.findall(m.string)) >= len(_ALL_OTHER.findall(m.string))
+    return w.translate(_TO_LATIN if to_latin or not to_cyrillic else _TO_CYRILLIC)
 
 
 def fold(text: str) -> str:

@@ -87,10 +87,12 @@ def count_block(text: str, kind: str, linked: int, common: frozenset[str], piece
         end = line.rstrip(_CLOSERS)
         ends = end[-1:] in _STOPS and end != ""
         stopped += ends
-        if kind == "table" or kind == "pre" or broken or odd * 4 >= word_count:
+        if kind in ("table", "pre", "h") or kind == "li" and not ends or broken or odd * 4 >= word_count:
             continue
         if separators and ((line.count(";") + line.count("|")) * 40 > size or "\t" in line):
             continue
+        if not ends and (linked * 2 > n or line.count(" / ") + line.count(" · ") > 1):  # collections of links
+            continue
         if blankless:
             blanks = line.count(" ")
             if blanks > 4 and size < 7 * blanks:  # single words in a row
@@ -103,7 +105,7 @@ def count_block(text: str, kind: str, linked: int, common: frozenset[str], piece
         if count < 3 or not ends and count < 8:
             continue
         usual = known if len(lines) == 1 else sum(map(common.__contains__, parts))
-        if usual * 4 > count * 3:
+        if usual * 4 > count * 3 or not ends and len(set(parts)) * 2 <= count:  # common words or a few words in turn
             continue
         if usual * 10 >= count or count < 10 and usual or ends and count > 3 and not odd or _BLANKLESS_FORM.search(line.lower()):
             sentence += size
