@@ -74,10 +74,10 @@ _LATIN = frozenset(
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"[^.!?。！？\n]+[.!?。！？]*")
 _STOCK = re.compile(
-    r"""(?i)placeholder\ text|sample\ (?:paragraph|text)|your\ text\ goes\ here|text\ goes\ here|content\ coming\ soon|heading\ here|type\ something\ about|dummy\ text
-    |blindtext|platzhalter(?:text)?|beispieltext|mustertext|texte?\ (?:de\ remplissage|d['’]exemple|factice)|texto\ de\ (?:relleno|ejemplo|exemplo|preenchimento|marcador)
-    |testo\ (?:segnaposto|di\ esempio|di\ riempimento)|текст[- ]заполнитель|пример\ текста|текст\ для\ примера|здесь\ будет\ текст|ダミーテキスト|サンプルテキスト|ここに(?:文章|テキスト)が入り
-    |示例文字|示例文本|占位(?:文字|文本)|예시\ ?(?:문장|텍스트)|여기에\ (?:내용|글|텍스트)|ข้อความตัวอย่าง|ตัวอย่างข้อความ|ใส่ข้อความ|votre\ texte\ ici|aquí\ va\ su\ texto|(?:o\ )?seu\ texto\ aqui|il\ tuo\ testo\ qui|(?:hier\ )?ihr\ text|texte\ provisoire|texto\ provisional|texto\ provisório|testo\ provvisorio""",
+    r"""(?i)placeholder\ text|sample\ (?:paragraph|text|sentence)|your\ text\ goes\ here|text\ goes\ here|content\ coming\ soon|heading\ here|type\ something\ about|dummy\ text
+    |blindtext|platzhalter(?:text)?|beispiel(?:text|satz)|mustertext|texte?\ (?:de\ remplissage|d['’]exemple|factice)|texto\ de\ (?:relleno|ejemplo|exemplo|preenchimento|marcador)
+    |testo\ (?:segnaposto|di\ esempio|di\ riempimento)|текст[- ]заполнитель|пример\ текста|текст\ для\ примера|здесь\ будет\ текст|ダミーテキスト|サンプル(?:テキスト|文)|ここに(?:本文|文章|テキスト|内容)
+    |示例(?:文字|文本|句子)|占位(?:文字|文本)|(?:예시|샘플)\ ?(?:문장|텍스트)|여기에\ (?:내용|글|텍스트)|ข้อความตัวอย่าง|ตัวอย่างข้อความ|ใส่ข้อความ|votre\ texte\ ici|aquí\ va\ su\ texto|(?:o\ )?seu\ texto\ aqui|il\ tuo\ testo(?:\ va)?\ qui|ваш\ текст\ (?:здесь|тут)|在此(?:输入|填写|处)|(?:hier\ )?ihr\ text|texte\ provisoire|texto\ provisional|texto\ provisório|testo\ provvisorio""",
     re.X,
 )
 
@@ -132,7 +132,7 @@ _ERROR = r"""
     |^\W*(?:error|erreur|fehler|errore|erro|ошибка|エラー|错误|오류|ข้อผิดพลาด)\W*[45]\d\d\W*[:：.–-]
     |(?:page|article|seite|artikel|página|pagina|article|artigo|articolo|artículo)\b[^.\n]{0,40}\b(?:not\ found|could\ not\ be\ found|cannot\ be\ found|does\ not\ exist|no\ longer\ available|has\ been\ removed|wurde\ nicht\ gefunden|nicht\ gefunden|existiert\ nicht|est\ introuvable|introuvable|n['’]existe\ pas|no\ existe|não\ (?:foi\ )?encontrada|non\ trovata|non\ esiste|não\ existe)
     |can['’]?t\ find\ (?:that|the|this)\ page|page\ you\ (?:are\ looking|were\ looking|requested|have\ requested)|(?:it|page)\ may\ have\ (?:been\ )?moved|no\ (?:encontramos|se\ (?:ha\ )?encontr\w+)\ la\ página|страница\ не\ найдена|такой\ страницы\ (?:нет|не)|ページ(?:は|が)見つかり|页面不存在|您访问的页面|找不到(?:该|此|您)?\w{0,6}页面|페이지를\ 찾을\ 수\ 없|ไม่พบหน้า
-    |internal\ server\ error|error\ establishing|fatal\ error|uncaught\ exception|stack\ trace|something\ went\ wrong|an\ error\ (?:has\ )?occurred|we\ are\ down\ for|down\ for\ maintenance|temporarily\ unavailable|service\ unavailable|bad\ gateway|gateway\ time-?out
+    |internal\ server\ error|error\ establishing|traceback\ \(most\ recent|^\W*file\ "[^"]+",\ line\ \d+|^\w*(?:error|exception):\ |fatal\ error|uncaught\ exception|stack\ trace|something\ went\ wrong|an\ error\ (?:has\ )?occurred|we\ are\ down\ for|down\ for\ maintenance|temporarily\ unavailable|service\ unavailable|bad\ gateway|gateway\ time-?out
     |too\ many\ requests|retry\ after\ \d|slow\ down\ and\ retry|try\ again\ (?:later|in\ \d)
     |service\ momentanément|momentanément\ indisponible|dienst\ ist\ zurzeit|zurzeit\ nicht\ (?:verfügbar|erreichbar)|später\ erneut\ versuchen|servicio\ no\ (?:está\ )?disponible|servi[cç]o\ (?:temporariamente\ )?indispon[íi]vel|servizio\ (?:momentaneamente\ |temporaneamente\ )?non\ disponibile|сервис\ (?:временно\ )?недоступен|временно\ недоступ|ведутся\ технические\ работы|попробуйте\ (?:ещё\ раз\ )?позже
     |ただいま\w{0,12}(?:混み合って|メンテナンス|アクセスが集中)|サーバー?(?:が|は)\w{0,12}(?:混雑|応答|エラー)|しばらくしてから|メンテナンス中|服务器(?:繁忙|错误|内部错误)|请稍后再试|系统(?:维护|繁忙)|서비스를\ 이용할\ 수\ 없|잠시\ 후\ 다시|점검\ 중|ระบบ(?:ขัดข้อง|ไม่พร้อม)|ลองใหม่(?:อีกครั้ง|ภายหลัง)|ปิดปรับปรุง"""
@@ -157,7 +157,7 @@ _STEMS = """found trouv trovat encontr gefunden найден страницы 
     indispon verfügbar erreichbar disponi недоступ работы позже しばらく メンテ サーバ ただいま 服务器 系统 稍后 找不到 页面 서비스 점검 잠시 ระบบ ลองใหม่
     ปิดปรับปรุง script スクリプト 스크립트 cookies access accès acceso acesso accesso zugriff доступ アクセス 访问 拒绝 접근 액세스 ปฏิเสธ สิทธิ์ abgelaufen expir
     caducado scaduta сеанс セッション 会话 세션 เซสชัน again exist gone payment unauthori implemented method stack exception traffic subscribers
-    look allowed authori can't can’t cant down slow forbidden nothing""".split()
+    look allowed authori traceback can't can’t cant down slow forbidden nothing""".split()
 _RULE = re.compile(r"^[\W_]*$")
 _BAR = re.compile(r"\s*[|·•›»]\s*")
 _LEGAL = re.compile(r"^\W*(?:©|\(c\)\s|copyright\b)", re.I)
