@@ -1,7 +1,8 @@
 """Fits the model of ``prose``: python -m pagewright.llm.prose_fit TABLES_DIR
 
-Weak labels come from at most ``SAMPLE`` pages, those with the smallest hashes; the holdout (statistics of pages of
-other tables, each looked at and labelled by hand) calibrates the scores and gives the accuracy that is printed.
+Weak labels come from at most ``SAMPLE`` pages, those with the smallest hashes. The holdout (statistics of pages of
+other tables; each was looked at, and the label that a first score proposed confirmed or corrected by hand) calibrates
+the scores and gives the agreement that is printed.
 """
 
 from __future__ import annotations
