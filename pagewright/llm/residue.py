@@ -27,8 +27,6 @@ from pagewright.sources.tables import table
 
 #: A document with more characters than this beside menu words is more than a message.
 MESSAGE_CHARS = 320
-#: A message with its menu words has fewer characters than this.
-RESPONSE_CHARS = 800
 #: A low-information response is duplicated from so many addresses on, of so many hosts.
 ADDRESSES, HOSTS = 3, 2
 #: A document is filler if this part of its words or sentences is.
@@ -225,9 +223,9 @@ def signs(documents: DataFrame) -> DataFrame:
             for doc_id, raw, url in zip(*(c.to_pylist() for c in b.columns)):
                 if not raw or raw.isspace():
                     continue
-                text = fold(raw) if len(raw) < RESPONSE_CHARS else raw
+                text = fold(raw)
                 place = bool(places(text))
-                lines, title = _remaining(text) if len(raw) < RESPONSE_CHARS else ([], True)
+                lines, title = _remaining(text)
                 low = bool(lines) and not title and sum(map(len, lines)) <= MESSAGE_CHARS
                 said = low and message(lines)
                 speaks = mismatch = False

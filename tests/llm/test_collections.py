@@ -277,3 +277,21 @@ def test_unknown_messages_are_known_by_their_echo(spark):
     rows = [(i, text, f"https://h{i % 2}.example/story-{chr(97 + i)}") for i in range(4)] + [(9, "Please wait for me by the old gate", "https://h1.example/x")]
     got = {r["doc_id"] for r in residue.judge(spark.createDataFrame(rows, "doc_id bigint, text string, url string")).collect()}
     assert got == {0, 1, 2, 3}
+
+
+LONG = "".join(f"Mill {i} by the river was repaired and the road along it opened again in May. " for i in range(20))
+
+
+@pytest.mark.parametrize("text", [LONG + "｛｛ user.name ｝｝", LONG + "{{ us​er.name }​}", "".join(f"Ｌｏｒｅｍ ｉｐｓｕｍ ｄｏｌｏｒ ｓｉｔ ａｍｅｔ nulla pariatur {i}. " for i in range(20))])
+def test_residue_in_disguise_at_any_length(spark, text):
+    assert len(text) >= 800
+    df = spark.createDataFrame([(1, text, "https://a.example/x/mill"), (2, LONG + "é", "https://a.example/x/mill")], "doc_id bigint, text string, url string")
+    assert [r["doc_id"] for r in residue.judge(df).collect()] == [1]
+
+
+def test_messages_under_long_menus(spark):
+    menu = "\n".join(" | ".join(f"Section {i}{c}" for c in "abcdef") for i in range(20))
+    text = f"{menu}\n404 Not Found\n\nThe page you are looking for is not here.\n© 2023 {'All rights reserved. ' * 20}"
+    assert len(text) > 1_280
+    df = spark.createDataFrame([(1, text, "https://a.example/x/mill")], "doc_id bigint, text string, url string")
+    assert [r["doc_id"] for r in residue.judge(df).collect()] == [1]
