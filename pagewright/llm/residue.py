@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from re import _parser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,7 +32,7 @@ MESSAGE_CHARS = 320
 ADDRESSES, HOSTS = 3, 2
 #: A document is filler if this part of its words or sentences is.
 FILLER = 0.6
-#: Filler repeats itself: it has no more distinct sentences, or words of one phrase, than this.
+#: A phrase that filler repeats has no more words than this.
 DISTINCT = 12
 
 # ---- places of a template ---------------------------------------------------------------------------------------
@@ -80,10 +81,43 @@ _STOCK = re.compile(
 )
 
 
+def _needs(parsed) -> frozenset[str]:
+    """Texts of which every match of a parsed pattern holds one, in lower case; none if there is no such set."""
+    sets, run = [], ""
+    for op, arg in [*parsed, (None, None)]:
+        if op is _parser.LITERAL:
+            run += chr(arg).lower()
+            continue
+        if run:
+            sets.append(frozenset([run]))
+        run = ""
+        if op is _parser.BRANCH:
+            each = [_needs(x) for x in arg[1]]
+            sets.append(frozenset().union(*each) if all(each) else frozenset())
+        elif op is _parser.SUBPATTERN:
+            sets.append(_needs(arg[3]))
+        elif op is _parser.MAX_REPEAT and arg[0]:
+            sets.append(_needs(arg[2]))
+    return max(filter(None, sets), key=lambda x: min(map(len, x)), default=frozenset())
+
+
+_STOCK_NEEDS = sorted(_needs(_parser.parse(_STOCK.pattern, re.X)))
+#: Characters whose lower case is not the one that a pattern without case takes them for.
+_ODD_CASE = re.compile("[\u017f\u212a\u0130\u0131\u1c80-\u1c88]")
+
+
+def _has_stock(text: str) -> bool:
+    """Whether a stock phrase stands in a text."""
+    if not text.isascii() and _ODD_CASE.search(text):
+        return _STOCK.search(text) is not None
+    low = text.lower()
+    return any(x in low for x in _STOCK_NEEDS) and _STOCK.search(text) is not None
+
+
 def _periodic(tokens: list[str]) -> bool:
     """Whether a text is one phrase of words over and over: three times, or twice if it is stock."""
     n = len(tokens)
-    for period in range(1, min(n // 2, 12) + 1):
+    for period in range(1, min(n // 2, DISTINCT) + 1):
         if n % period and n < 3 * period or tokens[period:] != tokens[: n - period]:
             continue
         phrase = " ".join(tokens[:period])
@@ -103,14 +137,14 @@ def filler(text: str) -> bool:
     tokens = low.split()
     if len(set(tokens)) <= DISTINCT and _periodic(tokens):
         return True
-    words = _WORD.findall(low) if any(w in low for w in ("ipsum", "lorem", "dolor", "amet")) else []
-    if len(words) >= 5:
+    words = _WORD.findall(low)
+    if len(words) >= 5 and len({w[:4] for w in words} & _LATIN) >= 4:
         stock = [w for w in words if w[:4] in _LATIN]
         if len(stock) >= FILLER * len(words) and len(set(stock)) >= 4:
             return True
     said = [t for x in body for s in _SENTENCE.findall(x) if len(t := s.strip()) > 3]
     times = Counter(said)
-    if not said or len(times) > DISTINCT:
+    if not said or len(times) > 3 and not _has_stock(joined):
         return False
     stock_chars = sum(len(s) * n for s, n in times.items() if _STOCK.search(s))
     total = sum(len(s) * n for s, n in times.items())
@@ -149,13 +183,6 @@ _ADDRESS = re.compile(
     |ください|申し訳|请|抱歉|주세요|죄송|โปรด|กรุณา|ขออภัย|\b[45]\d\d\b""",
     re.X,
 )
-#: Every message holds one of these.
-_STEMS = """found trouv trovat encontr gefunden найден страницы 見つか 存在 찾을 ไม่พบ error erro fehler ошибка エラー 错误 오류 ข้อผิดพลาด server denied
-    permission human robot captcha session sign log unavailable time-out timeout gateway request maintenance wrong available removed moved
-    indispon verfügbar erreichbar disponi недоступ работы позже しばらく メンテ サーバ ただいま 服务器 系统 稍后 找不到 页面 서비스 점검 잠시 ระบบ ลองใหม่
-    ปิดปรับปรุง script スクリプト 스크립트 cookies access accès acceso acesso accesso zugriff доступ アクセス 访问 拒绝 접근 액세스 ปฏิเสธ สิทธิ์ abgelaufen expir
-    caducado scaduta сеанс セッション 会话 세션 เซสชัน again exist gone payment unauthori implemented method stack exception traffic subscribers
-    look allowed authori traceback can't can’t cant down slow forbidden nothing""".split()
 _RULE = re.compile(r"^[\W_]*$")
 _BAR = re.compile(r"\s*[|·•›»]\s*")
 _LEGAL = re.compile(r"^\W*(?:©|\(c\)\s|copyright\b)", re.I)
@@ -183,9 +210,6 @@ def _remaining(text: str) -> tuple[list[str], bool]:
 
 def message(lines: list[str]) -> bool:
     """Whether the remaining lines are a message, with no more than a few menu words besides."""
-    low = "\n".join(lines).lower()
-    if not any(stem in low for stem in _STEMS):
-        return False
     told = [x for x in lines if _MESSAGE.search(x)]
     if not told:
         return False

@@ -295,3 +295,21 @@ def test_messages_under_long_menus(spark):
     assert len(text) > 1_280
     df = spark.createDataFrame([(1, text, "https://a.example/x/mill")], "doc_id bigint, text string, url string")
     assert [r["doc_id"] for r in residue.judge(df).collect()] == [1]
+
+
+@pytest.mark.parametrize("text", ["La pagina non esiste.", "Bitte später erneut versuchen.", "Der Dienst ist zurzeit gestört.", "Retry after 30 seconds."])
+def test_every_message_of_the_pattern_is_one(text):
+    assert residue.message([text])
+
+
+def test_filler_of_many_sentences_and_of_any_stock_word():
+    assert residue.filler(" ".join(f"Placeholder text number {i}." for i in range(20)))
+    assert residue.filler(" ".join(f"{i} PLACEHOLDER TEXT." for i in range(20)))
+    assert residue.filler(" ".join(f"Et ıl tuo testo qui, {i}." for i in range(20)))
+    assert residue.filler("Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat.")
+    assert not residue.filler(LONG + "A placeholder text stood on the wall.")
+
+
+@pytest.mark.parametrize("text", ["texte de remplissage", "Texte d’exemple", "testo segnaposto", "o seu texto aqui", "il tuo testo va qui", "hier ihr text", "サンプル文", "여기에 글", "текст-заполнитель", "在此填写"])
+def test_every_stock_phrase_passes_the_gate(text):
+    assert residue._STOCK.search(text) and residue._has_stock(text)
