@@ -2,9 +2,11 @@
 
 Every document is read for places of a template outside code, for filler (stock Latin, one sentence over and over) and
 for messages. A message counts if the document is little else: menu words, rules and legal lines are set aside, and
-what remains must be short. Its terms are compared with those of the address and the title; a low-information
-response that neither names, that other addresses and hosts serve as well, and that speaks as messages do, is one
-even in words that no detector knows.
+what remains must be short. Its terms are compared with those of the address and the title (the heading, else the first
+of several lines): what all three name beside the message is an article about it; a low-information response that
+neither names, that other addresses and hosts serve as well, and that speaks as messages do, is one even in words
+that no detector knows. A title that itself speaks as messages do is part of the response; one
+that is nothing but a message, unnamed by the address, makes the response one.
 
 Defined results: null, empty and blank texts are never found; marks of tokenizers are ordinary text; a syntax shown in
 code is no residue; texts of any length are read whole; a document counts once; extra columns are ignored.
@@ -190,9 +192,10 @@ _END = re.compile(r"[.!?。！？…]\W*$")
 _CLAIM = re.compile(r"\w/\d+(?:\.\d+)*$")
 
 
-def _remaining(text: str) -> tuple[list[str], bool]:
-    """The lines beside menu words, rules and legal lines; whether a heading is among them."""
-    out, title, size = [], False, 0
+def _remaining(text: str) -> tuple[str, list[str]]:
+    """The title, a heading or else the first of several lines ('' without one), and the other lines, beside menu
+    words, rules and legal lines; no line if they are too long for a message."""
+    out, headed, size = [], None, 0
     for line in text.split("\n"):
         line = line.strip()
         if not line or _RULE.match(line) or _LEGAL.match(line):
@@ -200,12 +203,16 @@ def _remaining(text: str) -> tuple[list[str], bool]:
         parts = [x for x in _BAR.split(line) if x.strip()] if _BAR.search(line) else []
         if len(parts) >= 3 and all(len(x.split()) <= 4 and len(x) < 30 for x in parts):
             continue
-        title = title or line.startswith("#")
+        if line.startswith("#"):
+            line = line.lstrip("#").strip()
+            headed = len(out) if headed is None else headed
         out.append(line)
         size += len(line)
-        if title or size > MESSAGE_CHARS:
-            return [], True
-    return out, title
+        if size > MESSAGE_CHARS:
+            return "", []
+    if headed is None:
+        headed = 0 if len(out) > 1 else None
+    return ("", out) if headed is None else (out[headed], out[:headed] + out[headed + 1 :])
 
 
 def message(lines: list[str]) -> bool:
@@ -235,6 +242,30 @@ def _slug(url: str | None) -> tuple[set[str], int]:
     return terms(path.rsplit("/", 1)[-1].rsplit(".htm", 1)[0]), hash64(path.lower())
 
 
+def _apart(lines: list[str]) -> set[str]:
+    """The terms of lines beside what makes them a message."""
+    return {t for x in lines for t in terms(_MESSAGE.sub(" ", x))}
+
+
+def compared(slug: set[str], title: str, body: list[str]) -> tuple[bool, bool]:
+    """Whether address, title and body name the same thing beside a message; whether neither address nor title names the body."""
+    named = bool(title and slug and slug & _apart([title]) & _apart(body))
+    own = terms(" ".join(body))
+    if title and not _speaks(title):
+        return named, not slug & own and not {t for t in terms(title) & own if len(t) > 3}
+    return named, not slug & (own | terms(title))
+
+
+def titled(slug: set[str], title: str) -> bool:
+    """Whether a title is nothing but a message, and the address doesn't name it: what follows is then part of it."""
+    return bool(title and _MESSAGE.search(title)) and not _apart([title]) and not slug & terms(title)
+
+
+def _speaks(text: str) -> bool:
+    """Whether a text is in the manner of a message."""
+    return bool(_ADDRESS.search(text) or _MESSAGE.search(text))
+
+
 FIELDS = "doc_id bigint, place boolean, filler boolean, message boolean, low boolean, mismatch boolean, speaks boolean, body bigint, host bigint, address bigint"
 
 
@@ -249,15 +280,16 @@ def signs(documents: DataFrame) -> DataFrame:
                     continue
                 text = fold(raw)
                 place = bool(places(text))
-                lines, title = _remaining(text)
-                low = bool(lines) and not title and sum(map(len, lines)) <= MESSAGE_CHARS
-                said = low and message(lines)
-                speaks = mismatch = False
+                title, body_lines = _remaining(text)
+                low = bool(body_lines or title)
+                said = speaks = mismatch = False
                 body = host = address = 0
                 if low:
-                    joined = " ".join(lines)
                     slug, address = _slug(url)
-                    mismatch = not slug & terms(joined)
+                    named, mismatch = compared(slug, title, body_lines)
+                    said = not named and (titled(slug, title) or message([title, *body_lines] if title else body_lines))
+                    # a title of the page's own is no part of what is said at many addresses
+                    joined = " ".join(body_lines if body_lines and title and not _speaks(title) else [title, *body_lines])
                     speaks = bool(_ADDRESS.search(joined))
                     key = line_key(joined)
                     body = hash64(key) if key else 0

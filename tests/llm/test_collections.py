@@ -313,3 +313,27 @@ def test_filler_of_many_sentences_and_of_any_stock_word():
 @pytest.mark.parametrize("text", ["texte de remplissage", "Texte d’exemple", "testo segnaposto", "o seu texto aqui", "il tuo testo va qui", "hier ihr text", "サンプル文", "여기에 글", "текст-заполнитель", "在此填写"])
 def test_every_stock_phrase_passes_the_gate(text):
     assert residue._STOCK.search(text) and residue._has_stock(text)
+
+
+HEADED = [
+    ("# 404 Not Found\n\nThe page you are looking for is not here.", "forest-walks", True),
+    ("# Forest walks\n\nPlease enable JavaScript to view this page.", "forest-walks", True),
+    ("# Zugriff verweigert\n\nBitte melden Sie sich an.", "mill", True),
+    ("# Not Found\n\nThe page was not found.", "not-found", True),
+    ("# Reading a bad gateway log\n\nReading the log of a bad gateway starts with its last line.", "reading-bad-gateway-log", False),
+    ("# The old mill\n\nIt was repaired in May.", "old-mill", False),
+]
+
+
+def test_headed_messages(spark):
+    rows = [(i, t, f"https://a.example/x/{slug}") for i, (t, slug, _) in enumerate(HEADED)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, url string")
+    assert {r["doc_id"] for r in residue.judge(df).collect()} == {i for i, x in enumerate(HEADED) if x[2]}
+
+
+def test_echoes_under_titles_of_their_own(spark):
+    names = ["Forest walks", "River mills", "Night trains", "Clay kilns"]
+    rows = [(i, f"# {n}\n\nPlease wait while we check your browser", f"https://h{i % 2}.example/{n.lower().replace(' ', '-')}") for i, n in enumerate(names)]
+    rows += [(10 + i, "# Garden gates\n\nPlease close garden gates behind you", f"https://h{i % 2}.example/x-{chr(97 + i)}") for i in range(4)]  # the title names it
+    got = {r["doc_id"] for r in residue.judge(spark.createDataFrame(rows, "doc_id bigint, text string, url string")).collect()}
+    assert got == {0, 1, 2, 3}
