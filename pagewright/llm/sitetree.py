@@ -19,14 +19,21 @@ contents known for all hosts; a redelivered page counts once; an empty table giv
 
 from __future__ import annotations
 
+import atexit
 import gc
+import os
 import re
+import shutil
+import struct
+import tempfile
+import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
 from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,7 +54,7 @@ POOL_PAGES = 5
 LEAD = 0.6
 #: Low contents that are held by every task at most; beyond it they travel with their host's pages.
 HELD = 300_000
-#: Sites whose name is held by every task at most.
+#: Sites whose name is held by every task at most; beyond it names are looked up in mapped files.
 NAMES = 200_000
 
 BEFORE, TITLE, AFTER = 0, 1, 2
@@ -57,8 +64,6 @@ KINDS = {"h": 0, "p": 1, "li": 2, "pre": 3, "quote": 4, "table": 5, "hr": 6}
 #: link, 8 has a marker), content. ``as_site``: the host itself or, without a url, the one whose name the page bears.
 FIELDS = "page_id bigint, site bigint, as_site bigint, first int, kinds array<int>, levels array<int>, flags array<int>, keys array<bigint>"
 
-#: Hosts' names that are looked for in the texts of a page without a url at most; beyond it only in its title.
-SEARCHED = 5_000
 _LOOKS = (0, 0x5851F42D4C957F2D, 0x14057B7EF767814F, 0x2545F4914F6CDD1D, 0x369DEA0F31A53F85, 0x27BB2EE687B0B0FD)
 _PARTS = re.compile(r"\s+[|·•:—–\-]\s+|[|｜]")
 _DIGITS = re.compile(r"\d+")
@@ -99,34 +104,125 @@ class PageBlocks:
                 break
 
 
-def _named(title: str | None, texts: list[str], hosts: dict[str, str]) -> str | None:
+class Names:
+    """The letters of each site's name by host, and the host of a name (the first of several), held in memory."""
+
+    def __init__(self, names: dict[str, str]):
+        self.names = names
+        self.hosts: dict[str, str] = {}
+        self.sizes: dict[str, set[int]] = {}
+        for host in sorted(names, reverse=True):
+            self.hosts[names[host]] = host
+            self.sizes.setdefault(names[host][:3], set()).add(len(names[host]))
+
+    def name(self, host: str) -> str:
+        return self.names.get(host, "")
+
+    def host(self, name: str) -> str | None:
+        return self.hosts.get(name)
+
+    def _within(self, key: str) -> set[str]:
+        """The names that stand in a key."""
+        return {n for i in range(len(key) - 2) for size in self.sizes.get(key[i : i + 3], ()) if (n := key[i : i + size]) in self.hosts}
+
+    def longest(self, key: str) -> str | None:
+        """The host of the longest name in a key."""
+        best = min(self._within(key), key=lambda n: (-len(n), n), default=None)
+        return None if best is None else self.host(best)
+
+
+class StoredNames(Names):
+    """The same of any number of sites: sorted hashes in files that every executor has and its workers map."""
+
+    def __init__(self, names: DataFrame):
+        """``names``: (host, name), each host once."""
+        spark = names.sparkSession
+        self.stem = f"names-{uuid.uuid4().hex}"
+        self.size_list = sorted(r["size"] for r in names.select(F.length("name").alias("size")).distinct().collect())
+        hashed = materialize(names.mapInArrow(_hashed_names, "host string, name string, h bigint, n bigint, p bigint"), "names")
+        folder = tempfile.mkdtemp(prefix="pagewright-names-")  # executors fetch from it until the session ends
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        for part, rows in (
+            ("h", hashed.select("h", F.col("name").alias("v"))),
+            ("n", hashed.groupBy("n").agg(F.min("host").alias("v")).select(F.col("n").alias("h"), "v")),
+            ("p", hashed.select(F.col("p").alias("h"), F.lit("").alias("v")).distinct()),
+        ):
+            paths = [os.path.join(folder, f"{self.stem}-{part}{x}") for x in "kov"]
+            with open(paths[0], "wb") as keys, open(paths[1], "wb") as ends, open(paths[2], "wb") as values:
+                ends.write(bytes(8))
+                for r in rows.sort("h").toLocalIterator():  # passes through the driver, none is held
+                    values.write(r["v"].encode())
+                    keys.write(struct.pack("<q", r["h"]))
+                    ends.write(struct.pack("<q", values.tell()))
+                values.write(b" ")  # an empty file can't be mapped
+            for path in paths:
+                spark.sparkContext.addFile(path)
+        self.maps: dict[str, tuple] = {}
+
+    def __getstate__(self) -> dict:
+        return {"stem": self.stem, "size_list": self.size_list, "maps": {}}
+
+    def _map(self, part: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if part not in self.maps:
+            at = SparkFiles.get(f"{self.stem}-{part}")
+            self.maps[part] = tuple(np.memmap(at + x, t, "r") for x, t in (("k", "<i8"), ("o", "<i8"), ("v", "u1")))
+        return self.maps[part]
+
+    def _known(self, part: str, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Where the hashes of texts are in a part, and whether they are."""
+        keys, h = self._map(part)[0], np.array([hash64(t) for t in texts], np.int64)
+        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+        return at, keys[at] == h
+
+    def _value(self, part: str, text: str) -> str | None:
+        at, there = self._known(part, [text])
+        if not there[0]:
+            return None
+        _, ends, values = self._map(part)
+        return values[ends[at[0]] : ends[at[0] + 1]].tobytes().decode()
+
+    def name(self, host: str) -> str:
+        return self._value("h", host) or ""
+
+    def host(self, name: str) -> str | None:
+        return self._value("n", name)
+
+    def _within(self, key: str) -> set[str]:
+        starts = np.flatnonzero(self._known("p", [key[i : i + 3] for i in range(len(key) - 2)])[1]).tolist() if len(key) > 2 else []
+        texts = list({key[i : i + size] for i in starts for size in self.size_list if i + size <= len(key)})
+        return {t for t, there in zip(texts, self._known("n", texts)[1].tolist()) if there} if texts else set()
+
+
+def _hashed_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        hosts, names = b.column(0).to_pylist(), b.column(1).to_pylist()
+        hashes = [pa.array(list(map(hash64, x)), pa.int64()) for x in (hosts, names, [n[:3] for n in names])]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *hashes], ["host", "name", "h", "n", "p"])
+
+
+def _named(title: str | None, texts: list[str], names: Names) -> str | None:
     """The host whose name is a part of the title, or stands in most of the short texts that hold one."""
     for part in _PARTS.split(title or ""):
-        if (host := hosts.get(line_key(part))) is not None:
+        if (host := names.host(line_key(part))) is not None:
             return host
     seen: Counter[str] = Counter()
-    if len(hosts) <= SEARCHED:
-        for text in texts:
-            if 0 < len(text) < 150:
-                key = line_key(text)
-                best = max((n for n in hosts if n in key), key=len, default=None)
-                if best:
-                    seen[hosts[best]] += 1
+    for text in texts:
+        if 0 < len(text) < 150 and (host := names.longest(line_key(text))):
+            seen[host] += 1
     return seen.most_common(1)[0][0] if seen else None
 
 
-def structure(batch: pa.RecordBatch, flat: Flat, names: dict[str, str]) -> tuple[list[tuple], list[PageBlocks]]:
+def structure(batch: pa.RecordBatch, flat: Flat, names: Names) -> tuple[list[tuple], list[PageBlocks]]:
     """FIELDS of every page of a batch (page_id, url, ... , blocks)."""
     ids, urls = batch.column("page_id").to_pylist(), batch.column("url").to_pylist()
     titles = batch.column("title").to_pylist()
-    hosts = {v: k for k, v in names.items()}
     rows, parts = [], []
     starts = flat.starts.tolist()
     n, linked, level = flat.n.tolist(), flat.linked.tolist(), flat.level.tolist()
     for page, (a, b) in enumerate(pairwise(starts)):
         host = host_of(urls[page])
-        as_host = host or _named(titles[page], flat.text[a:b], hosts)
-        name = names.get(as_host, "") if as_host else ""
+        as_host = host or _named(titles[page], flat.text[a:b], names)
+        name = names.name(as_host) if as_host else ""
         part = PageBlocks(flat, a, b)
         kinds, flags, keys = [], [], []
         for i in range(a, b):
@@ -171,7 +267,7 @@ def _arrow(rows: list[tuple]) -> list[pa.Array]:
 Extra = Callable[[pa.RecordBatch, Flat, list[PageBlocks]], list[pa.Array]]
 
 
-def analyse(page_docs: DataFrame, names: dict[str, str], extra: Extra | None = None, fields: str = "", keep: str = "") -> DataFrame:
+def analyse(page_docs: DataFrame, names: Names, extra: Extra | None = None, fields: str = "", keep: str = "") -> DataFrame:
     """FIELDS of every page, in one pass over the texts; ``extra`` adds columns ``fields`` of the same pass, ``keep``
     names columns (DDL) that come along."""
     kept = [f.split()[0] for f in keep.split(", ") if f]
@@ -189,12 +285,18 @@ def analyse(page_docs: DataFrame, names: dict[str, str], extra: Extra | None = N
     return page_docs.mapInArrow(run, ", ".join(x for x in (FIELDS, fields, keep) if x))
 
 
-def site_names(sites: DataFrame) -> dict[str, str]:
-    """The letters of each site's name by host: of ``NAMES`` sites at most, else none (names then stay in contents)."""
-    rows = sites.select("host", "site_name").limit(NAMES + 1).collect()
-    if len(rows) > NAMES:
-        return {}
-    return {h: k for r in rows if r["host"] and r["site_name"] and (h := host_of("//" + r["host"])) and len(k := line_key(r["site_name"])) > 2}
+def site_names(sites: DataFrame) -> Names:
+    """The letters of each site's name by host (the first of several names): held for up to ``NAMES`` sites, else stored."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(host_of("//" + h), line_key(n)) for h, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if h and n]
+            rows = [r for r in rows if r[0] and len(r[1]) > 2]
+            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.string())], ["host", "name"])
+
+    names = sites.select("host", "site_name").mapInArrow(run, "host string, name string").groupBy("host").agg(F.min("name").alias("name"))
+    rows = names.limit(NAMES + 1).collect()
+    return StoredNames(names) if len(rows) > NAMES else Names({r["host"]: r["name"] for r in rows})
 
 
 def low_contents(structured: DataFrame, sites: DataFrame) -> DataFrame:
@@ -266,32 +368,34 @@ def body_flags(first: int, kinds: list[int], levels: list[int], flags: list[int]
 
 
 class Low:
-    """The low contents for the pages of a partition."""
+    """The low contents for the pages of a partition: of all sites, or of the languages' pool only."""
 
-    def __init__(self, held: dict[int, frozenset[int]] | None):
-        self.held = held
+    def __init__(self, held: dict[int, frozenset[int]], joined: bool = False):
+        self.held, self.joined = held, joined
 
     def of(self, site: int, own: list[int] | None) -> tuple[Callable[[int], bool], bool]:
-        if self.held is not None:
-            mine, shared = self.held.get(site, frozenset()), self.held.get(0, frozenset())
-            few = site == 0 or site not in self.held
-            return (lambda k: k in mine or k in shared), 0 in mine or few
-        mine = frozenset(own or ())
-        return (lambda k: k in mine), 0 in mine or site == 0
+        shared = self.held.get(0, frozenset())
+        mine = (None if own is None else frozenset(own)) if self.joined else self.held.get(site)
+        few = site == 0 or mine is None
+        mine = mine or frozenset()
+        return (lambda k: k in mine or k in shared), 0 in mine or few
 
 
 def with_low(structured: DataFrame, low: DataFrame) -> tuple[DataFrame, Low]:
     """The pages ready for ``body_flags``: low contents held by every task if their count allows it, else joined to
-    the pages of their host (bounded for a host: a content needs ``LEAST_SHARE`` of its pages)."""
+    the pages of their host (bounded for a host: a content needs ``LEAST_SHARE`` of its pages), and only the pool held
+    (bounded for a language: ``POOL_SHARE``)."""
     low = materialize(low, "low")
     rows = low.limit(HELD + 1).collect()
-    if len(rows) <= HELD:
-        held: dict[int, set[int]] = {}
-        for r in rows:
-            held.setdefault(r["site"], set()).add(r["key"])
-        return structured.withColumn("low", F.lit(None).cast("array<bigint>")), Low({k: frozenset(v) for k, v in held.items()})
+    joined = len(rows) > HELD
+    held: dict[int, set[int]] = {}
+    for r in low.where("site = 0").collect() if joined else rows:
+        held.setdefault(r["site"], set()).add(r["key"])
+    known = Low({k: frozenset(v) for k, v in held.items()}, joined)
+    if not joined:
+        return structured.withColumn("low", F.lit(None).cast("array<bigint>")), known
     own = low.where("site <> 0").groupBy(F.col("site").alias("as_site")).agg(F.collect_set("key").alias("low"))
-    return structured.join(own, "as_site", "left"), Low(None)
+    return structured.join(own, "as_site", "left"), known
 
 
 def _boilerplate(batches: Iterator[pa.RecordBatch], low: Low) -> Iterator[pa.RecordBatch]:

@@ -337,3 +337,35 @@ def test_echoes_under_titles_of_their_own(spark):
     rows += [(10 + i, "# Garden gates\n\nPlease close garden gates behind you", f"https://h{i % 2}.example/x-{chr(97 + i)}") for i in range(4)]  # the title names it
     got = {r["doc_id"] for r in residue.judge(spark.createDataFrame(rows, "doc_id bigint, text string, url string")).collect()}
     assert got == {0, 1, 2, 3}
+
+
+def several_sites():
+    """A site with low contents, a small one, and pages without a url, one named in its texts only."""
+    rows = site_pages(40)
+    small = [H.page(100 + i, rows[i][4], url="https://c.example/x") for i in range(2)]
+    bare = [H.page(200, rows[0][4], url=None), H.page(201, rows[1][4], url=None, title="X | The Gamma Post"), H.page(202, [H.block("p", "Lost menus"), *rows[2][4]], url=None)]
+    return rows + small + bare, [("a.example", "The Alpha Notes", "en"), ("b.example", "Alpha", "en"), ("c.example", "The Gamma Post", "en")]
+
+
+@pytest.mark.parametrize("limit, at", [("HELD", 3), ("NAMES", 2)])
+def test_bodies_are_the_same_beyond_any_limit(spark, monkeypatch, limit, at):
+    rows, known = several_sites()
+    df, sites = H.pages(spark, rows), H.sites(spark, known)
+    want = {tuple(r) for r in sitetree.boilerplate(df, sites).collect()}
+    assert {100, 101, 200, 201, 202} <= {page for page, _ in want}
+    monkeypatch.setattr(sitetree, limit, at)
+    assert {tuple(r) for r in sitetree.boilerplate(df, sites).collect()} == want
+
+
+def test_names_of_many_sites(spark):
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abcde") for _ in range(n))
+    names = {f"h{i}.example": word(rng.randint(3, 9)) for i in range(6_000)}
+    held, stored = sitetree.Names(names), sitetree.StoredNames(spark.createDataFrame(list(names.items()), "host string, name string"))
+    for key in [word(rng.randint(0, 60)) for _ in range(40)] + ["xyz", ""]:
+        inside = {n for n in names.values() if n in key}
+        want = min((h for h, n in names.items() if n == min(inside, key=lambda n: (-len(n), n))), default=None) if inside else None
+        assert held.longest(key) == stored.longest(key) == want
+    for host in [*list(names)[:20], "none.example"]:
+        assert held.name(host) == stored.name(host) == names.get(host, "")
+    assert sitetree._named(None, [list(names.values())[7]], held) is not None  # beyond 5,000 sites
