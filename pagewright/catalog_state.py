@@ -106,6 +106,18 @@ def unseen_results(spark, d):
     return S.unseen(rows, seen, "k").select("k", "id")
 
 
+@_query(
+    """WITH a AS (SELECT k, min(event_id) AS id FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE event_type = 'view') GROUP BY k),
+    seen AS (SELECT DISTINCT CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE event_type = 'purchase')
+    SELECT k, id FROM a WHERE NOT EXISTS (SELECT 1 FROM seen WHERE seen.k = a.k)"""
+)
+def unseen_results_whole(spark, d):
+    """The same with the whole of the other log: keys shown to no user yet."""
+    e = _events(spark, d)
+    rows = e.where("event_type = 'view'").select("k", F.col("event_id").alias("rank"), F.col("event_id").alias("id"))
+    return S.unseen(rows, e.where("event_type = 'purchase'").select("k"), "k").select("k", "id")
+
+
 @_query("SELECT page_id FROM (SELECT DISTINCT page_id, url, note FROM page_docs) WHERE trim(coalesce(url, '')) <> '' AND NOT regexp_matches(coalesce(note, ''), 'HTTP [45][0-9][0-9]')")
 def visit_log_rule(spark, d):
     """Pages whose visit is recorded: an address, no error note."""

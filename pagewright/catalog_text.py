@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.catalog_blocks import _SP, _strip
+from pagewright.catalog_blocks import _ESC, _HEADS, _SP, BLOCKS, _strip, translate_requests
 from pagewright.functions import layout as L
 from pagewright.functions import text as X
 from pagewright.operators import printed as R
@@ -231,3 +231,16 @@ def reply_spans(spark, d):
     texts = docs.select("doc_id", F.explode(J.reply_texts(F.to_json(F.array("text")))).alias("reply"))
     spans = J.reply_spans(F.col("reply"))
     return texts.select("doc_id", F.size(spans).cast("bigint").alias("parts"), F.get(spans, F.lit(0))["text"].alias("first"))
+
+
+@_query(
+    f"""WITH {BLOCKS} SELECT page_id, pos, CAST(CASE WHEN len(spans) > 1 THEN len(spans) ELSE 1 END AS BIGINT) AS parts,
+    CASE WHEN len(spans) > 1 THEN list_transform(spans, lambda s: {_ESC.format(t='coalesce(s.text, chr(0))')}) ELSE [{_strip(_ESC.format(t='text'))}] END AS texts
+    FROM blk WHERE {_HEADS} AND len(spans) > 0"""
+)
+def reply_spans_whole(spark, d):
+    """Marked replies of a translator taken apart: the requests of all blocks, come back as JSON."""
+    requests = translate_requests(spark, d)
+    replies = requests.select("page_id", "pos", F.explode(J.reply_texts(F.to_json(F.array("request")))).alias("reply"))
+    spans = J.reply_spans(F.col("reply"))
+    return replies.select("page_id", "pos", F.size(spans).cast("bigint").alias("parts"), F.transform(spans, lambda s: s["text"]).alias("texts"))

@@ -40,3 +40,12 @@ def test_query(spark, con, name):
         assert got == sorted(str([plain(r[i]) for i in order]) for r in rel.fetchall())
     else:
         assert got
+
+
+def test_whole_tables_are_read(spark, con):
+    whole = {r["k"] for r in QUERIES["unseen_results_whole"](spark, DATA).collect()}
+    shown = {r[0] for r in con.sql("SELECT DISTINCT CAST(json_extract_string(props, '$.k') AS BIGINT) FROM events WHERE event_type = 'purchase'").fetchall()}
+    assert not whole & shown
+    replies = QUERIES["reply_spans_whole"](spark, DATA)
+    assert replies.where("parts > 1").count() > 0
+    assert replies.count() == QUERIES["translate_requests"](spark, DATA).count()
