@@ -121,6 +121,7 @@ class Flat:
         count = len(self.page)
         self.n = np.bincount(owner, size, count).astype(np.int64)
         self.linked = np.bincount(owner, size * link, count).astype(np.int64)
+        self.span_image = image
         self.image = np.bincount(owner, image, count) > 0
         ends = np.r_[0, np.cumsum(np.bincount(owner, minlength=count))].astype(int).tolist()
         st = self.span_texts

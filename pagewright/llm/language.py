@@ -7,8 +7,9 @@ next gives the confidence. All paragraphs of a batch are ranked together by sort
 
 The body comes from the site style tree (``sitetree``), pages that are not prose from ``prose``.
 
-Defined results: a text of fewer than ``LEAST_LETTERS`` known letters has no language; a page without such a
-paragraph has none; a null, empty, blank or ``und`` label is missing; case, region and script of a label do not
+Defined results: a text of fewer than ``LEAST_LETTERS`` known letters has no language; a page without a paragraph that
+has one is judged by the other texts of its body together (headings, items, cells), without code, and has none if
+they have none; a paragraph is judged without its pictures' texts; a null, empty, blank or ``und`` label is missing; case, region and script of a label do not
 matter; a redelivered page counts once; an empty table gives none.
 """
 
@@ -21,10 +22,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pagewright.llm import prose, sitetree
 from pagewright.llm.common import PAGE_SCHEMA, Flat, fold, pages
-from pagewright.plans.stages import materialize
+from pagewright.plans.stages import join_small, materialize
 from pagewright.sources.tables import table
 
 #: N-grams of a profile, and of a text, that are compared.
@@ -33,6 +35,8 @@ LENGTHS = (1, 3)
 LEAST_LETTERS = 6
 #: A paragraph is in another language than its body only if it is so much nearer to it; names tell little of a short one.
 NEARER, NEARER_SHORT, SHORT = 0.12, 0.18, 80
+#: Pages that are judged at a time.
+SLICE = 500
 #: Sentences read for the profiles at most (a fixed table).
 SAMPLES = 100_000
 
@@ -155,21 +159,31 @@ def profiles(lang_samples: DataFrame) -> Profiles:
     return Profiles(sorted((r["lang"], r["text"]) for r in rows if r["lang"] and r["text"]))
 
 
+def _told_text(flat: Flat, i: int) -> str:
+    """The text of a block without its pictures' texts."""
+    if not flat.image[i]:
+        return flat.text[i]
+    a, z = flat.span_starts[i], flat.span_starts[i + 1]
+    return "".join(t for t, image in zip(flat.span_texts[a:z], flat.span_image[a:z].tolist()) if not image)
+
+
 class LanguageExtra:
-    """Adds ``told``, the places of a page's paragraphs and quotes, and ``far``, the distances of each to all languages
-    (0: none), to the analysis of pages."""
+    """Adds ``told``, the places of a page's paragraphs and quotes, ``plain``, which of them are no captions and hold no
+    picture, and ``far``, the distances of each to all languages (0: none), to the analysis of pages."""
 
-    FIELDS = "told array<int>, far array<int>"
+    FIELDS = "told array<int>, plain array<boolean>, far array<int>"
 
     def __init__(self, known: Profiles):
         self.known = known
 
     def __call__(self, b: pa.RecordBatch, flat: Flat, parts: list) -> list[pa.Array]:
-        at = np.array([i for i, (k, t) in enumerate(zip(flat.kind, flat.text)) if t and (k == "p" or k == "quote") and not flat.image[i] and not flat.caption[i]], np.int64)
-        far = self.known.distances([flat.text[i] for i in at.tolist()])
+        at = np.array([i for i, (k, t) in enumerate(zip(flat.kind, flat.text)) if t and (k == "p" or k == "quote")], np.int64)
+        far = self.known.distances([_told_text(flat, i) for i in at.tolist()])
         ends = np.searchsorted(at, flat.starts)
-        told = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat.pos[at].astype(np.int32)))
-        return [told, pa.ListArray.from_arrays(pa.array((ends * far.shape[1]).astype(np.int32)), pa.array(far.reshape(-1)))]
+        offsets = pa.array(ends.astype(np.int32))
+        told = pa.ListArray.from_arrays(offsets, pa.array(flat.pos[at].astype(np.int32)))
+        plain = pa.ListArray.from_arrays(offsets, pa.array([not flat.image[i] and not flat.caption[i] for i in at.tolist()], pa.bool_()))
+        return [told, plain, pa.ListArray.from_arrays(pa.array((ends * far.shape[1]).astype(np.int32)), pa.array(far.reshape(-1)))]
 
 
 class _Both:
@@ -191,11 +205,35 @@ def label(declared: str | None) -> str | None:
 
 
 SCHEMA = "page_id bigint, pos bigint, lang string, confidence double, declared string, prose double"
+#: The place of a row that stands for a page without a paragraph that can be told.
+UNTOLD = -2
+
+
+def _by_other_texts(page_docs: DataFrame, untold: DataFrame, known: Profiles, everything: bool) -> DataFrame:
+    """SCHEMA of the pages of ``untold`` (page_id, declared, prose, body), by all texts of their body but code at once."""
+    names = known.langs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            flat = Flat(b)
+            bodies, starts = b.column("body").to_pylist(), flat.starts.tolist()
+            block = lambda i: flat.table_text(i) if flat.kind[i] == "table" else _told_text(flat, i)
+            texts = ["\n".join(block(a + i) for i in body if i < z - a and flat.kind[a + i] != "pre") for body, a, z in zip(bodies, starts, starts[1:])]
+            langs, sure = nearest(known.distances(texts))
+            rows = zip(*(b.column(c).to_pylist() for c in ("page_id", "declared", "prose")))
+            out = [(i, -1, names[x], float(s), d, p) for (i, d, p), x, s in zip(rows, langs.tolist(), sure) if x >= 0 and (everything or d != names[x])]
+            if out:
+                c = list(zip(*out))
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, (pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.string(), pa.float64()))], [f.split()[0] for f in SCHEMA.split(", ")])
+
+    return join_small(page_docs.select("page_id", "blocks"), untold, "page_id").mapInArrow(run, SCHEMA)
 
 
 def languages(page_docs: DataFrame, sites: DataFrame, common_words: DataFrame, lang_samples: DataFrame, everything: bool = True, model: dict | None = None) -> DataFrame:
-    """The language of each page (pos -1: that of most of its body's paragraphs) and of each paragraph or quote of its
-    body, with a confidence. Without ``everything``, only what is wrong: pages of prose whose label is missing or
+    """The language of each page (pos -1: that of most of its body's paragraphs, else captions, else all its body's texts
+    together) and of each paragraph or quote of its body, with a confidence. Without ``everything``, only what is wrong: pages of prose whose label is missing or
     another, and paragraphs in another language than their page."""
     words, pieces = prose.common_sets(common_words.select("lang", "word").limit(100_000).collect())
     known = profiles(lang_samples)
@@ -211,9 +249,7 @@ def languages(page_docs: DataFrame, sites: DataFrame, common_words: DataFrame, l
     names = known.langs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE)):
             body = prose.bodies(b, low)
             p = prose.probability(model, prose.batch_stats(b, low, body))
             counted = np.asarray(b.column("counts").flatten()).reshape(-1, prose.K)
@@ -225,33 +261,43 @@ def languages(page_docs: DataFrame, sites: DataFrame, common_words: DataFrame, l
             of = np.repeat(starts[:-1], np.diff(np.asarray(b.column("told").offsets)))
             far[of + np.asarray(b.column("told").flatten())] = np.asarray(b.column("far").flatten()).reshape(-1, len(names))
             langs, sure = nearest(far)
+            plain = np.zeros(len(body), bool)
+            plain[of + np.asarray(b.column("told").flatten())] = np.asarray(b.column("plain").flatten())
             rows = []
             for i, (page_id, declared) in enumerate(zip(b.column("page_id").to_pylist(), b.column("lang").to_pylist())):
                 a, z = int(starts[i]), int(starts[i + 1])
                 told = np.flatnonzero(body[a:z] & (langs[a:z] >= 0)) + a
                 if not len(told):
+                    if everything or p[i] >= 0.5:
+                        rows.append((page_id, UNTOLD, None, None, label(declared), float(p[i]), np.flatnonzero(body[a:z]).tolist()))
                     continue
-                votes = Counter(langs[told].tolist())
+                voting = told[plain[told]] if plain[told].any() else told
+                votes = Counter(langs[voting].tolist())
                 weight = Counter()
-                for t in told.tolist():
+                for t in voting.tolist():
                     weight[int(langs[t])] += int(chars[t])
                 main = max(votes, key=lambda x: (votes[x], weight[x], -x))
-                same = told[langs[told] == main]
+                same = voting[langs[voting] == main]
                 declared = label(declared)
                 if everything or p[i] >= 0.5 and declared != names[main]:
-                    rows.append((page_id, -1, names[main], float(np.average(sure[same], weights=np.maximum(chars[same], 1))), declared, float(p[i])))
+                    rows.append((page_id, -1, names[main], float(np.average(sure[same], weights=np.maximum(chars[same], 1))), declared, float(p[i]), None))
                 for t in told.tolist():
                     gap = 1 - far[t, langs[t]] / max(far[t, main], 1)  # from the body's own language
                     if everything or p[i] >= 0.5 and langs[t] != main and gap >= least[t] and sentence[t]:
-                        rows.append((page_id, t - a, names[langs[t]], float(sure[t] if langs[t] == main else gap), declared, float(p[i])))
+                        rows.append((page_id, t - a, names[langs[t]], float(sure[t] if langs[t] == main else gap), declared, float(p[i]), None))
             if rows:
                 c = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.string()), pa.array(c[3], pa.float64()), pa.array(c[4], pa.string()), pa.array(c[5], pa.float64())],
-                    ["page_id", "pos", "lang", "confidence", "declared", "prose"],
+                    [pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.string()), pa.array(c[3], pa.float64()), pa.array(c[4], pa.string()), pa.array(c[5], pa.float64()), pa.array(c[6], pa.list_(pa.int32()))],
+                    ["page_id", "pos", "lang", "confidence", "declared", "prose", "body"],
                 )
 
-    return ready.mapInArrow(run, SCHEMA).dropDuplicates(["page_id", "pos"])
+    first = materialize(ready.mapInArrow(run, f"{SCHEMA}, body array<int>"), "told")
+    untold = first.where(F.col("pos") == UNTOLD).select("page_id", "declared", "prose", "body").dropDuplicates(["page_id"])
+    out = first.where(F.col("pos") != UNTOLD).drop("body")
+    if untold.limit(1).count():  # else the pages need not be read again
+        out = out.unionByName(_by_other_texts(page_docs, untold, known, everything))
+    return out.dropDuplicates(["page_id", "pos"])
 
 
 def page_languages(spark: SparkSession, data_dir: str, everything: bool = True) -> DataFrame:

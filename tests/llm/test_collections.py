@@ -369,3 +369,18 @@ def test_names_of_many_sites(spark):
     for host in [*list(names)[:20], "none.example"]:
         assert held.name(host) == stored.name(host) == names.get(host, "")
     assert sitetree._named(None, [list(names.values())[7]], held) is not None  # beyond 5,000 sites
+
+
+def test_pages_without_paragraphs_have_a_language(spark):
+    de, en = SENTENCE["de"], SENTENCE["en"]
+    listed = [H.block("h", "Liste", 1), *[H.block("li", de) for _ in range(3)]]
+    cells = [H.block("table", "", rows=[[[(de,)], None], None]), H.block("p", "12")]
+    picture = ("p", 0, None, [("[image: a dog]", None, True), (de, None, False)], None, False)
+    rows = [H.page(1, listed, url="https://s1.example/"), H.page(2, cells, url="https://s2.example/"), H.page(3, [H.block("p", de, caption=True)], url="https://s3.example/")]
+    rows += [H.page(4, [H.block("p", de, link=None), H.block("pre", en * 9)], url="https://s4.example/"), H.page(5, [H.block("pre", en * 9)], url="https://s5.example/")]
+    rows += [story(6, "en", "en", [picture]), story(7, "en", "en", [H.block("p", de, caption=True)])]
+    words, samples = spark.createDataFrame(WORDS, "lang string, word string"), spark.createDataFrame(SAMPLES, "lang string, text string")
+    got = {(r["page_id"], r["pos"]): r["lang"] for r in language.languages(H.pages(spark, rows), H.sites(spark), words, samples).collect()}
+    assert {i: x for (i, pos), x in got.items() if pos == -1} == {1: "de", 2: "de", 3: "de", 4: "de", 6: "en", 7: "en"}
+    assert got[6, 4] == got[7, 4] == "de"
+    assert all(pos >= -1 and x for (_, pos), x in got.items())
