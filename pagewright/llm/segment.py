@@ -34,10 +34,11 @@ class Rule(NamedTuple):
     breaks: bool
     before: re.Pattern
     after: re.Pattern
+    whole: bool = False  # what stands before may be long: the rule sees all of the line
 
 
-def _no(before: str, after: str = "") -> Rule:
-    return Rule(False, re.compile(f"(?:{before})\\Z"), re.compile(after))
+def _no(before: str, after: str = "", whole: bool = False) -> Rule:
+    return Rule(False, re.compile(f"(?:{before})\\Z"), re.compile(after), whole)
 
 
 def _yes(before: str, after: str = "") -> Rule:
@@ -109,7 +110,7 @@ LATIN_COMMON = [
     # initials, not after a lower-case letter: J. K., J.-P.
     _no(rf"(?<![\w’'°])[A-ZÀ-ÖØ-ÞА-ЯЁ]\.(?:-[A-ZÀ-Þ]\.)*", rf"[\s\-]*[{UP}]"),
     # names of hosts
-    _no(r"(?<![\w@])[\w\-]+(?:\.[\w\-]+)*\.", r"(?:[\w\-]+\.)*(?:example|test|invalid|localhost|com|org|net|edu|gov|io|info|de|fr|es|it|pt|ru|uk|eu|co)\b"),
+    _no(r"(?<![\w@])[\w\-]+(?:\.[\w\-]+)*\.", r"(?:[\w\-]+\.)*(?:example|test|invalid|localhost|com|org|net|edu|gov|io|info|de|fr|es|it|pt|ru|uk|eu|co)\b", whole=True),
     _no(r"n\.", r"[ºª°]"),
     _no(r"\d\.", r"[ºª°]"),
 ]
@@ -135,7 +136,7 @@ JAPANESE = [
     _yes(r"[。！？!?｡][」』”）)】]*", r""),
 ]
 CHINESE = [
-    _no(r"(?:^|[。！？!?…][”」』）]*\s*)[“「][^“”「」]*[”」]", r"[^。！？!?，：“「\n]{0,16}?(?:问|说|道|喊|答|写|讲|叫|想|問|說|喊)"),
+    _no(r"(?:^|[。！？!?…][”」』）]*\s*)[“「][^“”「」]*[”」]", r"[^。！？!?，：“「\n]{0,16}?(?:问|说|道|喊|答|写|讲|叫|想|問|說|喊)", whole=True),
     _yes(r"[。！？!?｡][”’」』）)】]*", r""),
 ]
 KOREAN = [
@@ -207,14 +208,11 @@ def script_of(text: str) -> str:
 
 def _decide(line: str, at: int, cascade: list[list[Rule]], pairs: bool) -> bool:
     for rules in cascade:
-        if rules is INSIDE or rules is BRACKET:
-            if not pairs:
-                continue
-            before = line[:at]
-        else:
-            before = line[max(0, at - 60) : at]
-        for breaks, left, right in rules:
-            if right.match(line, at) and left.search(before):
+        pair = rules is INSIDE or rules is BRACKET
+        if pair and not pairs:
+            continue
+        for breaks, left, right, whole in rules:
+            if right.match(line, at) and left.search(line, 0 if pair or whole else max(0, at - 60), at):
                 return breaks
     return False
 

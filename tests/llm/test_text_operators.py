@@ -225,3 +225,11 @@ def test_configurations_are_the_fullest():
         total = sum(s * k for s, k in zip(sizes, config))
         everything = [sum(c) for n in range(12) for c in combinations_with_replacement(sizes, n) if all(c.count(s) <= m for s, m in zip(sizes, left))]
         assert total == max(t for t in everything if t <= capacity)
+
+
+def test_long_quotations_and_names_are_seen_whole():
+    said = "“" + "我们的村子很安静" * 12 + "。”老人说完就走了。"
+    text = said + "他走了。"
+    assert [text[a:b] for a, b in segment.spans(text)] == [said, "他走了。"]
+    name = "x" * 70 + ".example"
+    assert [(f"See {name} now."[a:b]) for a, b in segment.spans(f"See {name} now.")] == [f"See {name} now."]
