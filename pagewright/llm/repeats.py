@@ -26,6 +26,7 @@ from pagewright.plans.stages import join_small, materialize
 LEAST_PAGES = 5
 LEAST_PERCENT = 10
 PAGES = "page_id bigint, url string, blocks array<struct<kind:string,level:int,marker:string,spans:array<struct<text:string,link:int,image:boolean>>>>"
+PAGES_WITH_CELLS = PAGES.replace(",image:boolean>>>>", ",image:boolean>>,cell_rows:array<array<array<struct<text:string>>>>>>")
 CACHE = 200_000
 SCHEMA = "page_id bigint, site bigint, pos int, line_no int, key bigint, variant bigint"
 
@@ -98,7 +99,8 @@ def find(page_docs: DataFrame) -> DataFrame:
 def without(page_docs: DataFrame, hits: DataFrame) -> DataFrame:
     """(page_id, pos, text): the text of every block that has one, without the lines of ``hits``; a page counts once.
 
-    A block that consists of such lines only is left out; tables keep no text here.
+    A block that consists of such lines only is left out; a table has its cells as text, a line for each row, and loses none.
+    A page of which nothing is left is one row of pos -1 and an empty text.
     """
     drop = hits.groupBy("page_id").agg(F.collect_list(F.struct("pos", "line_no")).alias("drop"))  # of one page: bounded by its lines
     once = page_docs.select("page_id", "blocks").dropDuplicates(["page_id"])
@@ -109,11 +111,16 @@ def without(page_docs: DataFrame, hits: DataFrame) -> DataFrame:
             ids = b.column(0).to_pylist()
             gone = [{(d["pos"], d["line_no"]) for d in ds} if ds else set() for ds in b.column(2).to_pylist()]
             rows = []
-            for page, pos, kind, text in zip(flat.page.tolist(), flat.pos.tolist(), flat.kind, flat.text):
-                if text and kind != "table":
+            for i, (page, pos, kind, text) in enumerate(zip(flat.page.tolist(), flat.pos.tolist(), flat.kind, flat.text)):
+                if kind == "table":
+                    if (cells := flat.table_text(i)).strip():
+                        rows.append((ids[page], pos, cells))
+                elif text:
                     kept = [x for n, x in enumerate(text.split("\n")) if (pos, n) not in gone[page]]
                     if kept:
                         rows.append((ids[page], pos, "\n".join(kept)))
+            kept_ids = {r[0] for r in rows}
+            rows.extend((i, -1, "") for i in ids if i not in kept_ids)
             if rows:
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())], ["page_id", "pos", "text"])
@@ -128,5 +135,4 @@ def found(spark: SparkSession, data_dir: str) -> DataFrame:
 
 def cleaned(spark: SparkSession, data_dir: str) -> DataFrame:
     """p3_pages: every page's text without the lines that its site repeats."""
-    page_docs = pages(spark, data_dir, PAGES)
-    return without(page_docs, find(page_docs))
+    return without(pages(spark, data_dir, PAGES_WITH_CELLS), find(pages(spark, data_dir, PAGES)))

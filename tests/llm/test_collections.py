@@ -384,3 +384,11 @@ def test_pages_without_paragraphs_have_a_language(spark):
     assert {i: x for (i, pos), x in got.items() if pos == -1} == {1: "de", 2: "de", 3: "de", 4: "de", 6: "en", 7: "en"}
     assert got[6, 4] == got[7, 4] == "de"
     assert all(pos >= -1 and x for (_, pos), x in got.items())
+
+
+def test_cleaned_pages_keep_tables_and_every_page(spark):
+    rows = line_pages(40) + [H.page(50, [H.block("p", "Share this")], url="https://a.example/50"), H.page(51, [H.block("table", "", rows=[[[("a",)], [("b",)]], [[("c",)]]])], url="https://a.example/51")]
+    df = H.pages(spark, rows)
+    clean = {(r["page_id"], r["pos"]): r["text"] for r in repeats.without(df, repeats.find(df)).collect()}
+    assert clean[3, 1] == "Share this" and clean[51, 0] == "a\tb\nc"
+    assert clean[50, -1] == "" and {page for page, _ in clean} == {r[0] for r in rows}
