@@ -37,7 +37,7 @@ LEAST_LETTERS = 6
 NEARER, NEARER_SHORT, SHORT = 0.12, 0.18, 80
 #: Pages that are judged at a time.
 SLICE = 500
-#: Sentences read for the profiles at most (a fixed table).
+#: Labelled sentences that the profiles are fitted on at most: those of the smallest hashes.
 SAMPLES = 100_000
 
 _SPACE, _RARE = 1, 2
@@ -155,7 +155,8 @@ def nearest(distances: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def profiles(lang_samples: DataFrame) -> Profiles:
-    rows = lang_samples.select("lang", "text").limit(SAMPLES).collect()
+    samples = lang_samples.select("lang", "text").distinct()
+    rows = samples.orderBy(F.xxhash64("lang", "text"), "lang", "text").limit(SAMPLES).collect()
     return Profiles(sorted((r["lang"], r["text"]) for r in rows if r["lang"] and r["text"]))
 
 
@@ -235,7 +236,7 @@ def languages(page_docs: DataFrame, sites: DataFrame, common_words: DataFrame, l
     """The language of each page (pos -1: that of most of its body's paragraphs, else captions, else all its body's texts
     together) and of each paragraph or quote of its body, with a confidence. Without ``everything``, only what is wrong: pages of prose whose label is missing or
     another, and paragraphs in another language than their page."""
-    words, pieces = prose.common_sets(common_words.select("lang", "word").limit(100_000).collect())
+    words, pieces = prose.common_sets(prose.common_rows(common_words))
     known = profiles(lang_samples)
     if not known.langs:
         return page_docs.sparkSession.createDataFrame([], SCHEMA)

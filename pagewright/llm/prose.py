@@ -2,9 +2,11 @@
 
 One pass over the texts counts characters, words, common words, symbols, digits, lines and the characters of
 sentences in every block; the statistics of a page are those of its main body (``sitetree``). Gradient-boosted trees
-score them. The trees are fitted on a bounded sample of pages with weak labels (structure rules that abstain in the
-middle), and their scores turned into probabilities by a logistic fit on a holdout checked by hand
-(``prose_holdout.json``); the fitted model is ``prose_model.json``, made by ``python -m pagewright.llm.prose_fit``.
+score them. The trees are fitted on a bounded sample of pages with weak labels: votes of structure rules, none of which
+looks at the share of sentences, and which abstain where they disagree or say nothing. Every tree sees part of the
+statistics only, so the score rests on many. Scores become probabilities by a logistic fit on one half of a holdout
+labelled by reading (``prose_holdout.json``); the other half measures. The fitted model is ``prose_model.json``, made
+by ``python -m pagewright.llm.prose_fit``.
 
 Defined results: a body without text has zero statistics and is not prose; null blocks, spans and texts count as
 empty; a redelivered page counts once; an empty table gives none; texts of any length are counted whole.
@@ -29,11 +31,13 @@ from pagewright.plans.stages import materialize
 from pagewright.sources.tables import table
 
 #: Counts of a block, in this order.
-COUNTS = ("chars", "sentence_chars", "lines", "stopped_lines", "words", "common", "letters", "digits", "symbols", "broken", "separators", "linked", "short_lines", "is_list", "is_table", "is_code", "is_text", "word_chars", "odd")
+COUNTS = ("chars", "sentence_chars", "lines", "stopped_lines", "words", "common", "letters", "digits", "symbols", "broken", "separators", "linked", "short_lines", "is_list", "is_table", "is_code", "is_text", "word_chars", "odd", "listed", "distinct")
 K = len(COUNTS)
 #: Statistics of a page, in this order.
-STATS = ("sentence_share", "text_share", "list_share", "table_share", "code_share", "link_share", "mean_line", "stopped_share", "common_share", "symbol_share", "digit_share", "mean_word", "broken_share", "separators_per_line", "short_share", "letter_share", "log_chars", "odd_share")
+STATS = ("sentence_share", "text_share", "list_share", "table_share", "code_share", "link_share", "mean_line", "stopped_share", "common_share", "symbol_share", "digit_share", "mean_word", "broken_share", "separators_per_line", "short_share", "letter_share", "log_chars", "odd_share", "listed_share", "distinct_share")
 RIDGE = 1.0
+#: Rows of the table of common words, which is fixed; more are an error, since every task holds them.
+COMMON_WORDS = 1_000_000
 MODEL = Path(__file__).with_name("prose_model.json")
 
 _STOPS = frozenset(".!?…。！？")
@@ -42,7 +46,9 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 _DIGITS = re.compile(r"\d+")
 _SYMBOLS = re.compile(r"[^\w\s.,;:!?'\"()…、。，！？「」“”„«»¿¡·—–（）’\-฀-๿̀-゙゚ͯ]")
 _BROKEN = re.compile("[ÃÂÐÑÒØÙãäåæçèéêëìíïâ][¤-¿]|[à-ï]¤|�")
-_ODD = re.compile("[bcdfghjklmnpqrstvwxz]{5}|[бвгджзклмнпрстфхцчшщ]{5}|[a-z]\\d+[a-z]+\\d")
+_ODD = re.compile("[bcdfghjklmnpqrstvwxzбвгджзклмнпрстфхцчшщ]{5}")
+_ODD_MIX = re.compile("[a-z]\\d+[a-z]+\\d")
+_COMMA = re.compile("[,،、，]")
 _SPACELESS = re.compile("[぀-ヿ㐀-鿿฀-๿]+")
 _THAI = re.compile("[฀-๿]")
 _BLANKLESS_FORM = re.compile("[가-힣а-яё]")
@@ -51,6 +57,16 @@ _BLANKLESS_FORM = re.compile("[가-힣а-яё]")
 _NO_LETTER = bytes(c for c in range(128) if not chr(c).isalpha())
 _NO_DIGIT = bytes(c for c in range(128) if not chr(c).isdigit())
 _NO_SYMBOL = bytes(c for c in range(128) if not _SYMBOLS.match(chr(c)))
+# ASCII consonants as one sign, for counting runs of five
+_CONSONANTS = bytes(ord("c") if chr(c) in "bcdfghjklmnpqrstvwxzBCDFGHJKLMNPQRSTVWXZ" else 32 for c in range(256))
+
+
+def _listed(line: str) -> bool:
+    """Whether a line without any stop is an enumeration: three short pieces or more, commas between."""
+    pieces = _COMMA.split(line)
+    if len(pieces) < 3 or len(line) > 45 * len(pieces) or any(c in line for c in ".!?。！？…"):
+        return False
+    return line.count(" ") <= 6 * len(pieces)
 
 
 def count_block(text: str, kind: str, linked: int, common: frozenset[str], pieces: re.Pattern | None) -> tuple[int, ...]:
@@ -65,29 +81,39 @@ def count_block(text: str, kind: str, linked: int, common: frozenset[str], piece
         raw = text.encode()
         letters, digits, symbols = len(raw.translate(None, _NO_LETTER)), len(raw.translate(None, _NO_DIGIT)), len(raw.translate(None, _NO_SYMBOL))
         broken = spaceless = 0
+        odd = raw.translate(_CONSONANTS).count(b"ccccc")
     else:
         letters = sum(map(len, _LETTERS.findall(text)))
         digits = sum(map(len, _DIGITS.findall(text)))
         symbols = len(_SYMBOLS.findall(text))
         broken = len(_BROKEN.findall(text))
         spaceless = sum(map(len, _SPACELESS.findall(text)))
+        odd = len(_ODD.findall(low))
+    if digits > 1:
+        odd += len(_ODD_MIX.findall(low))
     separators = text.count(";") + text.count("|") + text.count("\t") + text.count(" · ") + text.count(" / ")
-    # odd letter sequences are looked for where few words are common ones
-    odd = len(_ODD.findall(low)) if known * 12 < word_count else 0
+    # odd letter sequences tell against a text where few words are common ones
+    doubt = odd if known * 12 < word_count else 0
+    distinct = len(set(words))
+    if kind == "table" or kind == "pre":
+        separators = 0  # they belong there
     blankless = spaceless * 3 > n
     if blankless:  # a script without blanks: two characters count as a word
-        word_count = max(word_count, n // 2)
+        word_count = distinct = max(word_count, n // 2)  # which are not told apart
         if pieces is not None:
             known += len(pieces.findall(text))
     lines = text.split("\n")
-    stopped = short = sentence = 0
+    stopped = short = sentence = listed = 0
     for line in lines:
         size = len(line)
         short += size < 40
         end = line.rstrip(_CLOSERS)
         ends = end[-1:] in _STOPS and end != ""
         stopped += ends
-        if kind in ("table", "pre", "h") or kind == "li" and not ends or broken or odd * 4 >= word_count:
+        if not ends and size > 20 and _listed(line):
+            listed += size
+            continue
+        if kind in ("table", "pre", "h") or kind == "li" and not ends or broken or doubt * 4 >= word_count:
             continue
         if separators and ((line.count(";") + line.count("|")) * 40 > size or "\t" in line):
             continue
@@ -107,14 +133,22 @@ def count_block(text: str, kind: str, linked: int, common: frozenset[str], piece
         usual = known if len(lines) == 1 else sum(map(common.__contains__, parts))
         if usual * 4 > count * 3 or not ends and len(set(parts)) * 2 <= count:  # common words or a few words in turn
             continue
-        if usual * 10 >= count or count < 10 and usual or ends and count > 3 and not odd or _BLANKLESS_FORM.search(line.lower()):
+        if usual * 10 >= count or count < 10 and usual or ends and count > 3 and not doubt or _BLANKLESS_FORM.search(line.lower()):
             sentence += size
-    return n, sentence, len(lines), stopped, word_count, known, letters, digits, symbols, broken, separators, linked, short, n * (kind == "li"), n * (kind == "table"), n * (kind == "pre"), n * (kind in ("p", "quote", "h")), word_chars, odd
+    return n, sentence, len(lines), stopped, word_count, known, letters, digits, symbols, broken, separators, linked, short, n * (kind == "li"), n * (kind == "table"), n * (kind == "pre"), n * (kind in ("p", "quote", "h")), word_chars, odd, listed, distinct
 
 
 _ASIAN = ("ja", "zh", "th")
 
 
+def common_rows(common_words: DataFrame) -> list:
+    """All rows of the fixed table of common words."""
+    rows = common_words.select("lang", "word").distinct().limit(COMMON_WORDS + 1).collect()
+    if len(rows) > COMMON_WORDS:
+        raise ValueError(f"more than {COMMON_WORDS} common words")
+    return rows
+
+
 def common_sets(rows: list) -> tuple[frozenset[str], str]:
     """The common words of all languages written with blanks, and a pattern of those of the others."""
     words = frozenset(r["word"].lower() for r in rows if r["word"] and r["lang"] not in _ASIAN)
@@ -173,20 +207,23 @@ def page_stats(counts: np.ndarray, keep: np.ndarray, page: np.ndarray, pages_: i
         part(c["linked"], c["chars"]), part(c["chars"], c["lines"]), part(c["stopped_lines"], c["lines"]), part(c["common"], c["words"]), part(c["symbols"], c["chars"]),
         part(c["digits"], c["chars"]), part(c["word_chars"], c["words"]), part(c["broken"], c["chars"]), part(c["separators"], c["lines"]), part(c["short_lines"], c["lines"]),
         part(c["letters"], c["chars"]), np.log1p(c["chars"]), part(c["odd"], c["words"]),
+        part(c["listed"], c["chars"]), part(c["distinct"], c["words"]),
     ], axis=1)
 
 
 # ---- gradient-boosted trees -------------------------------------------------------------------------------------
 
 
-def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 3, rate: float = 0.15, bins: int = 48, least: int = 20) -> dict:
-    """Trees for the log odds of ``y``: second-order boosting of the logistic loss on binned statistics."""
+def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 3, rate: float = 0.2, bins: int = 48, least: int = 20, part: int = 3) -> dict:
+    """Trees for the log odds of ``y``: second-order boosting of the logistic loss on binned statistics. Tree t sees
+    one in ``part`` of the statistics, dealt by t, so that no single one decides."""
     cuts = np.linspace(0, 1, bins + 1)[1:-1]  # bins of equal count and of equal width
     edges = [np.unique(np.r_[np.quantile(c, cuts), c.min() + (c.max() - c.min()) * cuts]) for c in x.T]
     code = np.stack([np.searchsorted(e, x[:, j], "left") for j, e in enumerate(edges)], axis=1)
     p0 = np.clip(y.mean(), 0.01, 0.99)
     score = np.full(len(y), np.log(p0 / (1 - p0)))
     model = {"base": float(score[0]) if len(y) else 0.0, "trees": []}
+    dealt = np.random.default_rng(7)  # a fixed seed: the same rows give the same model
 
     def grow(rows: np.ndarray, level: int) -> dict:
         g, h = grad[rows].sum(), hess[rows].sum()
@@ -194,7 +231,8 @@ def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 3, rat
         if level == depth or len(rows) < 2 * least:
             return leaf
         best = (1e-6, None, None)
-        for j, e in enumerate(edges):
+        for j in seen:
+            e = edges[j]
             if not len(e):
                 continue
             gs = np.bincount(code[rows, j], grad[rows], len(e) + 1).cumsum()[:-1]
@@ -209,9 +247,12 @@ def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 3, rat
             return leaf
         _, j, k = best
         left = code[rows, j] <= k
-        return {"j": j, "t": float(edges[j][k]), "l": grow(rows[left], level + 1), "r": grow(rows[~left], level + 1)}
+        return {"j": int(j), "t": float(edges[j][k]), "l": grow(rows[left], level + 1), "r": grow(rows[~left], level + 1)}
 
-    for _ in range(trees):
+    for t in range(trees):
+        if t % part == 0:
+            order = dealt.permutation(len(edges))
+        seen = order[t % part :: part]
         p = 1 / (1 + np.exp(-score))
         grad, hess = p - y, p * (1 - p)
         tree = grow(np.arange(len(y)), 0)
@@ -258,11 +299,31 @@ def probability(model: dict, x: np.ndarray) -> np.ndarray:
 
 
 def weak_labels(x: np.ndarray) -> np.ndarray:
-    """1 prose, 0 structural junk, -1 no opinion: votes of structure rules."""
+    """1 prose, 0 structural junk, -1 no opinion: votes of rules on the structure of pages, blind to the share of sentences."""
     s = dict(zip(STATS, x.T))
-    prose = (s["sentence_share"] > 0.54) & (s["broken_share"] < 0.005) & (s["common_share"] < 0.7)
-    junk = (s["sentence_share"] < 0.46) | (s["broken_share"] > 0.03) | (s["common_share"] > 0.85) | (s["symbol_share"] > 0.3)
-    return np.where(junk & ~prose, 0, np.where(prose & ~junk, 1, -1))
+    running = (s["text_share"] > 0.6) & (s["mean_line"] > 40) & (s["link_share"] < 0.3) & (s["listed_share"] < 0.2)
+    clean = (s["broken_share"] < 0.003) & (s["odd_share"] < 0.03) & (s["separators_per_line"] < 0.5) & (s["code_share"] < 0.1) & (s["table_share"] < 0.2)
+    prose = (running & clean & (s["stopped_share"] > 0.5)).astype(int) + (
+        running & clean & (s["distinct_share"] > 0.25) & (s["mean_line"] > 60) & ((s["stopped_share"] > 0.25) | (s["common_share"] < 0.33))
+    )
+    junk = sum(
+        v.astype(int)
+        for v in (
+            s["list_share"] > 0.6,
+            s["link_share"] > 0.5,
+            s["table_share"] + s["code_share"] > 0.5,
+            s["separators_per_line"] * 60 > s["mean_line"],
+            s["listed_share"] > 0.5,
+            s["broken_share"] > 0.03,
+            s["odd_share"] > 0.15,
+            s["common_share"] > 0.8,
+            s["symbol_share"] > 0.2,
+            s["distinct_share"] < 0.1,
+            (s["stopped_share"] < 0.05) & (s["mean_line"] < 32),
+            (s["stopped_share"] < 0.05) & (s["digit_share"] > 0.03),
+        )
+    )
+    return np.where((junk > 0) & (prose == 0) | (junk > 1), 0, np.where((prose > 0) & (junk == 0), 1, -1))
 
 
 @cache
@@ -275,8 +336,7 @@ def load_model(path: str = str(MODEL)) -> dict:
 
 def analysed(page_docs: DataFrame, sites: DataFrame, common_words: DataFrame) -> tuple[DataFrame, sitetree.Low]:
     """The structure of pages with the counts of their blocks, and what decides their bodies."""
-    words, pieces = common_sets(common_words.select("lang", "word").limit(100_000).collect())
-    extra = CountExtra(words, pieces)
+    extra = CountExtra(*common_sets(common_rows(common_words)))
     page_docs = page_docs.select("page_id", "url", "title", "blocks")
     structured = materialize(sitetree.analyse(page_docs, sitetree.site_names(sites), extra, extra.FIELDS), "statistics")
     return sitetree.with_low(structured, sitetree.low_contents(structured, sites))

@@ -1,8 +1,7 @@
-"""Fits the model of ``prose``: python -m pagewright.llm.prose_fit TABLES_DIR
+"""Fits the model of ``prose``: python -m pagewright.llm.prose_fit TABLES_DIR HOLDOUT_TABLES_DIR
 
-Weak labels come from at most ``SAMPLE`` pages, those with the smallest hashes. The holdout (statistics of pages of
-other tables; each was looked at, and the label that a first score proposed confirmed or corrected by hand) calibrates
-the scores and gives the agreement that is printed.
+Weak labels come from at most ``SAMPLE`` pages, those with the smallest hashes. The holdout names pages of other tables
+and what reading them told; every other one calibrates the scores, and the rest, which the fit never sees, measures.
 """
 
 from __future__ import annotations
@@ -23,18 +22,21 @@ SAMPLE = 20_000
 HOLDOUT = Path(__file__).with_name("prose_holdout.json")
 
 
-def fit(page_docs: DataFrame, sites: DataFrame, common_words: DataFrame, holdout: dict, sample: int = SAMPLE) -> dict:
-    """A calibrated model of pages, with the holdout's accuracy and Brier score."""
+def fit(page_docs: DataFrame, held: DataFrame, sites: DataFrame, common_words: DataFrame, holdout: dict, sample: int = SAMPLE) -> dict:
+    """A calibrated model of ``page_docs``, with the accuracy and Brier score on the measuring half of the holdout, whose pages are in ``held``."""
     blank = {"base": 0.0, "trees": [], "slope": 1.0, "offset": 0.0}
     stats = prose.statistics(page_docs, sites, common_words, blank)
     rows = stats.orderBy(F.xxhash64("page_id"), "page_id").limit(sample).select(*prose.STATS).collect()
     x = np.array([list(r) for r in rows])
     y = prose.weak_labels(x)
     model = prose.fit_trees(x[y >= 0], y[y >= 0].astype(float))
-    hx, hy = np.array(holdout["stats"]), np.array(holdout["prose"], float)
-    model = prose.calibrate(model, hx, hy)
-    p = prose.probability(model, hx)
-    return model | {"stats": list(prose.STATS), "accuracy": float(((p >= 0.5) == (hy == 1)).mean()), "brier": float(((p - hy) ** 2).mean())}
+    told = dict(zip(holdout["page_id"], holdout["prose"]))
+    seen = {r["page_id"]: [r[s] for s in prose.STATS] for r in prose.statistics(held, sites, common_words, blank).where(F.col("page_id").isin(list(told))).collect()}
+    ids = [i for i in told if i in seen]
+    hx, hy = np.array([seen[i] for i in ids]), np.array([told[i] for i in ids], float)
+    model = prose.calibrate(model, hx[::2], hy[::2])
+    p, truth = prose.probability(model, hx[1::2]), hy[1::2]
+    return model | {"stats": list(prose.STATS), "accuracy": float(((p >= 0.5) == (truth == 1)).mean()), "brier": float(((p - truth) ** 2).mean()), "measured": len(truth)}
 
 
 def _rounded(node):
@@ -45,12 +47,13 @@ def _rounded(node):
     return round(node, 6) if isinstance(node, float) else node
 
 
-def main(data_dir: str) -> None:
+def main(data_dir: str, holdout_dir: str) -> None:
     spark = SparkSession.builder.getOrCreate()
-    model = fit(pages(spark, data_dir, PAGE_SCHEMA), table(spark, data_dir, "sites"), table(spark, data_dir, "common_words"), json.loads(HOLDOUT.read_text()))
+    read = lambda d: pages(spark, d, PAGE_SCHEMA)
+    model = fit(read(data_dir), read(holdout_dir), table(spark, data_dir, "sites"), table(spark, data_dir, "common_words"), json.loads(HOLDOUT.read_text()))
     prose.MODEL.write_text(json.dumps(_rounded(model), separators=(",", ":")) + "\n")
-    print({k: model[k] for k in ("accuracy", "brier", "slope", "offset")})
+    print({k: model[k] for k in ("accuracy", "brier", "measured", "slope", "offset")})
 
 
 if __name__ == "__main__":
-    main(sys.argv[1])
+    main(*sys.argv[1:3])

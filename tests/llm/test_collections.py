@@ -1,6 +1,7 @@
 """Repeats within sites, bodies, prose, languages, records and residue: brute force and odd input."""
 
 import json
+import os
 import random
 from collections import Counter, defaultdict
 
@@ -132,11 +133,43 @@ def test_trees_learn_and_calibrate():
     assert (p >= 0).all() and (p <= 1).all()
 
 
-def test_the_model_agrees_with_the_holdout():
+def test_the_model_agrees_with_the_half_of_the_holdout_that_it_never_saw(spark):
     h = json.loads(prose_fit.HOLDOUT.read_text())
-    assert tuple(h["names"]) == prose.STATS
-    p = prose.probability(prose.load_model(), np.array(h["stats"]))
-    assert ((p >= 0.5) == (np.array(h["prose"]) == 1)).mean() >= 0.97
+    tables = f"/root/testdata/{h['tables']}"
+    if not os.path.exists(tables):
+        pytest.skip("the holdout's tables are not here")
+    told = dict(zip(h["page_id"], h["prose"]))
+    got = {r["page_id"]: r["prose"] for r in prose.page_statistics(spark, tables).select("page_id", "prose").collect()}
+    measured = list(told)[1::2]
+    assert np.mean([(got[i] >= 0.5) == (told[i] == 1) for i in measured]) >= 0.97
+
+
+def test_the_model_rests_on_many_statistics():
+    def splits(node):
+        return set() if "v" in node else {node["j"]} | splits(node["l"]) | splits(node["r"])
+
+    assert len(set().union(*map(splits, prose.load_model()["trees"]))) >= 10
+
+
+def test_weak_labels_do_not_look_at_the_share_of_sentences():
+    x = np.random.default_rng(3).random((500, len(prose.STATS))) * 2
+    other = x.copy()
+    other[:, prose.STATS.index("sentence_share")] = 0
+    assert (prose.weak_labels(x) == prose.weak_labels(other)).all()
+
+
+@pytest.mark.parametrize(
+    "text, share",
+    [
+        ("The mill Anor, A narrow lane Bedd, The old bridge Cero, The school Dunn", 1.0),
+        ("The mill was closed, they said, for a week. A lane, which was narrow, led to it.", 0.0),
+        ("山小屋はサノト, 粘土の窯はルベミサ, 村のパン屋はポベネ, 山小屋はサノト", 1.0),
+        ("", 0.0),
+    ],
+)
+def test_enumerations(text, share):
+    counts = dict(zip(prose.COUNTS, prose.count_block(text, "p", 0, frozenset(), None)))
+    assert counts["listed"] == share * len(text) and (not share or not counts["sentence_chars"])
 
 
 SENTENCE = {"en": "The old harbour in the town was closed by the council for a week, and nobody knew why that was so.", "de": "Der alte Hafen in der Stadt wurde von dem Rat für eine Woche geschlossen, und niemand wusste warum das so war.", "fr": "Le vieux port de la ville a été fermé par le conseil pour une semaine, et personne ne savait pourquoi."}
