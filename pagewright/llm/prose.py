@@ -19,6 +19,7 @@ import re
 from collections.abc import Iterator
 from functools import cache
 from pathlib import Path
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -44,21 +45,70 @@ _STOPS = frozenset(".!?…。！？")
 _CLOSERS = " \t\r\xa0”’\"'»“」』）)]"
 _LETTERS = re.compile(r"[^\W\d_]+")
 _DIGITS = re.compile(r"\d+")
-_SYMBOLS = re.compile(r"[^\w\s.,;:!?'\"()…、。，！？「」“”„«»¿¡·—–（）’\-฀-๿̀-゙゚ͯ]")
-_BROKEN = re.compile("[ÃÂÐÑÒØÙãäåæçèéêëìíïâ][¤-¿]|[à-ï]¤|�")
-_ODD = re.compile("[bcdfghjklmnpqrstvwxzбвгджзклмнпрстфхцчшщ]{5}")
+_SYMBOLS = re.compile(r"[^\w\s.,;:!?'\"()…、。，！？「」“”„«»¿¡·—–（）’\-฀-๿̀-゙゚ͯ]+")
+# texts read in a wrong encoding: a lead, and what may follow it
+_BROKEN_LEAD, _BROKEN_NEXT = re.compile("[ÃÂÐÑÒØÙãäåæçèéêëìíïâ]+"), re.compile("[¤-¿]+")
+_CONSONANT = re.compile("[bcdfghjklmnpqrstvwxzбвгджзклмнпрстфхцчшщ]+", re.I)
+_BASIC, _SPACE = re.compile("[A-Za-z]+"), re.compile(r"\s+")
 _ODD_MIX = re.compile("[a-z]\\d+[a-z]+\\d")
-_COMMA = re.compile("[,،、，]")
 _SPACELESS = re.compile("[぀-ヿ㐀-鿿฀-๿]+")
 _THAI = re.compile("[฀-๿]")
 _BLANKLESS_FORM = re.compile("[가-힣а-яё]")
+_COMMA = re.compile("[,،、，]")
+
+LETTER, DIGIT, SYMBOL, SPACELESS, LEAD, NEXT, CONSONANT, BASIC, BLANK = (1 << i for i in range(9))
+_WIDE = 0x20000
 
-# sets of ASCII characters, for counting by deletion
-_NO_LETTER = bytes(c for c in range(128) if not chr(c).isalpha())
-_NO_DIGIT = bytes(c for c in range(128) if not chr(c).isdigit())
-_NO_SYMBOL = bytes(c for c in range(128) if not _SYMBOLS.match(chr(c)))
-# ASCII consonants as one sign, for counting runs of five
-_CONSONANTS = bytes(ord("c") if chr(c) in "bcdfghjklmnpqrstvwxzBCDFGHJKLMNPQRSTVWXZ" else 32 for c in range(256))
+
+@cache
+def _classes() -> np.ndarray:
+    """What each character is, as bits; ``_WIDE`` stands for the ideographs beyond, and the place after it for the rest."""
+    table = np.zeros(_WIDE + 2, np.uint16)
+    every = "".join(" " if 0xD800 <= c < 0xE000 else chr(c) for c in range(_WIDE))
+    for bit, pattern in ((LETTER, _LETTERS), (DIGIT, _DIGITS), (SYMBOL, _SYMBOLS), (SPACELESS, _SPACELESS), (LEAD, _BROKEN_LEAD), (NEXT, _BROKEN_NEXT), (CONSONANT, _CONSONANT), (BASIC, _BASIC), (BLANK, _SPACE)):
+        for m in pattern.finditer(every):
+            table[m.start() : m.end()] |= bit
+    table[0xD800:0xE000] = SYMBOL
+    table[_WIDE], table[_WIDE + 1] = LETTER, SYMBOL
+    return table
+
+
+class Signs(NamedTuple):
+    """The characters of a text by what they are; ``odd`` counts runs of five consonants, ``mixed`` whether a basic letter is followed by a digit."""
+
+    letters: int
+    digits: int
+    symbols: int
+    spaceless: int
+    broken: int
+    odd: int
+    mixed: int
+    blanks: int
+
+
+def signs_of(texts: list[str]) -> list[Signs]:
+    """``Signs`` of every text, all texts at once."""
+    if not texts:
+        return []
+    raw = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    if raw.max() >= _WIDE:
+        raw = np.where(raw < _WIDE, raw, np.where(raw < 0x323B0, _WIDE, _WIDE + 1))
+    is_ = _classes()[raw]
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    starts = np.r_[0, np.cumsum(sizes)[:-1]]
+    count = lambda flags: np.add.reduceat(flags, starts, dtype=np.int64)
+    follows = np.zeros(len(raw), bool)
+    follows[:-1] = (is_[:-1] & LEAD > 0) & (is_[1:] & NEXT > 0)
+    follows[:-1] |= (raw[:-1] >= 0xE0) & (raw[:-1] <= 0xEF) & (raw[1:] == 0xA4)
+    follows |= raw == 0xFFFD
+    consonant = np.r_[False, is_ & CONSONANT > 0, False]
+    edges = np.flatnonzero(consonant[1:] != consonant[:-1])
+    runs = (edges[1::2] - edges[::2]) // 5
+    odd = np.bincount(np.searchsorted(starts, edges[::2][runs > 0], "right") - 1, runs[runs > 0], len(texts)).astype(np.int64)
+    mixed = np.zeros(len(raw), bool)
+    mixed[:-1] = (is_[:-1] & BASIC > 0) & (is_[1:] & DIGIT > 0)
+    columns = [*(count(is_ & bit > 0) for bit in (LETTER, DIGIT, SYMBOL, SPACELESS)), count(follows), odd, count(mixed), count(is_ & BLANK > 0) - 1]
+    return list(map(Signs._make, zip(*(c.tolist() for c in columns))))
 
 
 def _listed(line: str) -> bool:
@@ -69,27 +119,16 @@ def _listed(line: str) -> bool:
     return line.count(" ") <= 6 * len(pieces)
 
 
-def count_block(text: str, kind: str, linked: int, common: frozenset[str], pieces: re.Pattern | None) -> tuple[int, ...]:
-    """COUNTS of one block's text."""
+def count_block(text: str, kind: str, linked: int, common: frozenset[str], pieces: re.Pattern | None, signs: Signs | None = None) -> tuple[int, ...]:
+    """COUNTS of one block's text; ``signs`` may come from a count of many texts at once."""
+    letters, digits, symbols, spaceless, broken, odd, mixed, blanks = signs or signs_of([text])[0]
     n = len(text)
     low = text.lower()
     words = low.split()
     word_count = len(words)
     known = sum(map(common.__contains__, words))
-    word_chars = sum(map(len, words))
-    if text.isascii():
-        raw = text.encode()
-        letters, digits, symbols = len(raw.translate(None, _NO_LETTER)), len(raw.translate(None, _NO_DIGIT)), len(raw.translate(None, _NO_SYMBOL))
-        broken = spaceless = 0
-        odd = raw.translate(_CONSONANTS).count(b"ccccc")
-    else:
-        letters = sum(map(len, _LETTERS.findall(text)))
-        digits = sum(map(len, _DIGITS.findall(text)))
-        symbols = len(_SYMBOLS.findall(text))
-        broken = len(_BROKEN.findall(text))
-        spaceless = sum(map(len, _SPACELESS.findall(text)))
-        odd = len(_ODD.findall(low))
-    if digits > 1:
+    word_chars = n - blanks
+    if mixed:
         odd += len(_ODD_MIX.findall(low))
     separators = text.count(";") + text.count("|") + text.count("\t") + text.count(" · ") + text.count(" / ")
     # odd letter sequences tell against a text where few words are common ones
@@ -120,8 +159,8 @@ def count_block(text: str, kind: str, linked: int, common: frozenset[str], piece
         if not ends and (linked * 2 > n or line.count(" / ") + line.count(" · ") > 1):  # collections of links
             continue
         if blankless:
-            blanks = line.count(" ")
-            if blanks > 4 and size < 7 * blanks:  # single words in a row
+            gaps = line.count(" ")
+            if gaps > 4 and size < 7 * gaps:  # single words in a row
                 continue
             if ends and size >= 8 or size >= 18 and (size >= 30 or not _THAI.search(line)):
                 sentence += size
@@ -176,22 +215,17 @@ class CountExtra:
     def __call__(self, b: pa.RecordBatch, flat: Flat, parts: list) -> list[pa.Array]:
         pattern = _pattern(self.pieces)
         linked = flat.linked.tolist()
-        out: list[tuple[int, ...]] = []
+        texts = [t if t or k != "table" else flat.table_text(i) for i, (k, t) in enumerate(zip(flat.kind, flat.text))]
         short = _short_blocks
         if len(short) > CACHE:
             short.clear()
-        for i, (kind, text) in enumerate(zip(flat.kind, flat.text)):
-            if kind == "table" and not text:
-                text = flat.table_text(i)
-            if not text:
-                out.append(_NOTHING)
-            elif len(text) < 80:  # menus and prompts recur
-                known = short.get((text, kind, linked[i]))
-                if known is None:
-                    known = short[text, kind, linked[i]] = count_block(text, kind or "p", linked[i], self.words, pattern)
-                out.append(known)
-            else:
-                out.append(count_block(text, kind or "p", linked[i], self.words, pattern))
+        out = [_NOTHING if not t else short.get((t, k, n)) if len(t) < 80 else None for t, k, n in zip(texts, flat.kind, linked)]  # menus and prompts recur
+        fresh = [i for i, counts in enumerate(out) if counts is None]
+        for i, signs in zip(fresh, signs_of([texts[i] for i in fresh])):
+            kind, text = flat.kind[i], texts[i]
+            out[i] = counts = count_block(text, kind or "p", linked[i], self.words, pattern, signs)
+            if len(text) < 80:
+                short[text, kind, linked[i]] = counts
         values = np.array(out, np.int32).reshape(-1)
         return [pa.ListArray.from_arrays(pa.array((flat.starts * K).astype(np.int32)), pa.array(values))]
 
