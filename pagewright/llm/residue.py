@@ -108,12 +108,14 @@ _STOCK_NEEDS = sorted(_needs(_parser.parse(_STOCK.pattern, re.X)))
 _ODD_CASE = re.compile("[\u017f\u212a\u0130\u0131\u1c80-\u1c88]")
 
 
-def _has_stock(text: str) -> bool:
+def _may_match(text: str, low: str, needs: list[str]) -> bool:
+    """Whether a pattern of which every match holds one of ``needs`` may match a text whose lower case is ``low``."""
+    return any(x in low for x in needs) or not text.isascii() and _ODD_CASE.search(text) is not None
+
+
+def _has_stock(text: str, low: str) -> bool:
     """Whether a stock phrase stands in a text."""
-    if not text.isascii() and _ODD_CASE.search(text):
-        return _STOCK.search(text) is not None
-    low = text.lower()
-    return any(x in low for x in _STOCK_NEEDS) and _STOCK.search(text) is not None
+    return _may_match(text, low, _STOCK_NEEDS) and _STOCK.search(text) is not None
 
 
 def _periodic(tokens: list[str]) -> bool:
@@ -137,16 +139,25 @@ def filler(text: str) -> bool:
     joined = " ".join(body)
     low = joined.lower()
     tokens = low.split()
-    if len(set(tokens)) <= DISTINCT and _periodic(tokens):
+    distinct = set(tokens)
+    if len(distinct) <= DISTINCT and _periodic(tokens):
         return True
-    words = _WORD.findall(low)
-    if len(words) >= 5 and len({w[:4] for w in words} & _LATIN) >= 4:
+    if len({w[:4] for t in distinct for w in ((t,) if t.isalpha() else _WORD.findall(t))} & _LATIN) >= 4:
+        words = _WORD.findall(low)
         stock = [w for w in words if w[:4] in _LATIN]
-        if len(stock) >= FILLER * len(words) and len(set(stock)) >= 4:
+        if len(words) >= 5 and len(stock) >= FILLER * len(words) and len(set(stock)) >= 4:
             return True
-    said = [t for x in body for s in _SENTENCE.findall(x) if len(t := s.strip()) > 3]
+    said = (t for x in body for m in _SENTENCE.finditer(x) if len(t := m.group().strip()) > 3)
+    if not _has_stock(joined, low):  # then more than three different sentences are no filler
+        first: list[str] = []
+        for t in said:
+            first.append(t)
+            if len(first) > 3 and len(set(first)) > 3:
+                return False
+        said = first
+    said = list(said)
     times = Counter(said)
-    if not said or len(times) > 3 and not _has_stock(joined):
+    if not said:
         return False
     stock_chars = sum(len(s) * n for s, n in times.items() if _STOCK.search(s))
     total = sum(len(s) * n for s, n in times.items())
@@ -179,6 +190,7 @@ _SCRIPT = r"""
     |(?:aktivieren\ sie|schalten\ sie)\b[^.\n]{0,30}java\ ?script|java\ ?script\ (?:ist\ deaktiviert|aktivieren|einschalten)|(?:activer|activez|autoriser)\b[^.\n]{0,20}java\ ?script|java\ ?script\ (?:est\ désactivé|doit\ être)|(?:activ[ea]|habilit[ea]|actívalo|active)\b[^.\n]{0,15}java\ ?script|(?:ative|habilite|ligue)\b[^.\n]{0,10}java\ ?script|(?:attiva|abilita|attivare|abilitare)\b[^.\n]{0,10}java\ ?script|включите\ java\ ?script|необходим[оа]?\ (?:включить\ )?java\ ?script
     |java\ ?script\ ?を(?:有効|オン)|(?:启用|开启|打开)\ ?java\ ?script|자바\ ?스크립트를\ (?:켜|활성화|사용)|java\ ?script를\ (?:켜|활성화)|(?:เปิดใช้(?:งาน)?|เปิด)\ ?java\ ?script"""
 _MESSAGE = re.compile(f"(?:{_ERROR}|{_ACCESS}|{_SCRIPT})", re.I | re.X | re.M)
+_MESSAGE_NEEDS = sorted(_needs(_parser.parse(_MESSAGE.pattern, re.X)))
 #: Words of messages in a manner of address, for responses that no detector knows.
 _ADDRESS = re.compile(
     r"""(?i)\b(?:please|oops|sorry|your\ (?:browser|request|session|connection)|bitte|veuillez|désolé|s['’]il\ vous\ pla[iî]t|por\ favor|lo\ sentimos|desculpe|spiacenti|per\ favore|пожалуйста|извините)\b
@@ -215,12 +227,17 @@ def _remaining(text: str) -> tuple[str, list[str]]:
     return ("", out) if headed is None else (out[headed], out[:headed] + out[headed + 1 :])
 
 
+def _told(line: str) -> bool:
+    """Whether a detector of messages matches a line."""
+    return _may_match(line, line.lower(), _MESSAGE_NEEDS) and _MESSAGE.search(line) is not None
+
+
 def message(lines: list[str]) -> bool:
     """Whether the remaining lines are a message, with no more than a few menu words besides."""
-    told = [x for x in lines if _MESSAGE.search(x)]
+    told = [x for x in lines if _told(x)]
     if not told:
         return False
-    rest = [x for x in lines if not _MESSAGE.search(x) and not _CLAIM.search(x)]
+    rest = [x for x in lines if x not in told and not _CLAIM.search(x)]
     # a menu word is short and no sentence
     real = sum(len(x) for x in rest if len(x) > 30 or len(x.split()) > 3 or _END.search(x))
     told_chars = sum(map(len, told))
@@ -244,7 +261,7 @@ def _slug(url: str | None) -> tuple[set[str], int]:
 
 def _apart(lines: list[str]) -> set[str]:
     """The terms of lines beside what makes them a message."""
-    return {t for x in lines for t in terms(_MESSAGE.sub(" ", x))}
+    return {t for x in lines for t in terms(_MESSAGE.sub(" ", x) if _told(x) else x)}
 
 
 def compared(slug: set[str], title: str, body: list[str]) -> tuple[bool, bool]:
@@ -258,12 +275,12 @@ def compared(slug: set[str], title: str, body: list[str]) -> tuple[bool, bool]:
 
 def titled(slug: set[str], title: str) -> bool:
     """Whether a title is nothing but a message, and the address doesn't name it: what follows is then part of it."""
-    return bool(title and _MESSAGE.search(title)) and not _apart([title]) and not slug & terms(title)
+    return bool(title) and _told(title) and not _apart([title]) and not slug & terms(title)
 
 
 def _speaks(text: str) -> bool:
     """Whether a text is in the manner of a message."""
-    return bool(_ADDRESS.search(text) or _MESSAGE.search(text))
+    return bool(_ADDRESS.search(text)) or _told(text)
 
 
 FIELDS = "doc_id bigint, place boolean, filler boolean, message boolean, low boolean, mismatch boolean, speaks boolean, body bigint, host bigint, address bigint"
