@@ -201,6 +201,14 @@ _RULE = re.compile(r"^[\W_]*$")
 _BAR = re.compile(r"\s*[|·•›»]\s*")
 _LEGAL = re.compile(r"^\W*(?:©|\(c\)\s|copyright\b)", re.I)
 _END = re.compile(r"[.!?。！？…]\W*$")
+#: Phrases that real sentences use as well: they make a message only with little else to say, see ``ABOUT``.
+_COMMON = re.compile(
+    r"""(?:something\ went\ wrong|an\ error\ (?:has\ )?occurred|please\ (?:sign|log)\ in|(?:sign|log)\ in\ (?:again|to\ continue)|try\ again\ (?:later|in\ \d)|temporarily\ unavailable
+    |no\ longer\ available|has\ been\ removed|does\ not\ exist|subscribers\ only|down\ for\ maintenance|do(?:n['’]t|\ not)\ have\ permission)""",
+    re.I | re.X,
+)
+#: A sentence with more terms than this beside such a phrase is about something.
+ABOUT = 4
 _CLAIM = re.compile(r"\w/\d+(?:\.\d+)*$")
 
 
@@ -219,7 +227,8 @@ def _remaining(text: str) -> tuple[str, list[str]]:
             line = line.lstrip("#").strip()
             headed = len(out) if headed is None else headed
         out.append(line)
-        size += len(line)
+        if len(line) > 30 or len(line.split()) > 3 or _END.search(line):  # else a menu word
+            size += len(line)
         if size > MESSAGE_CHARS:
             return "", []
     if headed is None:
@@ -228,8 +237,15 @@ def _remaining(text: str) -> tuple[str, list[str]]:
 
 
 def _told(line: str) -> bool:
-    """Whether a detector of messages matches a line."""
-    return _may_match(line, line.lower(), _MESSAGE_NEEDS) and _MESSAGE.search(line) is not None
+    """Whether a detector of messages matches a line, and not only by a phrase of a sentence about something."""
+    if not _may_match(line, line.lower(), _MESSAGE_NEEDS) or _MESSAGE.search(line) is None:
+        return False
+    if not _COMMON.search(line):
+        return True
+    if _MESSAGE.search(_COMMON.sub(" ", line)):
+        return True
+    said = [x for m in _SENTENCE.finditer(line) if _COMMON.search(x := m.group())]
+    return any(len(terms(_COMMON.sub(" ", x))) <= ABOUT for x in said)
 
 
 def message(lines: list[str]) -> bool:
