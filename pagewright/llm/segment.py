@@ -1,9 +1,11 @@
 """Problem 5: sentence boundaries by cascading tables of break and no-break rules.
 
-A rule is a pair of regular expressions, one for the text before a position and one for the text after it. Tables
-are ordered, and the tables of a script's languages precede the common one; the first rule whose two sides match
-decides the position. Positions come from the stops (and, in Thai, the blanks) of one line; a line break always ends
-a unit. Rules see a cleaned line (disguised characters undone) whose characters keep their places in the stored text.
+A rule is a pair of regular expressions, one for the text before a position and one for the text after it. Every
+language has an ordered table; those of the languages that a text's own words speak for (all of its script, where they
+tell none) are cascaded before the common one, and the first rule whose two sides match decides the position. Positions
+come from the stops (and, in Thai, the blanks) of one line; a line break always ends a unit. What stands in an open
+quotation or bracket is decided by the line's pairs, found once, so the work grows with the length of a line. Rules see
+a cleaned line (disguised characters undone) whose characters keep their places in the stored text.
 
 Defined results: null, empty and blank texts have no sentence; a label is one unit; texts of any length are cut
 whole; repeated rows give repeated rows (``found`` counts a key once); extra columns are ignored.
@@ -13,7 +15,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections import Counter
+from collections.abc import Callable, Iterator
+from functools import cache
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -30,21 +35,88 @@ OPEN = r"\"'“„«‹(\[¿¡「『（【"
 CLOSE = r"”“\"'’»›)\]」』）】"
 
 
+#: Characters before a position that a rule sees, unless it says from where.
+WINDOW = 60
+
+
 class Rule(NamedTuple):
     breaks: bool
     before: re.Pattern
     after: re.Pattern
-    whole: bool = False  # what stands before may be long: the rule sees all of the line
+    start: Callable[[Line, int], int] | None = None  # where what stands before may begin
+
+
+class Pair(NamedTuple):
+    """A no-break rule: a sign of ``opening`` is the last of ``signs`` before the position, one of ``closing`` the next after it."""
+
+    opening: str
+    closing: str
+    signs: str
+
+    def holds(self, line: Line, at: int) -> bool:
+        places = line.places(self.signs)
+        i = bisect_left(places, at)
+        return 0 < i < len(places) and line.text[places[i - 1]] in self.opening and line.text[places[i]] in self.closing
+
+
+class Bracket(NamedTuple):
+    """A no-break rule: the position follows a bracket that began within a sentence, and so leaves it open."""
+
+    def holds(self, line: Line, at: int) -> bool:
+        places = line.places("()（）")
+        i = bisect_left(places, at)
+        if i < 2 or places[i - 1] != at - 1 or line.text[at - 1] not in ")）" or line.text[places[i - 2]] not in "(（":
+            return False
+        before = line.text[line.lead(places[i - 2]) : places[i - 2]].rstrip()
+        return bool(before) and before[-1] not in ".!?…。！？"
+
 
+class Line:
+    """A cleaned line with the places of its quotation marks and brackets."""
 
-def _no(before: str, after: str = "", whole: bool = False) -> Rule:
-    return Rule(False, re.compile(f"(?:{before})\\Z"), re.compile(after), whole)
+    def __init__(self, text: str):
+        self.text = text
+        self.pairs = _HAS_PAIR.search(text) is not None
+        self._places: dict[str, list[int]] = {}
+
+    def places(self, signs: str) -> list[int]:
+        known = self._places.get(signs)
+        if known is None:
+            known = self._places[signs] = [i for i, c in enumerate(self.text) if c in signs] if any(c in self.text for c in signs) else []
+        return known
+
+    def lead(self, at: int) -> int:
+        """The place of the last character before ``at`` that is no blank (0 without one)."""
+        while at > 0 and self.text[at - 1].isspace():
+            at -= 1
+        return max(0, at - 1)
+
+
+def _no(before: str, after: str = "", start: Callable[[Line, int], int] | None = None) -> Rule:
+    return Rule(False, re.compile(f"(?:{before})\\Z"), re.compile(after), start)
 
 
 def _yes(before: str, after: str = "") -> Rule:
     return Rule(True, re.compile(f"(?:{before})\\Z"), re.compile(after))
 
 
+def _host_start(line: Line, at: int) -> int:
+    """A host's name has 253 characters at most."""
+    return max(0, at - 254)
+
+
+def _quote_start(line: Line, at: int) -> int:
+    """The quotation that ends at a position, with the stop and the closing signs before it."""
+    places = line.places("“”「」")
+    i = bisect_left(places, at)
+    if i < 2 or places[i - 1] != at - 1:
+        return at
+    lead = line.lead(places[i - 2])
+    while lead > 0 and line.text[lead] in "”」』）)":
+        lead -= 1
+    return lead
+
+
 def _short(words: str) -> str:
     """A pattern of abbreviations, which stand at the start of a word and end with a stop."""
     return rf"(?<!\w)(?:{'|'.join(re.escape(w) for w in words.split())})\."
@@ -52,17 +124,16 @@ def _short(words: str) -> str:
 
 # an open quotation or bracket that closes later in the line
 INSIDE = [
-    _no(r"“[^“”]*", r"[^“”]*”"),
-    _no(r"„[^„“”]*", r"[^„“”]*[“”]"),
-    _no(r"«[^«»]*", r"[^«»]*»"),
-    _no(r"「[^「」]*", r"[^「」]*」"),
-    _no(r"『[^『』]*", r"[^『』]*』"),
-    _no(r"\([^()]*", r"[^()]*\)"),
-    _no(r"（[^（）]*", r"[^（）]*）"),
-    _no(r"\[[^\[\]]*", r"[^\[\]]*\]"),
+    Pair("“", "”", "“”"),
+    Pair("„", "“”", "„“”"),
+    Pair("«", "»", "«»"),
+    Pair("「", "」", "「」"),
+    Pair("『", "』", "『』"),
+    Pair("(", ")", "()"),
+    Pair("（", "）", "（）"),
+    Pair("[", "]", "[]"),
 ]
-# a bracket that began within a sentence leaves it open
-BRACKET = [_no(r"[^\s.!?…。！？]\s*[(（][^()（）]*[)）]")]
+BRACKET = [Bracket()]
 
 ENGLISH = [
     _no(_short("Mr Mrs Ms Dr Prof Rev Gen Col Capt Lt Sgt Gov Sen Rep St Mt Ft Messrs vs approx Approx eds cf Cf"), r"\s?\S"),
@@ -110,7 +181,7 @@ LATIN_COMMON = [
     # initials, not after a lower-case letter: J. K., J.-P.
     _no(rf"(?<![\w’'°])[A-ZÀ-ÖØ-ÞА-ЯЁ]\.(?:-[A-ZÀ-Þ]\.)*", rf"[\s\-]*[{UP}]"),
     # names of hosts
-    _no(r"(?<![\w@])[\w\-]+(?:\.[\w\-]+)*\.", r"(?:[\w\-]+\.)*(?:example|test|invalid|localhost|com|org|net|edu|gov|io|info|de|fr|es|it|pt|ru|uk|eu|co)\b", whole=True),
+    _no(r"(?<![\w@])[\w\-]+(?:\.[\w\-]+)*\.", r"(?:[\w\-]{1,63}\.){0,126}(?:example|test|invalid|localhost|com|org|net|edu|gov|io|info|de|fr|es|it|pt|ru|uk|eu|co)\b", _host_start),
     _no(r"n\.", r"[ºª°]"),
     _no(r"\d\.", r"[ºª°]"),
 ]
@@ -136,7 +207,7 @@ JAPANESE = [
     _yes(r"[。！？!?｡][」』”）)】]*", r""),
 ]
 CHINESE = [
-    _no(r"(?:^|[。！？!?…][”」』）]*\s*)[“「][^“”「」]*[”」]", r"[^。！？!?，：“「\n]{0,16}?(?:问|说|道|喊|答|写|讲|叫|想|問|說|喊)", whole=True),
+    _no(r"(?:^|[。！？!?…][”」』）]*\s*)[“「][^“”「」]*[”」]", r"[^。！？!?，：“「\n]{0,16}?(?:问|说|道|喊|答|写|讲|叫|想|問|說|喊)", _quote_start),
     _yes(r"[。！？!?｡][”’」』）)】]*", r""),
 ]
 KOREAN = [
@@ -153,16 +224,63 @@ THAI = [
     _yes(r"[!?]+", r"[^\s,.;:!?]"),
     _no(""),
 ]
-LATIN = ENGLISH + GERMAN + FRENCH + SPANISH + PORTUGUESE + ITALIAN + RUSSIAN_FIRST + RUSSIAN + LATIN_COMMON
-#: The cascade of each script: tables in their order, the common one last.
-CASCADES = {
-    "latin": [INSIDE, BRACKET, LATIN, COMMON],
-    "ja": [INSIDE, BRACKET, IDEOGRAPHIC, JAPANESE, COMMON],
-    "zh": [INSIDE, BRACKET, IDEOGRAPHIC, CHINESE, COMMON],
-    "ko": [INSIDE, BRACKET, KOREAN, ENGLISH, LATIN_COMMON, COMMON],
-    "th": [INSIDE, THAI],
+#: The table of each language, and of all of a script where a text's words tell no language.
+TABLES = {
+    "en": ENGLISH,
+    "de": GERMAN,
+    "fr": FRENCH,
+    "es": SPANISH,
+    "pt": PORTUGUESE,
+    "it": ITALIAN,
+    "ru": RUSSIAN_FIRST + RUSSIAN,
+    "ja": IDEOGRAPHIC + JAPANESE,
+    "zh": IDEOGRAPHIC + CHINESE,
+    "ko": KOREAN + ENGLISH + LATIN_COMMON,
 }
-
+ALPHABETIC = ("en", "de", "fr", "es", "pt", "it", "ru")
+#: Words that speak for a language among those written alike.
+FUNCTION_WORDS = {
+    "en": "the of and to is was are that with for not it by from this",
+    "de": "der die das und ist nicht ein eine den dem mit von zu im auf",
+    "fr": "le les et est une dans du des pas qui au sur pour ce",
+    "es": "el los las y una es por con del para muy como",
+    "pt": "o os uma e é do da em não com dos no um",
+    "it": "il lo gli è di che per non della un i nel",
+}
+_SPEAKS_FOR = {w: tuple(x for x, words in FUNCTION_WORDS.items() if w in words.split()) for words in FUNCTION_WORDS.values() for w in words.split()}
+#: Words of a text that must speak for one language, and their least part of them for another to count as well.
+LEAST_WORDS, LEAST_PART = 4, 0.25
+
+
+@cache
+def cascade_of(script: str, langs: tuple[str, ...] = ()) -> list[list]:
+    """The tables of a script, those of its languages in their order, the common one last."""
+    if script == "th":
+        return [INSIDE, THAI]
+    if script != "latin":
+        return [INSIDE, BRACKET, TABLES[script], COMMON]
+    return [INSIDE, BRACKET, *(TABLES[x] for x in langs or ALPHABETIC), LATIN_COMMON, COMMON]
+
+
+def languages_of(text: str, declared: str | None = None) -> tuple[str, ...]:
+    """The languages of a text in an alphabet: those that its function words speak for, most words first, and the declared one if one
+    word does; none if too few words tell."""
+    words = Counter(x for w in _FUNCTION.findall(text.lower()) for x in _SPEAKS_FOR.get(w, ()))
+    cyrillic = len(_CYRILLIC.findall(text))
+    if cyrillic:
+        words["ru"] = cyrillic
+    if not words:
+        return ()
+    most = max(words.values())
+    if most < LEAST_WORDS:
+        return ()
+    own = (declared or "")[:2].lower()
+    told = [x for x, n in words.items() if n >= most * LEAST_PART or x == own]
+    return tuple(sorted(told, key=lambda x: (-words[x], x)))
+
+
+_FUNCTION = re.compile(r"[^\W\d_]+")
+_CYRILLIC = re.compile("[А-яЁё]{2,}")
 _STOP = re.compile(r"[.!?…。！？｡।؟．]+(?:\s?[»›](?!\w)|[”’」』）)\]】]|“(?![\w¿¡])|[\"'](?!\w))*")
 _BLANK_OR_STOP = re.compile(r"\s+|[!?…。]+[”’»)]*")
 _HAS_PAIR = re.compile(r"[“„«「『（(\[]")
@@ -206,30 +324,32 @@ def script_of(text: str) -> str:
     return best[1] if best[0] * 4 >= letters else "latin"
 
 
-def _decide(line: str, at: int, cascade: list[list[Rule]], pairs: bool) -> bool:
+def _decide(line: Line, at: int, cascade: list[list]) -> bool:
+    text = line.text
     for rules in cascade:
-        pair = rules is INSIDE or rules is BRACKET
-        if pair and not pairs:
+        if rules is INSIDE or rules is BRACKET:
+            if line.pairs and any(r.holds(line, at) for r in rules):
+                return False
             continue
-        for breaks, left, right, whole in rules:
-            if right.match(line, at) and left.search(line, 0 if pair or whole else max(0, at - 60), at):
+        for breaks, left, right, start in rules:
+            if right.match(text, at) and left.search(text, max(0, at - WINDOW) if start is None else start(line, at), at):
                 return breaks
     return False
 
 
-def spans(text: str, label: bool = False) -> list[tuple[int, int]]:
+def spans(text: str, label: bool = False, declared: str | None = None) -> list[tuple[int, int]]:
     """(start, end) of every sentence of ``text``, in its own code points."""
     out: list[tuple[int, int]] = []
     if label:
         _trimmed(text, 0, len(text), out)
         return out
     script = script_of(text)
-    cascade = CASCADES[script]
+    cascade = None
     candidates = _BLANK_OR_STOP if script == "th" else _STOP
     base = 0
-    for line in text.split("\n"):
-        shown, places = clean(line)
-        pairs = _HAS_PAIR.search(shown) is not None
+    for raw in text.split("\n"):
+        shown, places = clean(raw)
+        line = None
         start = 0
         for m in candidates.finditer(shown):
             at = m.end()
@@ -237,12 +357,17 @@ def spans(text: str, label: bool = False) -> list[tuple[int, int]]:
                 at = m.start()
                 if not at:
                     continue
-            if at < len(shown) and _decide(shown, at, cascade, pairs):
+            if at == len(shown):
+                continue
+            if line is None:
+                line = Line(shown)
+                cascade = cascade or cascade_of(script, languages_of(text, declared) if script == "latin" else ())
+            if _decide(line, at, cascade):
                 end = places[at] if places else at
                 _trimmed(text, base + start, base + end, out)
                 start = end
-        _trimmed(text, base + start, base + len(line), out)
-        base += len(line) + 1
+        _trimmed(text, base + start, base + len(raw), out)
+        base += len(raw) + 1
     return out
 
 
@@ -262,14 +387,14 @@ SCHEMA = "record string, record_id bigint, pos bigint, start_char bigint, end_ch
 
 
 def sentences(texts: DataFrame) -> DataFrame:
-    """The sentences of rows (record, record_id, pos, text, label)."""
+    """The sentences of rows (record, record_id, pos, text, label, lang)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[tuple] = []
-            for record, id_, pos, text, label in zip(*(c.to_pylist() for c in b.columns)):
+            for record, id_, pos, text, label, lang in zip(*(c.to_pylist() for c in b.columns)):
                 if text:
-                    rows.extend((record, id_, pos, a, e, text[a:e]) for a, e in spans(text, bool(label)))
+                    rows.extend((record, id_, pos, a, e, text[a:e]) for a, e in spans(text, bool(label), lang))
             if rows:
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays(
@@ -277,23 +402,25 @@ def sentences(texts: DataFrame) -> DataFrame:
                     ["record", "record_id", "pos", "start_char", "end_char", "sentence"],
                 )
 
-    return texts.select("record", "record_id", "pos", "text", "label").mapInArrow(run, SCHEMA)
+    return texts.select("record", "record_id", "pos", "text", "label", "lang").mapInArrow(run, SCHEMA)
 
 
 def quote_texts(pages: DataFrame) -> DataFrame:
     """The text of each quote block: its spans joined with nothing between."""
     block = pages.select("page_id", F.posexplode("blocks").alias("pos", "block")).where("block.kind = 'quote'")
     text = F.array_join(F.col("block.spans.text"), "")
-    return block.select(F.lit("page").alias("record"), F.col("page_id").alias("record_id"), F.col("pos").cast("bigint").alias("pos"), text.alias("text"), F.lit(False).alias("label"))
+    return block.select(F.lit("page").alias("record"), F.col("page_id").alias("record_id"), F.col("pos").cast("bigint").alias("pos"), text.alias("text"), F.lit(False).alias("label"), F.lit(None).cast("string").alias("lang"))
 
 
 def chunk_texts(chunks: DataFrame) -> DataFrame:
-    return chunks.select(F.lit("chunk").alias("record"), F.col("chunk_id").alias("record_id"), F.lit(-1).cast("bigint").alias("pos"), "text", "label")
+    """The text of each chunk, with its declared language if the table has one."""
+    lang = F.col("lang") if "lang" in chunks.columns else F.lit(None).cast("string")
+    return chunks.select(F.lit("chunk").alias("record"), F.col("chunk_id").alias("record_id"), F.lit(-1).cast("bigint").alias("pos"), "text", "label", lang.alias("lang"))
 
 
 def found(spark: SparkSession, data_dir: str) -> DataFrame:
     """p5_found: one row per sentence; a redelivered row counts once."""
     pages = table(spark, data_dir, "page_docs", "page_id bigint, blocks array<struct<kind:string,spans:array<struct<text:string>>>>")
-    chunks = table(spark, data_dir, "chunks", "chunk_id bigint, text string, label boolean")
+    chunks = table(spark, data_dir, "chunks", "chunk_id bigint, lang string, text string, label boolean")
     both = quote_texts(pages).unionByName(chunk_texts(chunks))
     return sentences(both).select("record", "record_id", "pos", "start_char", "end_char").dropDuplicates()

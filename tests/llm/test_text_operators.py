@@ -1,6 +1,8 @@
 """Unifying, segmenting, tokenizing, packing: brute force, round trips, odd input."""
 
 import random
+import re
+import time
 import unicodedata
 from itertools import combinations_with_replacement
 
@@ -233,3 +235,38 @@ def test_long_quotations_and_names_are_seen_whole():
     assert [text[a:b] for a, b in segment.spans(text)] == [said, "他走了。"]
     name = "x" * 70 + ".example"
     assert [(f"See {name} now."[a:b]) for a, b in segment.spans(f"See {name} now.")] == [f"See {name} now."]
+
+
+def test_a_long_line_with_an_open_bracket_is_cut_in_linear_time():
+    text = "He said (and it was so. " + "The mill was closed. " * 48_000  # a line of a million characters
+    begun = time.process_time()
+    cut = segment.spans(text)
+    assert time.process_time() - begun < 20
+    assert len(cut) == 48_001
+
+
+def test_tables_of_the_languages_that_a_text_speaks():
+    english = "The mill of the town was closed for a week, and that was it."
+    german = "Die Mühle ist in der Stadt und das Haus ist nicht mit dem Wagen zu sehen."
+    assert segment.languages_of(english) == ("en",)
+    assert segment.languages_of(german, "en") == ("de",)
+    assert set(segment.languages_of(f"{english} {german}")) == {"en", "de"}
+    assert segment.languages_of("No. 5") == ()
+    cut = lambda t: [t[a:b] for a, b in segment.spans(t)]
+    # "Nr." is an abbreviation in German, and no English one
+    assert len(cut(f"{english} They met in Nr. Ten of them left.")) == 3
+    assert len(cut(f"{german} Wir wohnen in Nr. Zehn.")) == 2
+
+
+@given(st.text(alphabet="ab.!? ()“”„«»[]「」", max_size=60))
+@settings(max_examples=200, deadline=None)
+def test_pairs_equal_their_patterns(text):
+    line = segment.Line(text)
+    patterns = {"“": (r"“[^“”]*", r"[^“”]*”"), "„": (r"„[^„“”]*", r"[^„“”]*[“”]"), "(": (r"\([^()]*", r"[^()]*\)"), "«": (r"«[^«»]*", r"[^«»]*»")}
+    for pair in segment.INSIDE:
+        if pair.opening in patterns:
+            left, right = patterns[pair.opening]
+            for at in range(len(text) + 1):
+                assert pair.holds(line, at) == bool(re.search(f"(?:{left})\\Z", text[:at]) and re.match(right, text[at:]))
+    for at in range(len(text) + 1):
+        assert segment.BRACKET[0].holds(line, at) == bool(re.search(r"[^\s.!?…。！？]\s*[(（][^()（）]*[)）]\Z", text[:at]))
