@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagewright.operators import state as S
-from pagewright.plans.stages import stage_dir
+from pagewright.plans.stages import stage_path
 from pagewright.sources.tables import table
 from pagewright.streaming import visits as V
 
@@ -201,7 +200,7 @@ def streamed_unique_items(spark, d):
 def saved_bookmarks(spark, d):
     """Bookmarks saved as JSON and read again."""
     marks = _items(spark, d).where("list_name = 'bookmarks'").select("kind", "target", "title", F.col("time_s").alias("time"))
-    path = f"{stage_dir(spark).rstrip('/')}/pagewright/bookmarks-{uuid.uuid4().hex}"
+    path = stage_path(spark, "bookmarks")
     marks.write.mode("overwrite").json(path)
     lines = spark.read.schema("kind string, target string, title string, time double").json(path)
     return lines.select("kind", "target", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("time", F.lit(0.0)).alias("time")).where("target <> ''")

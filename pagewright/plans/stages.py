@@ -7,6 +7,7 @@ than a cached row set.
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -16,24 +17,60 @@ from pyspark.sql import functions as F
 #: A side is broadcast only if the number of its rows, counted first, is at most this.
 BROADCAST_ROWS = 200_000
 
+_written: list[str] = []
+
 
 def stage_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: the cluster's own; one of ours only where none is set."""
+    """The shared folder for intermediate tables: the cluster's own. Only a local session without one gets a folder of
+    its own; on a cluster a folder of one machine would be lost to the others, so it is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="pagewright-stage-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: one computation, however many readers."""
-    spark = df.sparkSession
+def stage_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is there goes when the program ends or ``clear_stages`` is called."""
+    if not _written:
+        atexit.register(_clear_last)
     path = f"{stage_dir(spark).rstrip('/')}/pagewright/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    _written.append(path)
+    return path
+
+
+def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: one computation, however many readers. ``by`` names a column
+    of few values that readers select by: they read its folders only."""
+    spark = df.sparkSession
+    path = stage_path(spark, name)
+    writer = df.write.partitionBy(by) if by else df.write
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_stages(spark: SparkSession) -> int:
+    """Delete the intermediate tables that this program has written; results that read them must be done. Returns how many."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    done = 0
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        done += bool(path.getFileSystem(conf).delete(path, True))
+    return done
+
+
+def _clear_last() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is None or spark.sparkContext._jsc is None:
+        return
+    try:
+        clear_stages(spark)
+    except Exception:  # the session is going down already: its folder is left as it is
+        return
+
+
 def join_small(left: DataFrame, right: DataFrame, on, how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:
     """Join with a side that is expected to be small: broadcast if a count proves it, else a shuffled join.
 

@@ -6,13 +6,12 @@ the same transformations with a trigger of its own and a lasting checkpoint.
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagewright.plans.stages import stage_dir
+from pagewright.plans.stages import stage_path
 
 #: Late rows are waited for so long; beyond it they are dropped and their state is released.
 LATE_EVENTS = "2 days"
@@ -34,7 +33,7 @@ def _source(spark: SparkSession, path: str) -> DataFrame:
 def _finished(stream: DataFrame, mode: str, name: str) -> DataFrame:
     """The result of a stream over what is there now, written to the shared folder."""
     spark = stream.sparkSession
-    base = f"{stage_dir(spark).rstrip('/')}/pagewright/stream-{name}-{uuid.uuid4().hex}"
+    base = stage_path(spark, f"stream-{name}")
     if mode == "append":
         query = stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").outputMode("append").trigger(availableNow=True).start()
         query.awaitTermination()
