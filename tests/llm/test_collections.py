@@ -6,6 +6,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pagewright.llm import bitmaps, collapse, language, prose, prose_fit, repeats, residue, sitetree
@@ -444,3 +445,38 @@ def test_cleaned_pages_keep_tables_and_every_page(spark):
     clean = {(r["page_id"], r["pos"]): r["text"] for r in repeats.without(df, repeats.find(df)).collect()}
     assert clean[3, 1] == "Share this" and clean[51, 0] == "a\tb\nc"
     assert clean[50, -1] == "" and {page for page, _ in clean} == {r[0] for r in rows}
+
+
+def test_filters_grow_with_the_rows():
+    for rows in (0, 1, 10_000, 10**9, 10**11):
+        layout = collapse.Layout.of(rows, collapse.MOST_BITS)
+        assert layout.bits <= collapse.MOST_BITS and layout.bits * layout.ranges >= collapse.BITS_PER_ROW * rows
+
+
+@pytest.mark.parametrize("rows, most", [(1_000, 1 << 28), (60_000, 1 << 13), (300_000, 1 << 23)])
+def test_few_singletons_pass_the_filters_at_any_layout(rows, most):
+    layout = collapse.Layout.of(rows, most)
+    h = np.random.default_rng(5).integers(-(1 << 62), 1 << 62, rows)
+    h[: rows // 10] = h[rows // 10 : 2 * (rows // 10)]  # a tenth is repeated
+    size = -(-layout.bits * layout.ranges // 8 // collapse.CHUNK) * collapse.CHUNK
+    again = np.zeros(size, np.uint8)
+    once = again.copy()
+    for part in np.array_split(h, 7):
+        for chunk, seen, twice in collapse._pieces(part, layout):
+            at = slice(chunk * collapse.CHUNK, (chunk + 1) * collapse.CHUNK)
+            seen, twice = (collapse._bits(pa.py_buffer(x)) for x in (seen, twice))
+            again[at] |= twice | (once[at] & seen)
+            once[at] |= seen
+    passed = collapse._has(again, layout.places(h).ravel()).reshape(-1, collapse.PROBES).all(axis=1)
+    repeated = np.isin(h, h[: rows // 10])
+    assert passed[repeated].all()
+    assert passed[~repeated].mean() < 0.03
+
+
+def test_copies_are_the_same_in_groups_of_ranges(spark, monkeypatch):
+    rows = [(i, "search", f"t{i % 1700}", None) for i in range(2400)]
+    want = sorted(tuple(r) for r in collapse.copies(items(spark, rows)).collect())
+    monkeypatch.setattr(collapse, "HELD", 2)
+    assert collapse.Layout.of(2400, 1 << 13).groups == 3
+    assert sorted(tuple(r) for r in collapse.copies(items(spark, rows), 1 << 13).collect()) == want
+    assert want == [(i, i + 1700) for i in range(700)]
