@@ -3,7 +3,8 @@
 A bitmap is kept as containers of 65,536 page ids: a sorted array of 16-bit places while it has fewer than 4,096, a
 bit set of 8 KB from there on. Partitions build the containers of their own pages for every variant of a line;
 containers of the same line, whatever its variant or partition, are united by (site, zone, key, container), so a
-line that stands on every page of the largest site still reaches many tasks, each with bounded memory.
+line that stands on every page of the largest site still reaches many tasks, each with bounded memory. United bitmaps
+may be kept and looked up: ``Lookup`` holds those of a bounded number of lines.
 """
 
 from __future__ import annotations
@@ -79,8 +80,26 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flush()
 
 
+def _containers(group: np.ndarray, low: np.ndarray, groups: int) -> pa.Array:
+    """The payload of each group's container, of its sorted members."""
+    sizes = np.bincount(group, minlength=groups)
+    ends = np.r_[0, np.cumsum(sizes)]
+    low = np.ascontiguousarray(low.astype(np.uint16))
+    if (sizes <= ARRAY_MOST).all():
+        return pa.Array.from_buffers(pa.binary(), groups, [None, pa.py_buffer((ends * 2).astype(np.int32)), pa.py_buffer(low)])
+    out = []
+    for a, z in zip(ends.tolist(), ends[1:].tolist()):
+        part = low[a:z]
+        if z - a > ARRAY_MOST:
+            bits = np.zeros(65536, np.uint8)
+            bits[part] = 1
+            part = np.packbits(bits)
+        out.append(part.tobytes())
+    return pa.array(out, pa.binary())
+
+
 def _counts(t: pa.Table) -> pa.RecordBatch:
-    """The exact cardinality of each group's union, of rows sorted by group."""
+    """The union of each group's containers and its exact cardinality, of rows sorted by group."""
     cols = [np.asarray(t.column(c).combine_chunks()).astype(np.int64) for c in _GROUP]
     new = np.ones(len(cols[0]), bool)
     new[1:] = np.any([c[1:] != c[:-1] for c in cols], axis=0)
@@ -94,9 +113,11 @@ def _counts(t: pa.Table) -> pa.RecordBatch:
     for i in np.flatnonzero(length == BITSET).tolist():
         members.append(group[i] << 16 | np.flatnonzero(np.unpackbits(np.frombuffer(bits[i].as_buffer(), np.uint8))))
     united = np.unique(np.concatenate(members))
-    pages = np.bincount(united >> 16, minlength=int(group[-1]) + 1)
+    groups = int(group[-1]) + 1
+    pages = np.bincount(united >> 16, minlength=groups)
     at = np.flatnonzero(new)
-    return pa.RecordBatch.from_arrays([pa.array(cols[0][at]), pa.array(cols[1][at].astype(np.int32)), pa.array(cols[2][at]), pa.array(pages)], ["site", "zone", "key", "pages"])
+    payload = _containers(united >> 16, united & 0xFFFF, groups)
+    return pa.RecordBatch.from_arrays([pa.array(cols[0][at]), pa.array(cols[1][at].astype(np.int32)), pa.array(cols[2][at]), pa.array(cols[3][at]), pa.array(pages), payload], UNITED_COLUMNS)
 
 
 def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,10 +141,59 @@ def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _counts(held)
 
 
-def cardinalities(postings: DataFrame) -> DataFrame:
-    """(site, zone, key, pages): on how many distinct pages of its site a line stands, of postings (site, zone, key,
-    variant, page_id). Repeated postings, of redelivered pages too, count once."""
+UNITED = "site bigint, zone int, key bigint, high bigint, pages bigint, bits binary"
+UNITED_COLUMNS = [f.split()[0] for f in UNITED.split(", ")]
+
+
+def united(postings: DataFrame) -> DataFrame:
+    """UNITED: the united bitmap of each line's pages, by container, of postings (site, zone, key, variant, page_id).
+    Repeated postings, of redelivered pages too, count once."""
     packed = postings.select("site", F.col("zone").cast("int"), "key", "variant", "page_id").mapInArrow(_packed, "site bigint, zone int, key bigint, high bigint, bits binary")
-    # a line of one container is complete in its group; only the counts of larger ones are summed
-    united = packed.repartition(*_GROUP).sortWithinPartitions(*_GROUP).mapInArrow(_united, "site bigint, zone int, key bigint, pages bigint")
-    return united.groupBy("site", "zone", "key").agg(F.sum("pages").alias("pages"))
+    return packed.repartition(*_GROUP).sortWithinPartitions(*_GROUP).mapInArrow(_united, UNITED)
+
+
+def cardinalities(postings: DataFrame, bitmaps: DataFrame | None = None) -> DataFrame:
+    """(site, zone, key, pages): on how many distinct pages of its site a line stands, of postings or of their ``bitmaps``."""
+    # a line of one container is complete in its row; only the counts of larger ones are summed
+    return (united(postings) if bitmaps is None else bitmaps).groupBy("site", "zone", "key").agg(F.sum("pages").alias("pages"))
+
+
+class Lookup:
+    """Whether a page is in the bitmap of a line of a site, for arrays of them; of a bounded number of containers."""
+
+    def __init__(self, site: np.ndarray, key: np.ndarray, high: np.ndarray, bits: list[bytes]):
+        order = np.lexsort((high, key, site))
+        self.site, self.key, self.high = site[order], key[order], high[order]
+        mixed = self._mix(self.site, self.key, self.high)
+        by_hash = np.argsort(mixed, kind="stable")
+        self.mixed, self.place = mixed[by_hash], by_hash
+        self.same = int(np.diff(np.flatnonzero(np.r_[True, self.mixed[1:] != self.mixed[:-1], True])).max(initial=1))  # hashes that meet
+        dense = np.array([len(bits[i]) == BITSET for i in order], bool)
+        self.dense = np.where(dense, np.cumsum(dense) - 1, -1)
+        self.words = np.frombuffer(b"".join(bits[i] for i in order[dense]), np.uint8)
+        few = np.flatnonzero(~dense)
+        self.members = np.concatenate([np.zeros(0, np.int64), *(at << 16 | np.frombuffer(bits[order[at]], np.uint16).astype(np.int64) for at in few)])
+
+    @staticmethod
+    def _mix(site: np.ndarray, key: np.ndarray, high: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((site * np.int64(0x9E3779B97F4A7C1)) ^ key) * np.int64(0x2545F4914F6CDD1D) + high
+
+    def has(self, site: np.ndarray, key: np.ndarray, page: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(site), bool)
+        if not len(self.mixed) or not len(site):
+            return out
+        high, low = page >> 16, page & 0xFFFF
+        first = np.searchsorted(self.mixed, self._mix(site, key, high))
+        for step in range(self.same):
+            at = self.place[np.minimum(first + step, len(self.mixed) - 1)]
+            hit = np.flatnonzero((self.site[at] == site) & (self.key[at] == key) & (self.high[at] == high))
+            at = at[hit]
+            dense = self.dense[at] >= 0
+            d, i = at[dense], hit[dense]
+            out[i] |= self.words[self.dense[d] * BITSET + (low[i] >> 3)] >> (7 - (low[i] & 7)).astype(np.uint8) & 1 == 1
+            d, i = at[~dense], hit[~dense]
+            if len(self.members):
+                member = d << 16 | low[i]
+                out[i] |= self.members[np.minimum(np.searchsorted(self.members, member), len(self.members) - 1)] == member
+        return out

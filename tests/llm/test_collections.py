@@ -480,3 +480,30 @@ def test_copies_are_the_same_in_groups_of_ranges(spark, monkeypatch):
     assert collapse.Layout.of(2400, 1 << 13).groups == 3
     assert sorted(tuple(r) for r in collapse.copies(items(spark, rows), 1 << 13).collect()) == want
     assert want == [(i, i + 1700) for i in range(700)]
+
+
+@pytest.mark.parametrize("limit", ["HELD", "HELD_BYTES"])
+def test_repeated_lines_are_the_same_beyond_any_limit(spark, monkeypatch, limit):
+    df = H.pages(spark, line_pages(40) + line_pages(3))
+    want = {tuple(r) for r in repeats.find(df).collect()}
+    lookup = repeats.held(repeats.repeated(repeats.lines(df)))
+    clean = sorted(tuple(r) for r in repeats.clean(df, lookup).collect())
+    assert clean == sorted(tuple(r) for r in repeats.without(df, repeats.find(df)).collect())
+    monkeypatch.setattr(repeats, limit, 0)
+    assert repeats.held(repeats.repeated(repeats.lines(df))) is None
+    assert {tuple(r) for r in repeats.find(df).collect()} == want
+
+
+def test_lookup_equals_sets():
+    rng = np.random.default_rng(11)
+    sets = {(s, k, h): np.unique(rng.integers(0, 1 << 16, n)) for s, k, h, n in [(1, 5, 0, 9), (1, 5, 1, 30_000), (2, 5, 0, 1), (-3, -5, 7, 5_000), (2, 6, 1 << 40, 4)]}
+    names = np.array(list(sets), np.int64)
+    payload = bitmaps._containers(np.repeat(np.arange(len(sets)), [len(v) for v in sets.values()]), np.concatenate(list(sets.values())), len(sets)).to_pylist()
+    lookup = bitmaps.Lookup(names[:, 0], names[:, 1], names[:, 2], payload)
+    for (s, k, h), members in sets.items():
+        page = np.arange(1 << 16) + (h << 16)
+        for site, key in [(s, k), (s, 99), (77, k)]:
+            got = lookup.has(np.full(len(page), site), np.full(len(page), key), page)
+            want = set(sets.get((site, key, h), ()))
+            assert set(np.flatnonzero(got).tolist()) == {int(x) for x in want}
+    assert not bitmaps.Lookup(*(np.zeros(0, np.int64),) * 3, []).has(np.array([1]), np.array([1]), np.array([1])).any()
