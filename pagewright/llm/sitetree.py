@@ -3,14 +3,17 @@
 The pages of a host are merged into one tree: its branches are what stands before the title heading, the title, and
 what follows, where a heading opens a branch of its own; its nodes are blocks of a presentation (kind, level, link
 or not) with a content. The importance of a content that stands on m of a host's N pages is 1 - log m / log N: 1 if it
-is unique, 0 if every page has it. Counts are exact cardinalities of united page bitmaps (``bitmaps``). A node of low
-importance is removed; a branch goes as a whole if its importance (of the part before the title: distinct contents
-over all its nodes) or that of the heading that opens it is low. Hosts with few pages borrow the contents that are of
-low importance among all hosts of their language.
+is unique, 0 if every page has it. The presentations of the part before the title, in their order, are a style node of
+the host; the importance of that part's presentation is the entropy of its style nodes over the host's pages, in units
+of log N. Counts are exact cardinalities of united page bitmaps (``bitmaps``). A node of low importance is removed; a
+branch goes as a whole if its importance is low: of the part before the title, the importance of its presentation and
+the mean of its contents, weighed as one to four; of another, that of the heading that opens it. Hosts with few pages
+borrow the contents that are of low importance among all hosts of their language.
 
 Presentations are headings, captions, and items or paragraphs that are mostly link or not; a list of links is one node, low if
 half its items are. A node's content is its letters in the folded text, with the site's own name as one sign; for a block that is mostly
-link, its unlinked letters; the digits too where a block is a row of figures.
+link, its unlinked letters; the digits too where a block is a row of figures. The short line under the title that names
+the site has its presentation for a content: who wrote a page differs, that it is told there is the host's template.
 
 Defined results: null blocks, spans and texts count as empty; blocks without text and of kind hr never come out as
 boilerplate; a page without a title heading has no part before it; a page without a usable url is judged by the
@@ -29,6 +32,7 @@ import tempfile
 import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from itertools import pairwise
 
 import numpy as np
@@ -50,19 +54,21 @@ LEAST_PAGES = 4
 #: The same among all hosts of a language.
 POOL_SHARE = 0.02
 POOL_PAGES = 5
-#: The part before the title is a low branch if its distinct contents are at most this part of its nodes.
-LEAD = 0.6
+#: The part before the title is a low branch up to this importance, of which its presentation makes this part.
+LEAD, STYLE_WEIGHT = 0.75, 0.2
 #: Low contents that are held by every task at most; beyond it they travel with their host's pages.
 HELD = 300_000
 #: Sites whose name is held by every task at most; beyond it names are looked up in mapped files.
 NAMES = 200_000
 
-BEFORE, TITLE, AFTER = 0, 1, 2
+BEFORE, TITLE, AFTER, STYLE = 0, 1, 2, 3
+#: A site with more of all pages than this part is hot: its pages are spread over ``SALTS`` tasks in a join.
+HOT, SALTS = 1 / 1000, 64
 KINDS = {"h": 0, "p": 1, "li": 2, "pre": 3, "quote": 4, "table": 5, "hr": 6}
 
 #: Blocks of a page as parallel arrays: kind, level, flags (1 has text, 2 names the site in a short line, 4 mostly
-#: link, 8 has a marker), content. ``as_site``: the host itself or, without a url, the one whose name the page bears.
-FIELDS = "page_id bigint, site bigint, as_site bigint, first int, kinds array<int>, levels array<int>, flags array<int>, keys array<bigint>"
+#: link, 8 has a marker), content. ``style``: the presentations before the title. ``as_site``: the host itself or, without a url, the one whose name the page bears.
+FIELDS = "page_id bigint, site bigint, as_site bigint, first int, style bigint, kinds array<int>, levels array<int>, flags array<int>, keys array<bigint>"
 
 _LOOKS = (0, 0x5851F42D4C957F2D, 0x14057B7EF767814F, 0x2545F4914F6CDD1D, 0x369DEA0F31A53F85, 0x27BB2EE687B0B0FD)
 _PARTS = re.compile(r"\s+[|·•:—–\-]\s+|[|｜]")
@@ -71,6 +77,7 @@ _FIGURES = re.compile(r"[;|\t]")
 _LEAD_IN = re.compile(r"\s*([^:：\n]{2,30})[:：]\s*\S[^\n]{3,130}(?<![.!?。！？”»」])\s*\Z")
 _TRIM = " |·•»›>-–—…!.\n"
 _contents: dict[tuple[str, str], tuple[int, bool]] = {}
+_BYLINE = hash64("\n@")  # no content has a line break
 
 
 def _content(text: str, name: str) -> tuple[int, bool]:
@@ -212,6 +219,13 @@ def _named(title: str | None, texts: list[str], names: Names) -> str | None:
     return seen.most_common(1)[0][0] if seen else None
 
 
+@lru_cache(1 << 16)
+def _style(nodes: tuple[tuple[int, int], ...]) -> int:
+    """The presentations (kind, mostly link or not) of blocks in their order, runs as one, as a hash."""
+    looks = [f"{kind}{flag & 4}" for kind, flag in nodes]
+    return hash64("".join(x for x, before in zip(looks, ["", *looks]) if x != before))
+
+
 def structure(batch: pa.RecordBatch, flat: Flat, names: Names) -> tuple[list[tuple], list[PageBlocks]]:
     """FIELDS of every page of a batch (page_id, url, ... , blocks)."""
     ids, urls = batch.column("page_id").to_pylist(), batch.column("url").to_pylist()
@@ -247,21 +261,24 @@ def structure(batch: pa.RecordBatch, flat: Flat, names: Names) -> tuple[list[tup
                     look = 3 if flat.caption[i] else 2 if level[i] > 0 and kind in ("h", "p") else (flag >> 2 & 1) + (4 if kind == "li" else 0)
                 if names_site and n[i] < 100:
                     flag |= 2
+                    if i - a == part.title + 1 and part.title >= 0 and kind != "h":
+                        key = _BYLINE
                 if key:  # as a node of its presentation
                     key = key ^ _LOOKS[look] or 1
             kinds.append(KINDS.get(kind, 1))
             flags.append(flag)
             keys.append(key)
-        rows.append((ids[page], hash64(host) if host else 0, hash64(as_host) if as_host else 0, part.title, kinds, level[a:b], flags, keys))
+        style = _style(tuple(zip(kinds, flags[: max(part.title, 0)])))
+        rows.append((ids[page], hash64(host) if host else 0, hash64(as_host) if as_host else 0, part.title, style, kinds, level[a:b], flags, keys))
         parts.append(part)
     return rows, parts
 
 
 def _arrow(rows: list[tuple]) -> list[pa.Array]:
     c = list(zip(*rows))
-    offsets = pa.array(np.r_[0, np.cumsum([len(x) for x in c[4]])].astype(np.int32))
+    offsets = pa.array(np.r_[0, np.cumsum([len(x) for x in c[5]])].astype(np.int32))
     flat = lambda x, t: pa.ListArray.from_arrays(offsets, pa.array(np.array([v for r in x for v in r], dtype=t)))
-    return [pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.int32()), flat(c[4], np.int32), flat(c[5], np.int32), flat(c[6], np.int32), flat(c[7], np.int64)]
+    return [pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.int32()), pa.array(c[4], pa.int64()), flat(c[5], np.int32), flat(c[6], np.int32), flat(c[7], np.int32), flat(c[8], np.int64)]
 
 
 Extra = Callable[[pa.RecordBatch, Flat, list[PageBlocks]], list[pa.Array]]
@@ -305,18 +322,25 @@ def low_contents(structured: DataFrame, sites: DataFrame) -> DataFrame:
     zone = F.when(F.col("n") < F.col("first"), BEFORE).when(F.col("n") == F.col("first"), TITLE).otherwise(AFTER)
     nodes = structured.select("page_id", "site", "first", F.posexplode("keys").alias("n", "key")).where("key <> 0")
     page = structured.where("site <> 0").select("page_id", "site", F.lit(TITLE).alias("zone"), F.lit(0).cast("bigint").alias("key"))
-    postings = nodes.where("site <> 0").select("page_id", "site", zone.alias("zone"), "key").where(F.col("zone") != TITLE).unionByName(page)
+    styles = structured.where("site <> 0").select("page_id", "site", F.lit(STYLE).alias("zone"), F.col("style").alias("key"))
+    postings = nodes.where("site <> 0").select("page_id", "site", zone.alias("zone"), "key").where(F.col("zone") != TITLE).unionByName(page).unionByName(styles)
     counts = materialize(cardinalities(postings.withColumn("variant", F.col("key"))), "contents")
 
     host = counts.where("key = 0").select("site", F.col("pages").alias("total"))
-    often = counts.where((F.col("key") != 0) & (F.col("pages") >= LEAST_PAGES)).groupBy("site", "key").agg(F.max("pages").alias("pages"))
+    contents = counts.where((F.col("key") != 0) & (F.col("zone") != STYLE))
+    often = contents.where(F.col("pages") >= LEAST_PAGES).groupBy("site", "key").agg(F.max("pages").alias("pages"))
     importance = 1 - F.log("pages") / F.log("total")
     by_host = often.join(host, "site").where((importance <= IMPORTANCE) & (F.col("pages") >= LEAST_SHARE * F.col("total"))).select("site", "key")
 
-    lead = counts.where((F.col("key") != 0) & (F.col("zone") == BEFORE)).groupBy("site").agg(F.count("*").alias("kinds"), F.sum("pages").alias("nodes"))
-    low_lead = lead.where(F.col("kinds") <= LEAD * F.col("nodes")).select("site", F.lit(0).cast("bigint").alias("key"))
+    # the part before the title: the entropy of its style nodes over the pages, and the mean importance of its contents
+    log_n = F.log(F.greatest("total", F.lit(2)))
+    share = F.col("pages") / F.col("total")
+    presented = counts.where(F.col("zone") == STYLE).join(host, "site").groupBy("site").agg((-F.sum(share * F.log(share)) / F.max(log_n)).alias("presentation"))
+    told = contents.where(F.col("zone") == BEFORE).join(host, "site").groupBy("site").agg((F.sum(F.col("pages") * (1 - F.log("pages") / log_n)) / F.sum("pages")).alias("content"))
+    lead = told.join(presented, "site").where(STYLE_WEIGHT * F.col("presentation") + (1 - STYLE_WEIGHT) * F.col("content") <= LEAD)
+    low_lead = lead.select("site", F.lit(0).cast("bigint").alias("key"))
 
-    known = counts.join(site_langs(sites), "site")
+    known = counts.where(F.col("zone") != STYLE).join(site_langs(sites), "site")
     pool = known.where("key = 0").groupBy("lang").agg(F.sum("pages").alias("total"))
     shared = known.where("key <> 0").groupBy("lang", "key").agg(F.sum("pages").alias("pages")).where(F.col("pages") >= POOL_PAGES)
     by_lang = shared.join(pool, "lang").where((importance <= IMPORTANCE) & (F.col("pages") >= POOL_SHARE * F.col("total")))
@@ -348,7 +372,7 @@ def body_flags(first: int, kinds: list[int], levels: list[int], flags: list[int]
                 j += 1
             lows[i:j] = [sum(lows[i:j]) * 2 >= j - i and (j - i > 1 or not flags[i] & 8)] * (j - i)
         i = j
-    for i, (kind, level, flag) in enumerate(zip(kinds, levels, flags)):
+    for i, (kind, level) in enumerate(zip(kinds, levels)):
         if i < first and lead_low:
             out.append(False)
             continue
@@ -360,9 +384,6 @@ def body_flags(first: int, kinds: list[int], levels: list[int], flags: list[int]
         if heading and i > first:
             tail = is_low or tail and not (kind == 0 and level > 0)
         keep = not (tail or is_low)
-        # the line under the title that names the site is its author line
-        if keep and flag & 2 and i == first + 1 and kind != 0:
-            keep = False
         out.append(keep)
     return out
 
@@ -395,7 +416,14 @@ def with_low(structured: DataFrame, low: DataFrame) -> tuple[DataFrame, Low]:
     if not joined:
         return structured.withColumn("low", F.lit(None).cast("array<bigint>")), known
     own = low.where("site <> 0").groupBy(F.col("site").alias("as_site")).agg(F.collect_set("key").alias("low"))
-    return structured.join(own, "as_site", "left"), known
+    # the pages of a hot site (fewer than 1 / HOT of them), and those of no site, are spread
+    sizes = materialize(structured.groupBy("as_site").count(), "sizes")
+    least = (sizes.agg(F.sum("count")).first()[0] or 0) * HOT
+    hot = F.broadcast(sizes.where((F.col("count") > least) | (F.col("as_site") == 0)).select("as_site", F.lit(SALTS).alias("salts")))
+    salt = F.pmod(F.xxhash64("page_id"), F.coalesce("salts", F.lit(1)))
+    pages_ = structured.join(hot, "as_site", "left").withColumn("salt", salt).drop("salts")
+    spread = own.join(hot, "as_site", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("salts", F.lit(1)).cast("bigint") - 1))).drop("salts")
+    return pages_.join(spread, ["as_site", "salt"], "left").drop("salt"), known
 
 
 def _boilerplate(batches: Iterator[pa.RecordBatch], low: Low) -> Iterator[pa.RecordBatch]:
