@@ -45,6 +45,10 @@ def _port(u: str) -> str:
     return f"CAST(CASE WHEN {e} <> '' THEN CAST({e} AS BIGINT) WHEN {_scheme(u)} = 'http' THEN 80 ELSE 443 END AS BIGINT)"
 
 
+def _authority(u: str) -> str:
+    return f"lower(regexp_replace({_part(u, 2)}, '^.*@', ''))"
+
+
 def _site(h: str) -> str:
     cut = lambda n: f"array_to_string(list_slice(string_split({h}, '.'), -{n}, -1), '.')"
     return f"CASE WHEN regexp_matches({h}, '\\.(?:co|ne|or|ac|go|com|net|org|gov|edu)\\.[a-z]{{2}}$') THEN {cut(3)} ELSE {cut(2)} END"
@@ -86,7 +90,7 @@ def url_tracker_clean(spark, d):
 @_query(
     f"""WITH p AS (SELECT item_id, string_split({_part('target', 4)}, '&') AS l FROM (SELECT DISTINCT item_id, target FROM items WHERE kind = 'url')),
     e AS (SELECT item_id, unnest(range(len(l))) AS n, unnest(l) AS kv FROM p),
-    s AS (SELECT item_id, n, string_split(kv, '=')[1] AS name, CASE WHEN instr(kv, '=') > 0 THEN substr(kv, instr(kv, '=') + 1) ELSE '' END AS value FROM e WHERE kv <> ''),
+    s AS (SELECT item_id, n, url_decode(replace(string_split(kv, '=')[1], '+', ' ')) AS name, url_decode(replace(CASE WHEN instr(kv, '=') > 0 THEN substr(kv, instr(kv, '=') + 1) ELSE '' END, '+', ' ')) AS value FROM e WHERE kv <> ''),
     f AS (SELECT *, row_number() OVER (PARTITION BY item_id, name ORDER BY n) AS r FROM s WHERE value <> '')
     SELECT item_id, name, value FROM f WHERE r = 1"""
 )
@@ -97,6 +101,15 @@ def url_query_params(spark, d):
     return e.groupBy("item_id", F.col("p.k").alias("name")).agg(F.min_by("p.v", "n").alias("value"))
 
 
+@_query(f"SELECT item_id, [title, CAST(item_id AS VARCHAR)] AS values FROM (SELECT DISTINCT item_id, title FROM items WHERE title <> '')")
+def form_params(spark, d):
+    """The first values of an address with a form's fields: titles quoted into it come out as they were, later ones of a name don't."""
+    items = table(spark, d, "items").where("title <> ''").select("item_id", "title").distinct()
+    url = F.concat(F.lit("https://find.example/a?q="), U.quote_plus(F.col("title")), F.lit("&_seen=&q=2&%6E="), F.col("item_id"), F.lit("&n"))
+    first = U.first_values(U.query_pairs(url))
+    return items.withColumn("p", first).select("item_id", F.transform("p", lambda p: p["v"]).alias("values"))
+
+
 _ABOVE = f"regexp_replace(regexp_replace({_part('url', 3)}, '/+$', ''), '[^/]*$', '')"
 
 
@@ -128,7 +141,7 @@ def _links(spark, d):
 
 
 _L = "(SELECT DISTINCT page_id, url, unnest(range(len(links))) AS link_no, unnest(links) AS link FROM page_docs WHERE url IS NOT NULL)"
-_SAME = f"{_scheme('url')} = {_scheme('link')} AND {_host('url')} = {_host('link')} AND {_port('url')} = {_port('link')}"
+_SAME = f"{_scheme('url')} = {_scheme('link')} AND {_authority('url')} = {_authority('link')}"
 
 
 @_query(f"SELECT page_id, CAST(link_no AS BIGINT) AS link_no, CASE WHEN {_SAME} THEN 'same-origin' WHEN {_scheme('url')} = {_scheme('link')} AND {_site(_host('url'))} = {_site(_host('link'))} THEN 'same-site' ELSE 'cross-site' END AS relation FROM {_L}")
@@ -136,23 +149,24 @@ def url_site_relation(spark, d):
     return _links(spark, d).select("page_id", F.col("link_no").cast("bigint"), U.site_relation(F.col("url"), F.col("link")).alias("relation"))
 
 
-_ORIGIN = f"{_scheme('url')} || '://' || regexp_replace(lower({_part('url', 2)}), '^.*@', '')"
+_ORIGIN = f"{_scheme('url')} || '://' || {_authority('url')}"
 
 
 @_query(
-    f"""SELECT page_id, CAST(link_no AS BIGINT) AS link_no, CASE WHEN {_scheme('url')} = 'https' AND {_scheme('link')} <> 'https' THEN NULL
+    f"""SELECT page_id, CAST(link_no AS BIGINT) AS link_no, CASE WHEN {_scheme('url')} NOT IN ('http', 'https') OR {_scheme('url')} = 'https' AND {_scheme('link')} <> 'https' THEN NULL
     WHEN {_SAME} THEN {_ORIGIN} || {_part('url', 3)} || CASE WHEN {_part('url', 4)} <> '' THEN '?' || {_part('url', 4)} ELSE '' END ELSE {_ORIGIN} || '/' END AS referer FROM {_L}"""
 )
 def url_referer(spark, d):
     return _links(spark, d).select("page_id", F.col("link_no").cast("bigint"), U.referer(F.col("url"), F.col("link")).alias("referer"))
 
 
-_UDDG = f"regexp_extract({_part('link', 4)}, '(?:^|&)uddg=([^&]*)', 1)"
-
-
-@_query(f"SELECT page_id, CAST(link_no AS BIGINT) AS link_no, CASE WHEN regexp_matches({_host('link')}, '(^|\\.)duckduckgo\\.com$|\\.onion$') AND {_part('link', 3)} = '/l/' AND {_UDDG} <> '' THEN {_UDDG} ELSE link END AS url FROM {_L}")
+@_query(f"SELECT page_id, CAST(link_no AS BIGINT) AS link_no, link AS url, CASE WHEN link_no % 4 = 3 THEN 'https://other.example/l/?uddg=' || url_encode(link) ELSE link END AS unwrapped FROM {_L}")
 def redirect_unwrap(spark, d):
-    return _links(spark, d).select("page_id", F.col("link_no").cast("bigint"), U.redirect_target(F.col("link")).alias("url"))
+    """Links as they are, and each of them wrapped: with a scheme, without one, on the hidden host, and on a host that leads nowhere."""
+    link, target = F.col("link"), F.concat(F.lit("uddg="), F.url_encode("link"))
+    hosts = F.array(F.lit("https://duckduckgo.com/l/?a=1&"), F.lit("//html.duckduckgo.com/l/x?"), F.lit(f"http://{U.REDIRECT_ONION}/l/?"), F.lit("https://other.example/l/?"))
+    wrapped = F.concat(F.get(hosts, F.col("link_no") % 4), target)
+    return _links(spark, d).select("page_id", F.col("link_no").cast("bigint"), U.redirect_target(link).alias("url"), U.redirect_target(wrapped).alias("unwrapped"))
 
 
 _I = "(SELECT DISTINCT item_id, target FROM items WHERE target IS NOT NULL)"
@@ -177,16 +191,43 @@ def url_quote_plus(spark, d):
     return _targets(spark, d).select("item_id", U.quote_plus(F.col("target")).alias("quoted"))
 
 
-@_query("SELECT DISTINCT page_id, title, title AS again FROM page_docs WHERE title IS NOT NULL")
+@_query("SELECT doc_id, text, text AS again, '100% ' || text AS stray FROM documents WHERE text IS NOT NULL")
 def url_unquote_roundtrip(spark, d):
-    """Titles quoted and unquoted again."""
-    pages = table(spark, d, "page_docs", "page_id bigint, title string").where("title IS NOT NULL").distinct()
-    return pages.select("page_id", "title", U.url_unquote(F.replace(F.url_encode("title"), F.lit("+"), F.lit("%20"))).alias("again"))
+    """Texts quoted and unquoted again, also behind a percent sign that begins no escape."""
+    texts = table(spark, d, "documents", "doc_id bigint, text string").where("text IS NOT NULL")
+    quoted = F.replace(F.url_encode("text"), F.lit("+"), F.lit("%20"))
+    return texts.select("doc_id", "text", U.unquote(quoted).alias("again"), U.unquote(F.concat(F.lit("100% "), quoted)).alias("stray"))
+
 
+_LAST = "regexp_extract(regexp_replace({c}, '/+$', ''), '[^/]*$')"
 
-@_query(f"SELECT doc_id, CASE WHEN regexp_extract({_part('url', 3)}, '[^/]*$') = '' THEN 'download' ELSE regexp_extract({_part('url', 3)}, '[^/]*$') END AS file_name FROM documents WHERE url IS NOT NULL")
+
+@_query(
+    f"""SELECT doc_id, coalesce(nullif({_LAST.format(c=_part('url', 3))}, ''), 'download') AS file_name, coalesce(nullif({_LAST.format(c=_part('url', 3))}, ''), 'download') AS of_folder, coalesce(source, 'x') || ' & ' || doc_id || '.txt' AS quoted
+    FROM documents WHERE url IS NOT NULL"""
+)
 def download_names(spark, d):
-    return table(spark, d, "documents").where("url IS NOT NULL").select("doc_id", U.file_name(F.col("url")).alias("file_name"))
+    """The names that addresses give: of a page, of the same as a folder, and with escapes."""
+    docs = table(spark, d, "documents").where("url IS NOT NULL")
+    bare = F.regexp_replace(F.substring_index(F.substring_index("url", "#", 1), "?", 1), "/*$", "")
+    name = F.concat(F.coalesce("source", F.lit("x")), F.lit(" & "), F.col("doc_id"), F.lit(".txt"))
+    quoted = F.concat(F.lit("https://a.example/x/"), F.replace(F.url_encode(name), F.lit("+"), F.lit("%20")), F.lit("?q=/y"))
+    return docs.select("doc_id", U.file_name(F.col("url")).alias("file_name"), U.file_name(F.concat(bare, F.lit("//"))).alias("of_folder"), U.file_name(quoted).alias("quoted"))
+
+
+@_query(
+    f"""SELECT page_id, coalesce(nullif({_LAST.format(c='title')}, ''), 'download') AS extended, coalesce(nullif({_LAST.format(c='title')}, ''), 'download') AS plain, 'download' AS none
+    FROM (SELECT DISTINCT page_id, title FROM page_docs WHERE title IS NOT NULL AND trim(title) = title AND NOT regexp_matches(title, '[\x00-\x1F]'))"""
+)
+def disposition_names(spark, d):
+    """The names that a Content-Disposition gives: escaped, quoted, and none."""
+    p = table(spark, d, "page_docs", "page_id bigint, title string").where("title IS NOT NULL").distinct()
+    p = p.where((F.trim("title") == F.col("title")) & ~F.col("title").rlike(r"[\x00-\x1F]"))
+    url = F.lit("https://a.example/")
+    extended = F.concat(F.lit("attachment; filename*=UTF-8''"), F.replace(F.url_encode("title"), F.lit("+"), F.lit("%20")))
+    inner = F.replace(F.replace("title", F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    plain = F.concat(F.lit('attachment; size=3; filename="'), inner, F.lit('"; filename*=UTF-8\'\'other'))
+    return p.select("page_id", U.download_name(url, extended).alias("extended"), U.download_name(url, plain).alias("plain"), U.download_name(url, F.lit("inline")).alias("none"))
 
 
 @_query()
@@ -199,7 +240,7 @@ def url_join(spark, d):
 @_query(f"SELECT page_id, CAST(link_no AS BIGINT) AS link_no FROM {_L} WHERE string_split(url, '#')[1] = string_split(link, '#')[1]")
 def same_page_links(spark, d):
     """Links that stay on their page."""
-    own = U.url_unquote(U.defragmented(F.col("url"))) == U.url_unquote(U.defragmented(F.col("link")))
+    own = U.unquote(U.defragmented(F.col("url"))) == U.unquote(U.defragmented(F.col("link")))
     return _links(spark, d).where(own).select("page_id", F.col("link_no").cast("bigint"))
 
 

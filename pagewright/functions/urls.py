@@ -1,12 +1,14 @@
 """URL algebra as column expressions.
 
-``parse_url`` rejects addresses with non-ASCII characters, so one anchored pattern takes an address apart. Joining,
-unquoting and parameter splitting follow the standard library's ``urllib.parse`` and run in Arrow batches.
+``parse_url`` rejects addresses with non-ASCII characters, so one anchored pattern takes an address apart. Joining and
+the names in a Content-Disposition follow the standard library and run in Arrow batches; the rest stays in the JVM.
 """
 
 from __future__ import annotations
 
-from urllib.parse import unquote, urldefrag, urljoin
+from email.message import Message
+from email.utils import collapse_rfc2231_value
+from urllib.parse import urldefrag, urljoin
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -107,11 +109,29 @@ def quote_plus(c: Column) -> Column:
     return F.replace(F.replace(F.url_encode(c), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
 
 
+def unquote(c: Column) -> Column:
+    """Percent escapes of UTF-8 undone; a percent sign that begins none stays, bytes that are no text become U+FFFD."""
+    escaped = F.regexp_replace(c, "%(?![0-9A-Fa-f]{2})", "%25")
+    return F.when(F.instr(c, "%") == 0, c).otherwise(F.url_decode(F.replace(escaped, F.lit("+"), F.lit("%2B"))))
+
+
+def unquote_plus(c: Column) -> Column:
+    """The same, with a plus for a blank."""
+    return unquote(F.replace(c, F.lit("+"), F.lit(" ")))
+
+
 def query_pairs(url: Column, keep_blank: bool = False) -> Column:
-    """array<struct<k,v>> of the query's parameters, in order, undecoded; empty values go unless kept."""
+    """array<struct<k,v>> of the query's parameters, decoded, in order; empty values go unless kept."""
     pairs = F.filter(F.split(query(url), "&"), lambda p: p != "")
     split = F.transform(pairs, lambda p: F.struct(F.substring_index(p, "=", 1).alias("k"), F.when(F.instr(p, "=") > 0, F.substring(p, F.instr(p, "=") + 1, F.length(p))).otherwise(F.lit("")).alias("v")))
-    return split if keep_blank else F.filter(split, lambda p: p["v"] != "")
+    kept = split if keep_blank else F.filter(split, lambda p: p["v"] != "")
+    return F.transform(kept, lambda p: F.struct(unquote_plus(p["k"]).alias("k"), unquote_plus(p["v"]).alias("v")))
+
+
+def first_values(pairs: Column) -> Column:
+    """The first pair of each name, in order."""
+    names = lambda ps: F.transform(ps, lambda p: p["k"])
+    return F.filter(pairs, lambda p, i: F.array_position(names(pairs), p["k"]) == i + 1)
 
 
 def is_tracking(name: Column) -> Column:
@@ -140,22 +160,28 @@ def registrable(h: Column) -> Column:
     return F.when(three, F.substring_index(h, ".", -3)).otherwise(F.substring_index(h, ".", -2))
 
 
+def authority(url: Column) -> Column:
+    """Host and port as they are written, in lower case and without a user: with the scheme, an origin."""
+    return F.lower(F.regexp_replace(netloc(url), r"^.*@", ""))
+
+
+def same_origin(page: Column, url: Column) -> Column:
+    return (scheme(page) == scheme(url)) & (authority(page) == authority(url))
+
+
 def site_relation(page: Column, url: Column) -> Column:
     """same-origin, same-site or cross-site."""
-    same_scheme = scheme(page) == scheme(url)
-    origin = same_scheme & (host(page) == host(url)) & (port(page) == port(url))
-    site = same_scheme & (registrable(host(page)) == registrable(host(url)))
-    return F.when(origin, "same-origin").when(site, "same-site").otherwise("cross-site")
+    site = (scheme(page) == scheme(url)) & ((host(page) == host(url)) | (registrable(host(page)) == registrable(host(url))))
+    return F.when(same_origin(page, url), "same-origin").when(site, "same-site").otherwise("cross-site")
 
 
 def referer(page: Column, url: Column) -> Column:
     """strict-origin-when-cross-origin: the page without user and fragment within its origin, its origin elsewhere, none
-    from https to http."""
-    bare = F.regexp_replace(F.lower(netloc(page)), r"^.*@", "")
-    origin = F.concat(scheme(page), F.lit("://"), bare)
+    from https to http, and none of a page that is neither."""
+    origin = F.concat(scheme(page), F.lit("://"), authority(page))
     own = F.concat(origin, path(page), F.when(query(page) != "", F.concat(F.lit("?"), query(page))).otherwise(F.lit("")))
-    down = (scheme(page) == "https") & (scheme(url) != "https")
-    return F.when(down, F.lit(None).cast("string")).when(site_relation(page, url) == "same-origin", own).otherwise(F.concat(origin, F.lit("/")))
+    none = ~scheme(page).isin("http", "https") | (scheme(page) == "https") & (scheme(url) != "https")
+    return F.when(none, F.lit(None).cast("string")).when(same_origin(page, url), own).otherwise(F.concat(origin, F.lit("/")))
 
 
 def private_upgrade(url: Column) -> Column:
@@ -178,19 +204,52 @@ def to_url(text: Column) -> Column:
     return F.when(F.instr(text, "://") > 0, text).otherwise(F.concat(F.lit("https://"), text))
 
 
+# fixed values: the hosts whose /l/ addresses lead elsewhere, and the parameter that says where
+REDIRECT_HOST = "duckduckgo.com"
+REDIRECT_ONION = "duckduckgogg42xjoc72x3sjasowoarfbgcmvfimaftt6twagswzczad.onion"
+REDIRECT_PARAMETER = "uddg"
+
+
 def redirect_target(url: Column) -> Column:
-    """The undecoded target of a search engine's redirect link (path /l/, parameter uddg), else the address itself."""
-    is_redirect = host(url).rlike(r"(^|\.)duckduckgo\.com$|\.onion$") & (path(url) == "/l/")
-    value = F.regexp_extract(query(url), r"(?:^|&)uddg=([^&]*)", 1)
-    return F.when(is_redirect & (value != ""), value).otherwise(url)
+    """The target of a search engine's redirect link, which may lack its scheme; else the address itself."""
+    full = F.when(F.instr(url, "://") > 0, url).otherwise(F.concat(F.lit("https:"), url))
+    leads = (netloc(full).endswith(REDIRECT_HOST) | (netloc(full) == REDIRECT_ONION)) & path(full).startswith("/l/")
+    value = F.filter(query_pairs(full), lambda p: p["k"] == REDIRECT_PARAMETER)
+    return F.when(leads & (F.size(value) > 0), F.get(value, F.lit(0))["v"]).otherwise(url)
+
+
+def last_component(c: Column) -> Column:
+    """What follows the last slash but those at the end."""
+    return F.substring_index(F.regexp_replace(c, "/+$", ""), "/", -1)
 
 
 def file_name(url: Column) -> Column:
-    """The last part of the path, or "download"."""
-    last = F.substring_index(path(url), "/", -1)
+    """The last part of the decoded path, or "download"."""
+    last = last_component(unquote(path(url)))
     return F.when(last == "", "download").otherwise(last)
 
 
+def download_name(url: Column, disposition: Column) -> Column:
+    """The name that a Content-Disposition gives, without folders, else that of the address."""
+    given = last_component(F.coalesce(disposition_name(disposition), F.lit("")))
+    return F.when(given == "", file_name(url)).otherwise(given)
+
+
+@F.arrow_udf(T.StringType())
+def disposition_name(header: pa.Array) -> pa.Array:
+    """The file name in a Content-Disposition: ``filename``, else the pieces of ``filename*``; null without one."""
+
+    def one(value):
+        if not value or "filename" not in value.lower():
+            return None
+        m = Message()
+        m["Content-Disposition"] = value.replace("\r", " ").replace("\n", " ")
+        plain = next((v for k, v in m.get_params(header="content-disposition") or [] if k.lower() == "filename" and isinstance(v, str)), None)
+        return plain if plain is not None else collapse_rfc2231_value(m.get_filename("")) or None
+
+    return pa.array([one(v) for v in header.to_pylist()], pa.string())
+
+
 @F.arrow_udf(T.StringType())
 def url_join(base: pa.Array, ref: pa.Array) -> pa.Array:
     def one(b, r):
@@ -202,11 +261,6 @@ def url_join(base: pa.Array, ref: pa.Array) -> pa.Array:
     return pa.array([None if b is None or r is None else one(b, r) for b, r in zip(base.to_pylist(), ref.to_pylist())], pa.string())
 
 
-@F.arrow_udf(T.StringType())
-def url_unquote(text: pa.Array) -> pa.Array:
-    return pa.array([None if t is None else unquote(t) if "%" in t else t for t in text.to_pylist()], pa.string())
-
-
 @F.arrow_udf(T.StringType())
 def url_defrag(url: pa.Array) -> pa.Array:
     return pa.array([None if u is None else urldefrag(u)[0] for u in url.to_pylist()], pa.string())
