@@ -205,13 +205,14 @@ def max_weight_run(spark, d):
     return B.max_run(w).select("page_id", F.col("first").cast("bigint"), F.col("last").cast("bigint"), F.col("best").cast("bigint"))
 
 
-@_query(
-    f"""WITH {BLOCKS}, s AS (SELECT page_id, pos, unnest(range(len(spans))) AS n, unnest(spans) AS s FROM blk),
-    y AS (SELECT page_id, pos, n, coalesce(s.text, '') AS t, concat_ws('|', coalesce(s.link, -1), coalesce(s.bold, false), coalesce(s.code, false), coalesce(s.image, false), coalesce(s.italic, false), coalesce(s.strike, false), coalesce(s.minor, false)) AS style FROM s),
-    z AS (SELECT *, CASE WHEN lag(style) OVER w IS DISTINCT FROM style THEN 1 ELSE 0 END AS new FROM y WINDOW w AS (PARTITION BY page_id, pos ORDER BY n)),
-    g AS (SELECT *, sum(new) OVER (PARTITION BY page_id, pos ORDER BY n) - 1 AS group_no FROM z)
-    SELECT page_id, pos, CAST(group_no AS BIGINT) AS group_no, string_agg(t, '' ORDER BY n) AS text FROM g GROUP BY page_id, pos, group_no"""
-)
+_GROUPS = """sp AS (SELECT page_id, pos, unnest(range(len(spans))) AS n, unnest(spans) AS s FROM blk),
+    sy AS (SELECT page_id, pos, n, coalesce(s.text, '') AS t, concat_ws('|', coalesce(s.link, -1), coalesce(s.bold, false), coalesce(s.code, false), coalesce(s.image, false), coalesce(s.italic, false), coalesce(s.strike, false), coalesce(s.minor, false), coalesce(s.translated, false), coalesce(s.src, '')) AS style FROM sp),
+    sz AS (SELECT *, CASE WHEN lag(style) OVER w IS DISTINCT FROM style THEN 1 ELSE 0 END AS new FROM sy WINDOW w AS (PARTITION BY page_id, pos ORDER BY n)),
+    sg AS (SELECT *, sum(new) OVER (PARTITION BY page_id, pos ORDER BY n) - 1 AS group_no FROM sz),
+    grp AS (SELECT page_id, pos, CAST(group_no AS BIGINT) AS group_no, string_agg(t, '' ORDER BY n) AS text FROM sg GROUP BY page_id, pos, group_no)"""
+
+
+@_query(f"WITH {BLOCKS}, {_GROUPS} SELECT page_id, pos, group_no, text FROM grp")
 def style_groups(spark, d):
     return B.style_groups(_blocks(spark, d)).select("page_id", F.col("pos").cast("bigint"), F.col("group_no").cast("bigint"), "text")
 
@@ -228,32 +229,41 @@ def translate_targets(spark, d):
 def _targets(spark, d) -> DataFrame:
     b = _blocks(spark, d).where("kind IN ('h', 'p', 'li', 'quote')")
     t = F.col("text")
+    b = b.withColumn("groups", B.grouped(F.col("spans"))).withColumn("request", B.request(F.col("groups")))
     return b.where(X.has_letter(t) & ~t.rlike(X.URL_ONLY) & ~t.rlike(f"[{X.KANA}]") & ~B.image_only(F.col("spans")))
 
 
 _TARGETS = SQL["translate_targets"].split(" SELECT page_id, pos, text FROM blk", 1)
+_ESC = "replace(replace(replace({t}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+_REQUESTS = f"""{_GROUPS}, req AS (SELECT page_id, pos, CASE WHEN count(*) > 1 THEN string_agg('<a i=' || group_no || '>' || {_ESC.format(t='text')} || '</a>', '' ORDER BY group_no) ELSE {_ESC.format(t=_strip('max(text)'))} END AS request FROM grp GROUP BY page_id, pos)"""
 
 
-@_query(
-    f"""WITH RECURSIVE {BLOCKS}, t AS (SELECT page_id, pos, length(text) AS n, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS i FROM blk{_TARGETS[1]}),
+def _batched(order: str) -> str:
+    """The batches of requests in an order of places."""
+    return f"""WITH RECURSIVE {BLOCKS}, {_REQUESTS}, tg AS (SELECT page_id, pos FROM blk{_TARGETS[1]}),
+    t AS (SELECT page_id, pos, length(request) AS n, row_number() OVER (PARTITION BY page_id ORDER BY {order}) AS i FROM tg JOIN req USING (page_id, pos)),
     f AS (SELECT page_id, pos, i, CAST(0 AS BIGINT) AS batch, CAST(1 AS BIGINT) AS k, CAST(n AS BIGINT) AS c FROM t WHERE i = 1
     UNION ALL SELECT t.page_id, t.pos, t.i, CASE WHEN f.k >= 50 OR f.c + t.n > 4000 THEN f.batch + 1 ELSE f.batch END, CASE WHEN f.k >= 50 OR f.c + t.n > 4000 THEN 1 ELSE f.k + 1 END, CASE WHEN f.k >= 50 OR f.c + t.n > 4000 THEN t.n ELSE f.c + t.n END FROM f JOIN t ON t.page_id = f.page_id AND t.i = f.i + 1)
     SELECT page_id, pos, batch FROM f"""
-)
+
+
+@_query(_batched("pos"))
 def translate_batches(spark, d):
     """The texts of a page in requests of at most 50 texts and 4,000 characters."""
     return B.batches(_targets(spark, d)).select("page_id", F.col("pos").cast("bigint"), F.col("batch").cast("bigint"))
 
 
-_ESC = "replace(replace(replace({t}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+@_query(_batched("pos < page_id % 20, pos"))
+def translate_order(spark, d):
+    """The same from the place on that a reader sees (here another for each page), what is above it last."""
+    return B.batches(_targets(spark, d), top=F.pmod("page_id", F.lit(20))).select("page_id", F.col("pos").cast("bigint"), F.col("batch").cast("bigint"))
 
 
-@_query(f"WITH {BLOCKS} SELECT page_id, pos, CASE WHEN len(spans) > 1 THEN array_to_string(list_transform(range(len(spans)), lambda i: '<a i=' || i || '>' || {_ESC.format(t='coalesce(spans[i + 1].text, chr(0))')} || '</a>'), '') ELSE {_strip(_ESC.format(t='text'))} END AS request FROM blk WHERE {_HEADS} AND len(spans) > 0")
+@_query(f"WITH {BLOCKS}, {_REQUESTS} SELECT page_id, pos, request FROM req JOIN blk USING (page_id, pos) WHERE {_HEADS}")
 def translate_requests(spark, d):
-    """What is sent for a block: its text, or its spans in numbered marks."""
+    """What is sent for a block: its text, or its groups of one style in numbered marks."""
     b = _blocks(spark, d).where("kind IN ('h', 'p', 'li', 'quote')").where(F.size("spans") > 0)
-    marked = F.array_join(F.transform("spans", lambda s, i: F.concat(F.lit("<a i="), i.cast("string"), F.lit(">"), X.escape(F.coalesce(s["text"], F.lit("\0"))), F.lit("</a>"))), "")
-    return b.select("page_id", F.col("pos").cast("bigint"), F.when(F.size("spans") > 1, marked).otherwise(X.strip(X.escape(F.col("text")))).alias("request"))
+    return b.withColumn("groups", B.grouped(F.col("spans"))).select("page_id", F.col("pos").cast("bigint"), B.request(F.col("groups")).alias("request"))
 
 
 @_query(

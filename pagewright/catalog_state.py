@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pagewright.functions import urls as U
 from pagewright.operators import state as S
 from pagewright.plans.stages import stage_path
 from pagewright.sources.tables import table
@@ -57,15 +58,17 @@ def bookmark_state(spark, d):
 
 
 @_query(
-    f"""WITH h AS (SELECT * FROM {_I} WHERE contains(lower(coalesce(title, '') || ' ' || coalesce(target, '')), 'forest') AND contains(lower(coalesce(title, '') || ' ' || coalesce(target, '')), 'a')),
-    g AS (SELECT profile_id, kind, target, max(CASE WHEN list_name = 'bookmarks' THEN 1 ELSE 0 END) AS mark, max_by(time_s, (CASE WHEN list_name = 'bookmarks' THEN 1 ELSE 0 END, time_s)) AS time_s FROM h GROUP BY ALL),
-    p AS (SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY mark DESC, time_s DESC, kind, target) AS place FROM g)
-    SELECT profile_id, kind, target, CAST(mark AS BIGINT) AS mark, CAST(place AS BIGINT) AS place FROM p WHERE place <= 11"""
+    f"""WITH g AS (SELECT profile_id, kind, target, count(*) FILTER (WHERE list_name = 'bookmarks') > 0 AS marked,
+    arg_max(coalesce(title, ''), (time_s, item_id)) FILTER (WHERE list_name = 'bookmarks') AS mark_title, max(time_s) FILTER (WHERE list_name = 'bookmarks') AS mark_time,
+    arg_max(coalesce(title, ''), (time_s, item_id)) FILTER (WHERE list_name <> 'bookmarks') AS visit_title, max(time_s) FILTER (WHERE list_name <> 'bookmarks') AS visit_time FROM {_I} GROUP BY ALL),
+    h AS (SELECT profile_id, kind, target, CASE WHEN marked THEN mark_title ELSE visit_title END AS title, CASE WHEN marked THEN mark_time ELSE visit_time END AS time_s, CASE WHEN marked THEN 1 ELSE 0 END AS mark FROM g),
+    p AS (SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY mark DESC, time_s DESC, kind, target) AS place FROM h WHERE contains(lower(title || ' ' || coalesce(target, '')), 'forest') AND contains(lower(title || ' ' || coalesce(target, '')), 'a'))
+    SELECT profile_id, kind, target, title, CAST(mark AS BIGINT) AS mark, CAST(place AS BIGINT) AS place FROM p WHERE place <= 11"""
 )
 def suggest(spark, d):
-    """Up to eleven suggestions for two words: bookmarks first, then history."""
+    """Up to eleven suggestions for two words: bookmarks first, then history that is not marked."""
     s = S.suggestions(_items(spark, d), "profile_id", "forest a")
-    return s.select("profile_id", "kind", "target", F.col("mark").cast("bigint"), F.col("place").cast("bigint"))
+    return s.select("profile_id", "kind", "target", "title", F.col("mark").cast("bigint"), F.col("place").cast("bigint"))
 
 
 #: The time that "now" stands for in queries on fixed tables: the end of 2024-12-31.
@@ -131,10 +134,16 @@ def error_notes(spark, d):
     return p.select("page_id", F.col("note").alias("old_note"), F.concat_ws(" | ", F.lit("HTTP 404"), F.nullif("note", F.lit(""))).alias("note"))
 
 
-@_query(f"SELECT item_id, CASE WHEN list_name = 'bookmarks' THEN '★ ' ELSE '' END || CASE WHEN kind = 'search' THEN '? ' ELSE '' END || coalesce(nullif(title, ''), target) AS label FROM {_I}")
+@_query(
+    f"""SELECT item_id, CASE WHEN list_name = 'bookmarks' THEN '★ ' ELSE '  ' END || CASE WHEN kind = 'search' THEN 'Search: ' || target ELSE coalesce(nullif(title, ''), target || ' & ö') || '  ' || target || ' & ö' END AS label FROM {_I}"""
+)
 def suggestion_labels(spark, d):
+    """Items as they are suggested: marked or not, what was searched for, else the title and the readable address (here
+    with escapes at its end)."""
     i = _items(spark, d)
-    return i.select("item_id", F.concat(F.when(F.col("list_name") == "bookmarks", "★ ").otherwise(""), F.when(F.col("kind") == "search", "? ").otherwise(""), F.coalesce(F.nullif("title", F.lit("")), "target")).alias("label"))
+    readable = U.unquote(F.when(F.col("kind") == "search", F.col("target")).otherwise(F.concat("target", F.lit("%20%26%20%C3%B6"))))
+    told = F.when(F.col("kind") == "search", F.concat(F.lit("Search: "), F.col("target"))).otherwise(F.concat(F.coalesce(F.nullif("title", F.lit("")), readable), F.lit("  "), readable))
+    return i.select("item_id", F.concat(F.when(F.col("list_name") == "bookmarks", "★ ").otherwise("  "), told).alias("label"))
 
 
 @_query(

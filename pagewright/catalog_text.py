@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.catalog_blocks import _ESC, _HEADS, _SP, BLOCKS, _strip, translate_requests
+from pagewright.catalog_blocks import _GROUPS, _HEADS, _SP, BLOCKS, _blocks, _strip
 from pagewright.functions import layout as L
 from pagewright.functions import text as X
+from pagewright.operators import blocks as B
 from pagewright.operators import printed as R
 from pagewright.sources import store as J
 from pagewright.sources.tables import table
@@ -155,13 +157,21 @@ def base64_text(spark, d):
     return _docs(spark, d).select("doc_id", X.base64_plain(F.col("text")).alias("raw"))
 
 
-@_query()
+@_query("SELECT doc_id, regexp_replace(text, '\\s+([,.;:!?](?:\\s|$)|[)\\]）」』、。])', '\\1', 'g') AS tidy FROM " + _D)
 def tidy_spaces(spark, d):
     """Texts without blanks before closing signs."""
     return _docs(spark, d).select("doc_id", X.tidy_spaces(F.col("text")).alias("tidy"))
 
 
-_WIDE = "translate(translate(regexp_replace(text, '[\\x00-\\x1F\\x7F]', '', 'g'), '" + "".join(chr(i) for i in range(0x21, 0x7F)).replace("'", "''") + "', '" + "".join(chr(i + 0xFEE0) for i in range(0x21, 0x7F)) + "'), ' ', '　')"
+def _wide(c: str) -> str:
+    for pair, form in X.VOICED.items():
+        c = f"replace({c}, '{pair}', '{form}')"
+    c = f"regexp_replace({c}, '[\\x00-\\x1F\\x7F]', '', 'g')"
+    signs = "".join(chr(i) for i in range(0x20, 0x7F)).replace("'", "''") + "".join(X.HALF_WIDTH) + X.VOICE_MARKS
+    return f"translate({c}, '{signs}', '　" + "".join(chr(i + 0xFEE0) for i in range(0x21, 0x7F)) + "".join(unicodedata.normalize("NFKC", k) for k in X.HALF_WIDTH) + "')"
+
+
+_WIDE = _wide("text")
 
 
 @_query(f"SELECT doc_id, {_WIDE} AS wide FROM {_D}")
@@ -224,23 +234,28 @@ def shortened_titles(spark, d):
     return p.select("page_id", L.shortened("title", F.lit(20)).alias("title"))
 
 
-@_query(f"SELECT doc_id, CAST(1 AS BIGINT) AS parts, text AS first FROM {_D} WHERE text <> '' AND NOT regexp_matches(text, '<') AND NOT regexp_matches(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]')")
+_TIDY = "regexp_replace({t}, '\\s+([,.;:!?](?:\\s|$)|[)\\]）」』、。])', '\\1', 'g')"
+
+
+@_query(f"SELECT doc_id, CAST(1 AS BIGINT) AS parts, {_TIDY.format(t='text')} AS first FROM {_D} WHERE regexp_matches(text, '\\S')")
 def reply_spans(spark, d):
-    """Replies of a translator taken apart (here texts as JSON)."""
-    docs = _docs(spark, d).where("text <> ''").where(~F.col("text").rlike("<") & ~F.col("text").rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F]"))
-    texts = docs.select("doc_id", F.explode(J.reply_texts(F.to_json(F.array("text")))).alias("reply"))
-    spans = J.reply_spans(F.col("reply"))
-    return texts.select("doc_id", F.size(spans).cast("bigint").alias("parts"), F.get(spans, F.lit(0))["text"].alias("first"))
+    """Replies for texts of one style, as JSON: one part each, its escapes undone and its blanks tidied."""
+    docs = _docs(spark, d).where(F.col("text").rlike(r"\S"))
+    texts = docs.select("doc_id", F.explode(J.reply_texts(F.to_json(F.array(X.escape(F.col("text")))))).alias("reply")).withColumn("spans", J.reply_spans("reply", F.lit(1)))
+    return texts.select("doc_id", F.size("spans").cast("bigint").alias("parts"), F.get("spans", F.lit(0))["text"].alias("first"))
 
 
 @_query(
-    f"""WITH {BLOCKS} SELECT page_id, pos, CAST(CASE WHEN len(spans) > 1 THEN len(spans) ELSE 1 END AS BIGINT) AS parts,
-    CASE WHEN len(spans) > 1 THEN list_transform(spans, lambda s: {_ESC.format(t='coalesce(s.text, chr(0))')}) ELSE [{_strip(_ESC.format(t='text'))}] END AS texts
-    FROM blk WHERE {_HEADS} AND len(spans) > 0"""
+    f"""WITH {BLOCKS}, {_GROUPS}, k AS (SELECT *, count(*) OVER (PARTITION BY page_id, pos) AS n FROM grp JOIN blk b USING (page_id, pos) WHERE {_HEADS})
+    SELECT page_id, pos, CAST(group_no AS BIGINT) AS i, {_TIDY.format(t="CASE WHEN n > 1 THEN '>' || grp_text || '<' ELSE grp_text END")} AS text FROM (SELECT page_id, pos, group_no, n, CASE WHEN n > 1 THEN text ELSE {_strip('text')} END AS grp_text FROM (SELECT page_id, pos, group_no, n, text FROM k)) WHERE n > 1 OR length(grp_text) > 0"""
 )
 def reply_spans_whole(spark, d):
-    """Marked replies of a translator taken apart: the requests of all blocks, come back as JSON."""
-    requests = translate_requests(spark, d)
-    replies = requests.select("page_id", "pos", F.explode(J.reply_texts(F.to_json(F.array("request")))).alias("reply"))
-    spans = J.reply_spans(F.col("reply"))
-    return replies.select("page_id", "pos", F.size(spans).cast("bigint").alias("parts"), F.transform(spans, lambda s: s["text"]).alias("texts"))
+    """Marked replies taken apart: the requests of all blocks with each text between two signs, their groups in the
+    opposite order, come back as JSON and keep their styles."""
+    b = _blocks(spark, d).where("kind IN ('h', 'p', 'li', 'quote')").where(F.size("spans") > 0)
+    b, groups = b.withColumn("groups", B.grouped(F.col("spans"))), F.col("groups")
+    marked = F.transform(groups, lambda g, i: F.concat(F.lit("<a i="), i.cast("string"), F.lit(">&gt;"), X.escape(g["text"]), F.lit("&lt;</a>")))
+    request = F.when(F.size(groups) > 1, F.array_join(F.reverse(marked), "")).otherwise(X.escape(X.strip(F.get(groups, F.lit(0))["text"])))
+    rows = b.select("page_id", "pos", F.size(groups).alias("n"), request.alias("request"))
+    replies = rows.select("page_id", "pos", "n", F.explode(J.reply_texts(F.to_json(F.array("request")))).alias("reply"))
+    return replies.select("page_id", F.col("pos").cast("bigint"), F.explode(J.reply_spans("reply", "n")).alias("x")).select("page_id", "pos", F.col("x.i").cast("bigint").alias("i"), "x.text")

@@ -119,9 +119,13 @@ def unescape(c: Column) -> Column:
     return c
 
 
+#: A blank before a closing sign; a stop closes only before a blank or the end.
+SPACE_BEFORE_CLOSE = r"\s+([,.;:!?](?:\s|$)|[)\]）」』、。])"
+
+
 def tidy_spaces(c: Column) -> Column:
     """No blanks before a closing sign."""
-    return F.regexp_replace(c, r"\s+([,.;:!?](?=\s|$)|[)\]）」』、。])", "$1")
+    return F.regexp_replace(c, SPACE_BEFORE_CLOSE, "$1")
 
 
 def extracted_text(c: Column) -> Column:
@@ -136,11 +140,21 @@ def base64_plain(c: Column) -> Column:
     return F.regexp_replace(F.base64(F.encode(c, "UTF-8")), r"\s", "")
 
 
+#: Half-width kana and their marks, and the pairs of a kana and its voice mark that have a form of one character.
+HALF_WIDTH = [chr(i) for i in range(0xFF61, 0xFF9E)]
+VOICE_MARKS = "ﾞﾟ"
+VOICED = {k + m: v for m in VOICE_MARKS for k in HALF_WIDTH if len(v := unicodedata.normalize("NFKC", k + m)) == 1 and v not in "ヷヺ"}
+
+
 def full_width(c: Column) -> Column:
-    """ASCII as full-width forms; other control characters go."""
-    signs = "".join(chr(i) for i in range(0x21, 0x7F))
-    wide = "".join(chr(i + 0xFEE0) for i in range(0x21, 0x7F))
-    return F.translate(F.translate(F.regexp_replace(c, r"[\x00-\x1F\x7F]", ""), signs, wide), " ", "　")
+    """ASCII and half-width kana as full-width forms, kana with their voice marks; other control characters go."""
+    signs = "".join(chr(i) for i in range(0x20, 0x7F)) + "".join(HALF_WIDTH) + VOICE_MARKS
+    wide = "　" + "".join(chr(i + 0xFEE0) for i in range(0x21, 0x7F)) + "".join(unicodedata.normalize("NFKC", k) for k in HALF_WIDTH)
+    paired = c
+    for pair, form in VOICED.items():
+        paired = F.replace(paired, F.lit(pair), F.lit(form))
+    voiced = F.when(c.rlike(f"[{VOICE_MARKS}]"), paired).otherwise(c)
+    return F.translate(F.regexp_replace(voiced, r"[\x00-\x1F\x7F]", ""), signs, wide)
 
 
 def mora_count(c: Column) -> Column:
@@ -164,16 +178,17 @@ def roman(n: Column) -> Column:
 
 
 def cut_long(text: str, most: int = MAX_CHARS) -> list[str]:
-    """Pieces of at most ``most`` characters, cut after the last pause, else at the last blank, else hard."""
+    """Pieces of at most ``most`` characters, cut after the last pause, else after the last blank, else hard; a sign at
+    the very beginning is no place to cut. No character is lost."""
     out = []
     while len(text) > most:
-        head = text[:most]
-        at = max(head.rfind("、") + 1, head.rfind(", ") + 1)
-        at = at or head.rfind(" ") + 1 or most
-        out.append(text[:at].strip())
+        at = max(text.rfind("、", 0, most), text.rfind(", ", 0, most))
+        if at <= 0:
+            at = text.rfind(" ", 0, most)
+        at = at + 1 if at > 0 else most
+        out.append(text[:at])
         text = text[at:]
-    out.append(text.strip())
-    return [p for p in out if p]
+    return [*out, text] if text else out
 
 
 _OPENING, _CLOSING = "(（", ")）"
@@ -223,18 +238,35 @@ def speech_input(text: pa.Array, lang: pa.Array) -> pa.Array:
     return pa.array([None if t is None or la is None else speech_text(t, la) for t, la in zip(text.to_pylist(), lang.to_pylist())], pa.string())
 
 
+_SHIFT_JIS = ("cp932", "ms_kanji", "mskanji", "shift_jis", "shift-jis", "sjis", "x-sjis", "windows-31j")
+_USUAL = re.compile(r"[\x20-\x7E\t\r\n぀-ゟァ-ヺー、。「」・一-鿿　！？]")
+_UNUSUAL = re.compile("[\x80-\x9F｡-ﾟ\uE000-\uF8FF\uFFFD]")
+
+
+def _decodes(content: bytes, name: str) -> str | None:
+    name = "cp932" if name.lower() in _SHIFT_JIS else name
+    try:
+        return content.decode(name)
+    except (LookupError, UnicodeDecodeError):
+        return None
+
+
 def decode_bytes(content: bytes, declared: str | None) -> str:
-    """Text of bytes: the declared charset, the one in the first 4,096 bytes, UTF-8, a Japanese one, Latin-1."""
-    m = re.search(rb"charset=[\"']?\s*([\w\-]+)", content[:4096], re.I)
-    names = [declared, m.group(1).decode("ascii") if m else None, "utf-8", "cp932", "euc_jp"]
-    for name in names:
-        if not name:
-            continue
-        name = "cp932" if name.lower() in ("cp932", "ms_kanji", "mskanji", "shift_jis", "sjis", "x-sjis", "windows-31j") else name.replace("_", "-")
-        try:
-            return content.decode(name)
-        except (LookupError, UnicodeDecodeError):
-            continue
+    """Text of bytes: by a mark at its beginning or the escapes of a Japanese charset, the declared charset, the one named in the first 4,096 bytes, UTF-8;
+    else by that of the Japanese charsets that can read it in which it looks most like text; else Latin-1."""
+    if content.startswith(b"\xef\xbb\xbf"):
+        return content[3:].decode("utf-8", "replace")
+    if re.search(rb"\x1b[$(]", content) and (text := _decodes(content, "iso2022_jp")) is not None:
+        return text
+    m = re.search(rb"(?:charset|encoding)\s*=\s*[\"']?\s*([\w\-]+)", content[:4096], re.I)
+    for name in (declared, m.group(1).decode("ascii") if m else None, "utf-8"):
+        text = _decodes(content, name) if name else None
+        if text is not None:
+            return text
+    read = [t for n in ("euc_jp", "cp932") if (t := _decodes(content, n)) is not None]
+    likely = max(read, key=lambda t: len(_USUAL.findall(t)) - 3 * len(_UNUSUAL.findall(t)), default=None)
+    if likely is not None and len(_UNUSUAL.findall(likely)) * 2 <= len(likely):
+        return likely
     return content.decode("latin-1")
 
 

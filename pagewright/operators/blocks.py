@@ -146,21 +146,43 @@ def coverage(blocks: DataFrame, reference: DataFrame) -> DataFrame:
     return rows.select("page_id", F.col("x.pos").alias("pos"), F.col("x.c.shingles").alias("shingles"), F.col("x.c.matched").alias("matched")).where("shingles > 0")
 
 
+STYLE = ("bold", "code", "image", "italic", "strike", "minor", "translated")
+
+
+def grouped(spans: Column) -> Column:
+    """array<struct<style,text>>: adjacent spans of one style merged, in one pass over a block's own array."""
+    fields = "".join(f", {k}: boolean" for k in STYLE)
+    none = F.expr(f"cast(array() as array<struct<style: struct<link: int{fields}, src: string>, text: string>>)")
+
+    def add(groups: Column, s: Column) -> Column:
+        style = F.struct(F.coalesce(s["link"], F.lit(-1)).alias("link"), *[F.coalesce(s[k], F.lit(False)).alias(k) for k in STYLE], F.coalesce(s["src"], F.lit("")).alias("src"))
+        last = F.try_element_at(groups, F.lit(-1))
+        text = F.coalesce(s["text"], F.lit(""))
+        joined = F.concat(F.slice(groups, 1, F.size(groups) - 1), F.array(F.struct(last["style"].alias("style"), F.concat(last["text"], text).alias("text"))))
+        return F.when((F.size(groups) > 0) & (last["style"] == style), joined).otherwise(F.concat(groups, F.array(F.struct(style.alias("style"), text.alias("text")))))
+
+    return F.when(F.size(spans) > 0, F.aggregate(spans, none, add))
+
+
 def style_groups(blocks: DataFrame) -> DataFrame:
     """(page_id, pos, group_no, text): adjacent spans of one style merged."""
-    s = blocks.select("page_id", "pos", F.posexplode("spans").alias("n", "s"))
-    style = F.struct(F.coalesce("s.link", F.lit(-1)), *[F.coalesce(f"s.{k}", F.lit(False)) for k in ("bold", "code", "image", "italic", "strike", "minor")])
-    w = W.partitionBy("page_id", "pos").orderBy("n")
-    s = s.withColumn("style", style).withColumn("new", (F.lag("style").over(w).isNull() | (F.lag("style").over(w) != F.col("style"))).cast("int"))
-    s = s.withColumn("group_no", F.sum("new").over(w))
-    g = s.groupBy("page_id", "pos", "group_no").agg(F.array_sort(F.collect_list(F.struct("n", F.coalesce("s.text", F.lit("")).alias("t")))).alias("l"))
-    return g.select("page_id", "pos", (F.col("group_no") - 1).alias("group_no"), F.array_join(F.transform("l", lambda x: x["t"]), "").alias("text"))
-
-
-def batches(targets: DataFrame, items: int = 50, chars: int = 4000) -> DataFrame:
-    """(page_id, pos, batch): texts in order, a new batch at ``items`` texts or where the characters would pass
-    ``chars``; a longer text has its own. The fold resets, so it runs over each page's ordered array."""
-    per_page = targets.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.length("text").alias("n")))).alias("l"))
+    g = blocks.select("page_id", "pos", F.posexplode(grouped(F.col("spans"))).alias("group_no", "g"))
+    return g.select("page_id", "pos", "group_no", F.col("g.text").alias("text"))
+
+
+def request(groups: Column) -> Column:
+    """What is sent to a translator for a block of ``grouped`` spans: its text if it has one style, else its groups in numbered marks."""
+    marked = F.array_join(F.transform(groups, lambda x, i: F.concat(F.lit("<a i="), i.cast("string"), F.lit(">"), X.escape(x["text"]), F.lit("</a>"))), "")
+    return F.when(F.size(groups) > 1, marked).otherwise(X.escape(X.strip(F.get(groups, F.lit(0))["text"])))
+
+
+def batches(targets: DataFrame, items: int = 50, chars: int = 4000, top: Column | None = None) -> DataFrame:
+    """(page_id, pos, batch): requests (column ``request``) in order, a new batch at ``items`` requests or where the
+    characters would pass ``chars``; a longer one has its own. With ``top``, those from that place on come first. The
+    fold resets, so it runs over each page's ordered array."""
+    before = F.lit(False) if top is None else F.col("pos") < top
+    entry = F.struct(before.alias("before"), "pos", F.length("request").alias("n"))
+    per_page = targets.groupBy("page_id").agg(F.array_sort(F.collect_list(entry)).alias("l"))
     zero = F.expr("named_struct('b', 0, 'k', 0, 'c', 0, 'o', cast(array() as array<struct<pos:int,batch:int>>))")
 
     def step(a: Column, x: Column) -> Column:

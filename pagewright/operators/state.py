@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 #: Entries that a history keeps.
 HISTORY = 2000
+#: Parts that an owner's keys are ranked in before they are ranked together.
+BUCKETS = 64
 
 
 def recent(visits: DataFrame, owner: str, limit: int = HISTORY) -> DataFrame:
@@ -15,8 +17,11 @@ def recent(visits: DataFrame, owner: str, limit: int = HISTORY) -> DataFrame:
     at most. The latest per key is a partial aggregate, so only one row a key is sorted."""
     latest = visits.groupBy(owner, "kind", "target").agg(F.max_by(F.struct("title", "time_s", "id"), F.struct("time_s", "id")).alias("v"))
     latest = latest.select(owner, "kind", "target", F.col("v.title").alias("title"), F.col("v.time_s").alias("time_s"), F.col("v.id").alias("id"))
-    place = F.row_number().over(W.partitionBy(owner).orderBy(F.desc("time_s"), F.desc("id")))
-    return latest.withColumn("place", place).where(F.col("place") <= limit)
+    # an owner may hold a tenth of all keys: its newest are found in buckets first, so no task sorts more than a bucket
+    bucket = F.pmod(F.xxhash64("kind", "target"), F.lit(BUCKETS))
+    newest = [F.desc("time_s"), F.desc("id")]
+    near = latest.withColumn("bucket", bucket).withColumn("place", F.row_number().over(W.partitionBy(owner, "bucket").orderBy(*newest))).where(F.col("place") <= limit)
+    return near.drop("bucket").withColumn("place", F.row_number().over(W.partitionBy(owner).orderBy(*newest))).where(F.col("place") <= limit)
 
 
 def toggled(actions: DataFrame, owner: str, target: str) -> DataFrame:
@@ -34,13 +39,18 @@ def matches(query: str, title: Column, target: Column) -> Column:
     return out
 
 
-def suggestions(items: DataFrame, owner: str, query: str, limit: int = 11) -> DataFrame:
-    """(owner, kind, target, mark, place): bookmarks that match, then history that matches and is not marked, each
-    newest first."""
-    hit = items.where(matches(query, F.col("title"), F.col("target")))
-    best = hit.groupBy(owner, "kind", "target").agg(F.max(F.when(F.col("list_name") == "bookmarks", 1).otherwise(0)).alias("mark"), F.max_by("time_s", F.struct((F.col("list_name") == "bookmarks").cast("int"), "time_s")).alias("time_s"))
-    place = F.row_number().over(W.partitionBy(owner).orderBy(F.desc("mark"), F.desc("time_s"), "kind", "target"))
-    return best.withColumn("place", place).where(F.col("place") <= limit)
+def suggestions(items: DataFrame, owner: str, query: str, limit: int = 11, bookmarks_only: bool = False) -> DataFrame:
+    """(owner, kind, target, title, mark, place): bookmarks that match, then history that matches and is not marked,
+    each newest first. An item is marked by any bookmark of it, whether that matches or not. One row a key is kept in a
+    partial aggregate before anything is sorted."""
+    is_mark = F.col("list_name") == "bookmarks"
+    row, order = F.struct(F.coalesce("title", F.lit("")).alias("title"), "time_s"), F.struct("time_s", "item_id")
+    keys = items.groupBy(owner, "kind", "target").agg(F.max_by(row, F.when(is_mark, order)).alias("marked"), F.max_by(row, F.when(~is_mark, order)).alias("visited"))
+    shown = keys.select(owner, "kind", "target", F.col("marked").isNotNull().cast("int").alias("mark"), F.coalesce("marked", "visited").alias("r"))
+    hit = shown.where(matches(query, F.col("r.title"), F.col("target")))
+    hit = hit.where("mark = 1") if bookmarks_only else hit
+    place = F.row_number().over(W.partitionBy(owner).orderBy(F.desc("mark"), F.desc("r.time_s"), "kind", "target"))
+    return hit.select(owner, "kind", "target", "r.title", "mark", place.alias("place")).where(F.col("place") <= limit)
 
 
 def cleared(items: DataFrame, since: Column) -> DataFrame:

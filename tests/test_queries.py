@@ -47,5 +47,5 @@ def test_whole_tables_are_read(spark, con):
     shown = {r[0] for r in con.sql("SELECT DISTINCT CAST(json_extract_string(props, '$.k') AS BIGINT) FROM events WHERE event_type = 'purchase'").fetchall()}
     assert not whole & shown
     replies = QUERIES["reply_spans_whole"](spark, DATA)
-    assert replies.where("parts > 1").count() > 0
-    assert replies.count() == QUERIES["translate_requests"](spark, DATA).count()
+    assert replies.where("i > 0").count() > 0
+    assert replies.where("i < 0").count() == 0

@@ -1,10 +1,15 @@
 import random
+import unicodedata
 
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from pagewright.functions import text as X
 from pagewright.operators import blocks as B
 from pagewright.operators import markdown as M
+from pagewright.sources import store as J
 
 
 def value(spark, col):
@@ -12,34 +17,85 @@ def value(spark, col):
 
 
 def test_reading_pieces():
-    assert X.split_sentences("本文です。次の文です！") == ["本文です。", "次の文です！"]
-    assert X.split_sentences("A b. C d? e\n\nf") == ["A b.", "C d?", "e", "f"]
-    assert X.split_sentences("3.14 は円周率") == ["3.14 は円周率"]
-    assert X.split_sentences("see (fig. 2) now. Then") == ["see (fig. 2) now.", "Then"]
-    assert all(len(p) <= 150 for p in X.split_sentences("語、" * 200))
+    assert X.split_sentences("雨が降った。傘はない！帰る") == ["雨が降った。", "傘はない！", "帰る"]
+    assert X.split_sentences("It rained. Why? I left\n\nNo stop") == ["It rained.", "Why?", "I left", "No stop"]
+    assert X.split_sentences("2.5 litres") == ["2.5 litres"]
+    assert X.split_sentences("look (p. 7) there. Done") == ["look (p. 7) there.", "Done"]
+
+
+@given(st.text(alphabet="ab ,、.", max_size=400), st.integers(5, 60))
+@settings(max_examples=200, deadline=None)
+def test_long_pieces_lose_nothing(text, most):
+    pieces = X.cut_long(text, most)
+    assert "".join(pieces) == text
+    assert all(0 < len(p) <= most for p in pieces)
+    for p in pieces[:-1]:
+        assert len(p) == most or p.endswith(("、", ",", " "))
+
+
+def test_a_pause_at_the_beginning_is_no_place_to_cut():
+    assert X.cut_long("、" + "x" * 9 + " yy", 10) == ["、" + "x" * 9, " yy"]
 
 
 def test_speech_text():
-    assert X.speech_text("こんにちは", "ja") == "<ja>こんにちは.</ja>"
-    assert X.speech_text("Hello , world!", "en") == "<en>Hello, world!</en>"
-    assert X.speech_text("a — b", "en") == "<en>a - b.</en>"
+    assert X.speech_text("あめ", "ja") == "<ja>あめ.</ja>"
+    assert X.speech_text("Rain , again ?", "en") == "<en>Rain, again?</en>"
+    assert X.speech_text("rain – sun", "en") == "<en>rain - sun.</en>"
+
+
+JAPANESE = ["カタカナ", "ひらがなと漢字です。", "夕方の市場（入口）「三番」", "東京タワー 2024年"]
+
+
+@pytest.mark.parametrize("charset", ["euc_jp", "cp932", "utf-8", "iso2022_jp"])
+@pytest.mark.parametrize("text", JAPANESE)
+def test_decoding_japanese_without_a_label(text, charset):
+    assert X.decode_bytes(text.encode(charset), None) == text
 
 
-def test_decoding():
-    assert X.decode_bytes("表".encode("cp932"), "Shift_JIS") == "表"
-    assert X.decode_bytes('<meta charset="euc-jp">漢字'.encode("euc_jp"), None).endswith("漢字")
-    assert X.decode_bytes("é".encode(), "no-such-charset") == "é"
+def test_decoding_by_labels():
+    for charset in ("koi8-r", "gb18030", "windows-1252", "big5"):
+        text = {"koi8-r": "Привет", "gb18030": "你好", "windows-1252": "naïve “x”", "big5": "中文"}[charset]
+        assert X.decode_bytes(text.encode(charset), charset) == text
+        head = f'<?xml version="1.0" encoding="{charset}"?>'
+        assert X.decode_bytes((head + text).encode(charset), None) == head + text
+    assert X.decode_bytes("ö".encode(), "unknown-name") == "ö"
+    assert X.decode_bytes("ö and é".encode("latin-1"), None) == "ö and é"
+    assert X.decode_bytes("\ufeffö".encode(), None) == "ö"
+
+
+def test_full_width(spark):
+    assert value(spark, X.full_width(F.lit("No. 3 ﾊﾟﾋﾞﾖﾝ\n｢x｣ﾞ"))) == "Ｎｏ．　３　パビヨン「ｘ」"
+    assert len(X.VOICED) == 26 and all(unicodedata.normalize("NFC", unicodedata.normalize("NFKC", k)) == v for k, v in X.VOICED.items())
 
 
 def test_language_rules(spark):
-    rows = [("これは日本語の文です", None), ("Bonjour le monde", "fr-FR"), ("これはペンです", "en"), ("这是中文", None), ("123 456", None), ("Plain words", "und")]
-    df = spark.createDataFrame(rows, "t string, l string").select(X.language_by_rules(F.col("t"), F.col("l")).alias("v"))
-    assert [r["v"] for r in df.collect()] == ["ja", "fr", "ja", None, None, "en"]
+    rows = [("雨が降っています", None), ("Il pleut encore", "fr_CA"), ("雨がやみました", "de"), ("下雨的时候", None), ("12 34", None), ("Rain again", "und"), ("Rain again", "tlh")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "n int, t string, l string").select("n", X.language_by_rules(F.col("t"), F.col("l")).alias("v"))
+    assert [r["v"] for r in df.orderBy("n").collect()] == ["ja", "fr", "ja", None, None, "en", None]
 
 
 def test_printed_text(spark):
-    assert value(spark, X.extracted_text(F.lit("第 1 章 Google の 検索"))) == "第1章Googleの検索"
-    assert value(spark, X.extracted_text(F.lit("The model is based on 2 layers."))) == "The model is based on 2 layers."
+    assert value(spark, X.extracted_text(F.lit("図 3 は Mill の 絵\x01"))) == "図3はMillの絵"
+    assert value(spark, X.extracted_text(F.lit("Mills of 3 kinds."))) == "Mills of 3 kinds."
+
+
+def test_replies_keep_styles_and_tidy_blanks():
+    assert J.reply_parts("see <b>it</b> , now &amp; then", 1) == [(0, "see it, now & then")]
+    assert J.reply_parts("A <a i=1>x </a> , <a i=0>y</a><a i=7>z</a> )", 2) == [(-1, "A "), (1, "x"), (-1, ", "), (0, "y"), (-1, "z"), (-1, ")")]
+    assert J.reply_parts("<a i=0>one</a> .NET", 2) == [(0, "one"), (-1, " .NET")]
+    assert J.reply_parts("", 2) == []
+
+
+def test_requests_mark_groups_of_one_style(spark):
+    span = "struct<text:string,link:int,bold:boolean,code:boolean,image:boolean,italic:boolean,strike:boolean,minor:boolean,translated:boolean,src:string>"
+
+    def s(text, link=None, bold=False):
+        return (text, link, bold, False, False, False, False, False, False, None)
+
+    rows = [([s("a & "), s("b ")],), ([s("a"), s("<b>", 0), s("c", 0), s("d")],), ([],), ([s(None)],), (None,)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"n int, spans array<{span}>")
+    got = [r["v"] for r in df.select("n", B.request(B.grouped(F.col("spans"))).alias("v")).orderBy("n").collect()]
+    assert got == ["a &amp; b", "<a i=0>a</a><a i=1>&lt;b&gt;c</a><a i=2>d</a>", None, "", None]
 
 
 def test_markers(spark):
@@ -83,7 +139,7 @@ def test_max_run_equals_the_fold(spark):
 
 def test_batches_reset_at_both_limits(spark):
     rows = [(1, i, "x" * 10) for i in range(120)] + [(2, 0, "x" * 3000), (2, 1, "x" * 2000), (2, 2, "x" * 9000), (2, 3, "x")]
-    got = B.batches(spark.createDataFrame(rows, "page_id bigint, pos int, text string")).collect()
+    got = B.batches(spark.createDataFrame(rows, "page_id bigint, pos int, request string")).collect()
     sizes = [sum(r["page_id"] == 1 and r["batch"] == b for r in got) for b in range(3)]
     assert sizes == [50, 50, 20]
     assert [r["batch"] for r in sorted(got, key=lambda r: r["pos"]) if r["page_id"] == 2] == [0, 1, 2, 3]
