@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright import catalog_blocks, catalog_html, catalog_state, catalog_text, catalog_urls
+from pagewright import catalog_blocks, catalog_html, catalog_pages, catalog_state, catalog_text, catalog_urls
 from pagewright.operators.markdown import markdown
 from pagewright.plans.stages import once
 from pagewright.sources.tables import FULL_BLOCKS, table
 
-_PARTS = (catalog_urls, catalog_blocks, catalog_html, catalog_text, catalog_state)
+_PARTS = (catalog_urls, catalog_blocks, catalog_html, catalog_pages, catalog_text, catalog_state)
 
 
 def flagship(spark: SparkSession, data_dir: str) -> DataFrame:
