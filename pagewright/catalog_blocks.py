@@ -187,13 +187,16 @@ def shingle_coverage(spark, d):
     return B.coverage(b, _reference(b)).select("page_id", F.col("pos").cast("bigint"), "shingles", "matched")
 
 
-@_query(
-    f"""WITH {BLOCKS}, {_REF}, w AS (SELECT n.page_id, n.pos, CASE WHEN c.shingles IS NULL THEN 0 WHEN c.matched * 2 >= c.shingles THEN length(norm) ELSE -length(norm) END AS weight FROM n LEFT JOIN c USING (page_id, pos)),
-    p AS (SELECT page_id, pos, weight, sum(weight) OVER (PARTITION BY page_id ORDER BY pos) AS p FROM w),
+_RUN = """p AS (SELECT page_id, pos, weight, sum(weight) OVER (PARTITION BY page_id ORDER BY pos) AS p FROM w),
     q AS (SELECT *, p - weight AS q FROM p),
     m AS (SELECT *, min(q) OVER (PARTITION BY page_id ORDER BY pos) AS low FROM q),
     x AS (SELECT page_id, max(p - low) AS best FROM m GROUP BY page_id),
-    z AS (SELECT m.page_id, min(m.pos) AS last FROM m JOIN x USING (page_id) WHERE m.p - m.low = x.best AND x.best > 0 GROUP BY m.page_id)
+    z AS (SELECT m.page_id, min(m.pos) AS last FROM m JOIN x USING (page_id) WHERE m.p - m.low = x.best AND x.best > 0 GROUP BY m.page_id)"""
+
+
+@_query(
+    f"""WITH {BLOCKS}, {_REF}, w AS (SELECT n.page_id, n.pos, CASE WHEN c.shingles IS NULL THEN 0 WHEN c.matched * 2 >= c.shingles THEN length(norm) ELSE -length(norm) END AS weight FROM n LEFT JOIN c USING (page_id, pos)),
+    {_RUN}
     SELECT z.page_id, (SELECT max(a.pos) FROM m a WHERE a.page_id = z.page_id AND a.pos <= z.last AND a.q = (SELECT b.low FROM m b WHERE b.page_id = z.page_id AND b.pos = z.last)) AS "first", z.last AS "last", CAST(x.best AS BIGINT) AS best FROM z JOIN x USING (page_id)"""
 )
 def max_weight_run(spark, d):
@@ -365,14 +368,30 @@ def find_in_page(spark, d):
     return hit.select("page_id", F.col("pos").cast("bigint"), F.col("line_no").cast("bigint"), F.row_number().over(W.partitionBy("page_id").orderBy("pos", "line_no")).cast("bigint").alias("hit_no"))
 
 
-@_query()
+@_query(
+    f"""WITH {BLOCKS}, {_REF}, y AS (SELECT n.page_id, n.pos, n.norm, length(n.norm) AS len, r.ref, c.matched, c.shingles,
+    b.text = '' OR len(list_filter(b.spans, lambda s: s.image)) > 0 AND len(list_filter(b.spans, lambda s: NOT (s.image OR {_solid("coalesce(s.text, '')")} = 0))) = 0 AS blank
+    FROM n JOIN blk b USING (page_id, pos) JOIN r USING (page_id) LEFT JOIN c USING (page_id, pos)),
+    t AS (SELECT page_id, pos, len, CASE WHEN coalesce(blank, false) OR norm = '' THEN NULL WHEN len < 4 THEN contains(ref, norm) ELSE matched * 2 >= shingles END AS match FROM y),
+    w AS (SELECT page_id, pos, CASE WHEN match IS NULL THEN 0 WHEN match THEN len ELSE -len END AS weight FROM t),
+    {_RUN},
+    g AS (SELECT z.page_id, (SELECT max(a.pos) FROM m a WHERE a.page_id = z.page_id AND a.pos <= z.last AND a.q = (SELECT b.low FROM m b WHERE b.page_id = z.page_id AND b.pos = z.last)) AS "first", z.last AS "last" FROM z),
+    v AS (SELECT t.page_id, t.pos, t.match, last_value(match IGNORE NULLS) OVER (PARTITION BY t.page_id ORDER BY t.pos) AS before, first_value(match IGNORE NULLS) OVER (PARTITION BY t.page_id ORDER BY t.pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS after FROM t JOIN g ON g.page_id = t.page_id AND t.pos BETWEEN g."first" AND g."last")
+    SELECT page_id, pos FROM v WHERE coalesce(match, before AND after)"""
+)
 def select_by_reference(spark, d):
     """The blocks of a page that its reference text covers."""
     b = _blocks(spark, d)
     return S.selected(b, _reference(b.withColumn("norm", X.norm(F.col("text"))))).select("page_id", F.col("pos").cast("bigint"))
 
 
-@_query()
+@_query(
+    f"""WITH {BLOCKS}, s AS (SELECT page_id, kind, unnest(regexp_extract_all(text, '{X.SENTENCE}')) AS sentence FROM blk WHERE kind IN ('p', 'li', 'quote')),
+    o AS (SELECT page_id, string_agg({_norm('sentence')}, chr(10)) AS there, sum(length(sentence)) AS other_chars FROM s WHERE kind = 'quote' GROUP BY page_id),
+    k AS (SELECT s.page_id, length(sentence) AS size, coalesce(other_chars, 0) AS other_chars, coalesce(contains(there, substr({_norm('sentence')}, 1, 20)), false) AS known FROM s LEFT JOIN o USING (page_id)),
+    t AS (SELECT page_id, CAST(sum(size) AS BIGINT) AS own_chars, CAST(max(other_chars) AS BIGINT) AS other_chars, CAST(sum(CASE WHEN known THEN size ELSE 0 END) AS BIGINT) AS common_chars FROM k GROUP BY page_id)
+    SELECT *, own_chars >= 300 AND own_chars >= 1.5 * other_chars AND common_chars < 0.3 * own_chars AS prefer FROM t"""
+)
 def prefer_own_decision(spark, d):
     """Whether a page's own extraction is preferred to one of its quotes only."""
     b = _blocks(spark, d).where("kind IN ('p', 'li', 'quote')")
@@ -395,3 +414,43 @@ def listed_links_cleaned(spark, d):
     links = _pages(spark, d, "page_id bigint, links array<string>").select("page_id", F.posexplode("links").alias("link", "url"))
     listed = links.select("page_id", "link", F.explode(U.host_suffixes(U.host(F.col("url")))).alias("suffix")).join(hosts, "suffix").select("page_id", "link")
     return S.cleaned(_blocks(spark, d), listed).select("page_id", F.col("pos").cast("bigint"), "removed", "unlinked")
+
+
+_MARKDOWN_BLOCKS = SQL["markdown_blocks"].split("SELECT page_id, pos, before IS NOT NULL", 1)
+SQL["page_markdown"] = f"""{_MARKDOWN_BLOCKS[0].rstrip()}, mb AS (SELECT page_id, pos, before IS NOT NULL{_MARKDOWN_BLOCKS[1]}),
+    bt AS (SELECT page_id, pos, coalesce(b.translation, false) AS translation FROM b0),
+    body AS (SELECT page_id, string_agg(CASE WHEN gap AND NOT translation THEN chr(10) ELSE '' END || md, chr(10) ORDER BY pos) AS body FROM mb JOIN bt USING (page_id, pos) GROUP BY page_id)
+    SELECT d.page_id, '# ' || coalesce(d.title, '') || chr(10) || '<' || coalesce(d.url, '') || '>' || chr(10) || coalesce(chr(10) || body, '')
+    || CASE WHEN len(links) > 0 THEN chr(10) || chr(10) || '---' || chr(10) || chr(10) || array_to_string(list_transform(range(1, len(links) + 1), lambda i: '[' || i || ']: ' || links[i]), chr(10)) ELSE '' END || chr(10) AS markdown
+    FROM d LEFT JOIN body USING (page_id)"""
+
+
+_BODY = f"""sp AS (SELECT page_id, pos, kind, level, spans, {_SPEAK} AS speak FROM blk),
+    ta AS (SELECT page_id, pos, kind, level, kind = 'h' AND regexp_matches(text, '{_TAIL}') AS tail FROM blk),
+    oa AS (SELECT a.page_id, a.pos, coalesce(min(b.pos), 1000000) AS stop FROM ta a LEFT JOIN ta b ON a.page_id = b.page_id AND b.kind = 'h' AND b.pos > a.pos AND b.level <= a.level WHERE a.tail AND a.level BETWEEN 1 AND 6 GROUP BY ALL),
+    bo AS (SELECT page_id, pos, kind, level, speak, {_KIND_BODY} AND regexp_matches(speak, '\\p{{L}}') AND NOT regexp_matches(speak, '[>›»/|]\\s*$')
+    AND (kind = 'h' OR {_LINKED.format(x=' AND NOT coalesce(s.image, false)')} / greatest(length(speak), 1) < 0.5) AND NOT EXISTS (SELECT 1 FROM oa WHERE oa.page_id = sp.page_id AND sp.pos >= oa.pos AND sp.pos < oa.stop) AS body FROM sp),
+    nx AS (SELECT a.page_id, a.pos, coalesce(min(b.pos), 1000000) AS stop FROM bo a LEFT JOIN bo b ON a.page_id = b.page_id AND b.kind = 'h' AND b.pos > a.pos AND b.level <= a.level WHERE a.kind = 'h' GROUP BY ALL)"""
+
+
+@_query(f"WITH {BLOCKS}, {_BODY} SELECT page_id, pos, speak FROM bo WHERE body AND (kind <> 'h' OR EXISTS (SELECT 1 FROM nx JOIN bo i ON i.page_id = nx.page_id AND i.pos > nx.pos AND i.pos < nx.stop WHERE nx.page_id = bo.page_id AND nx.pos = bo.pos AND (i.kind = 'h' OR i.body)))")
+def readable_blocks(spark, d):
+    """Blocks that are read aloud: outside closing sections, and of the headings those with something to read below."""
+    return B.readable(_blocks(spark, d)).select("page_id", F.col("pos").cast("bigint"), "speak")
+
+
+@_query()
+def speech_chunks(spark, d):
+    """The pieces that are read aloud, with the places of their blocks."""
+    b = B.readable(_blocks(spark, d))
+    return b.select("page_id", F.col("pos").cast("bigint"), F.posexplode(X.reading_pieces("speak")).alias("n", "piece")).withColumn("n", F.col("n").cast("bigint"))
+
+
+@_query()
+def view_places(spark, d):
+    """Where the blocks of a reduced page (here every other one) stand in the whole one, found by their texts in order."""
+    b = _blocks(spark, d)
+    order = lambda c: F.array_sort(F.collect_list(F.when(c, F.struct("pos", "text"))))
+    pages = b.groupBy("page_id").agg(order(F.col("pos") % 2 == 1).alias("body"), order(F.lit(True)).alias("shown"))
+    places = pages.select("page_id", F.posexplode(B.places_in_view(F.col("body")["text"], F.col("shown")["text"])).alias("place", "shown")).where("shown IS NOT NULL")
+    return places.select("page_id", F.col("place").cast("bigint"), F.col("shown").cast("bigint"))

@@ -91,7 +91,7 @@ _LISTS = {
     "pictures": ([], ["/p.png", "/m.png"]),
 }
 _FORMS = {"forms": ["https://mill.example/s?q=a%26b&l=a+b&c=y&k=on&go=1 Find @", " Send @"]}
-_SCRIPTED = ("script", "script asked for")
+_SCRIPTED = ("never shown", "script", "script asked for")
 _ROWS = ", ".join(
     "({}, '{}', '{}', {}::VARCHAR[], {}::VARCHAR[], {}, {}::VARCHAR[])".format(i, {"furniture": "@", "declared": "Real @"}.get(name, ""), "fr" if name == "declared" else "", *_LISTS.get(name, ([], [])), "true" if name in _SCRIPTED else "false", _FORMS.get(name, []))
     for i, name in enumerate(_NAMES)

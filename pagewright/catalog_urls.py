@@ -230,17 +230,27 @@ def disposition_names(spark, d):
     return p.select("page_id", U.download_name(url, extended).alias("extended"), U.download_name(url, plain).alias("plain"), U.download_name(url, F.lit("inline")).alias("none"))
 
 
-@_query()
+_FOLDER = f"regexp_replace({_part('url', 3)}, '[^/]*$', '')"
+_FRONT = f"{_scheme('url')} || '://' || {_part('url', 2)}"
+
+
+@_query(
+    f"""SELECT page_id, CAST(link_no AS BIGINT) AS link_no, CASE link_no % 5 WHEN 0 THEN {_FRONT} || coalesce(nullif(regexp_replace({_FOLDER}, '[^/]*/$', ''), ''), '/') || 'd' WHEN 1 THEN {_FRONT} || {_part('url', 3)} || '?y=2'
+    WHEN 2 THEN {_FRONT} || {_part('url', 3)} || CASE WHEN {_part('url', 4)} <> '' THEN '?' || {_part('url', 4)} ELSE '' END || '#top' WHEN 3 THEN {_scheme('url')} || '://other.example/x' ELSE link END AS resolved FROM {_L}"""
+)
 def url_join(spark, d):
     """Links resolved against their page."""
     ref = F.element_at(F.array(F.lit("../d"), F.lit("?y=2"), F.lit("#top"), F.lit("//other.example/x"), F.col("link")), F.col("link_no") % 5 + 1)
     return _links(spark, d).select("page_id", F.col("link_no").cast("bigint"), U.url_join(F.col("url"), ref).alias("resolved"))
 
 
-@_query(f"SELECT page_id, CAST(link_no AS BIGINT) AS link_no FROM {_L} WHERE string_split(url, '#')[1] = string_split(link, '#')[1]")
+@_query(f"SELECT page_id, CAST(link_no AS BIGINT) AS link_no FROM {_L} WHERE link_no % 3 < 2 OR string_split(url, '#')[1] = string_split(link, '#')[1]")
 def same_page_links(spark, d):
-    """Links that stay on their page."""
-    own = U.unquote(U.defragmented(F.col("url"))) == U.unquote(U.defragmented(F.col("link")))
+    """Links that stay on their page: of the page's address with an anchor, the same with its path escaped, and the links themselves."""
+    url, n = F.col("url"), F.col("link_no") % 3
+    escaped = F.concat(F.regexp_replace(F.replace(U.defragmented(url), F.lit("e"), F.lit("%65")), "^https://", "https://"), F.lit("#part"))
+    ref = F.when(n == 0, F.concat(U.defragmented(url), F.lit("#part"))).when(n == 1, escaped).otherwise(F.col("link"))
+    own = U.unquote(U.defragmented(url)) == U.unquote(U.defragmented(ref))
     return _links(spark, d).where(own).select("page_id", F.col("link_no").cast("bigint"))
 
 
@@ -258,10 +268,12 @@ def listed_domain_links(spark, d):
     return links.join(hits, ["page_id", "link_no"], "left").groupBy("page_id").agg(F.count("*").alias("links"), F.count("hit").alias("listed"))
 
 
-_AD = "list_contains([" + ", ".join(f"'{x}'" for x in U.AD_DOMAINS) + "], {h})"
-
-
-@_query(f"SELECT DISTINCT l.page_id, CAST(l.link_no AS BIGINT) AS link_no FROM (SELECT page_id, link_no, unnest(list_transform(generate_series(1, len(string_split(h, '.'))), lambda i: array_to_string(list_slice(string_split(h, '.'), i, 100), '.'))) AS suffix FROM (SELECT page_id, link_no, {_host('link')} AS h FROM {_L})) l WHERE {_AD.format(h='suffix')}")
+@_query(f"SELECT page_id, CAST(link_no AS BIGINT) AS link_no FROM {_L} WHERE link_no % 3 < 2")
 def ad_links(spark, d):
-    """Links to advertising and affiliate services."""
-    return _links(spark, d).where(F.arrays_overlap(U.host_suffixes(U.host(F.col("link"))), F.array(*map(F.lit, U.AD_DOMAINS)))).select("page_id", F.col("link_no").cast("bigint"))
+    """Links to advertising and affiliate services: each link led through one of them, through a subdomain of one, and through
+    a host that only begins like one."""
+    hosts = F.array(*map(F.lit, U.AD_DOMAINS))
+    service = F.element_at(hosts, (F.pmod("page_id", F.size(hosts)) + 1).cast("int"))
+    way = F.get(F.array(F.lit("https://"), F.lit("http://Eu.cdn."), F.lit("https://")), F.col("link_no") % 3)
+    link = F.concat(way, service, F.when(F.col("link_no") % 3 == 2, ".example").otherwise(""), F.lit("/go?to="), F.url_encode("link"))
+    return _links(spark, d).where(F.arrays_overlap(U.host_suffixes(U.host(link)), hosts)).select("page_id", F.col("link_no").cast("bigint"))

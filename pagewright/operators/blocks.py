@@ -7,6 +7,8 @@ shuffles no page for it but the redelivered.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
@@ -109,6 +111,40 @@ def sections(blocks: DataFrame) -> DataFrame:
     return b.withColumn("in_tail", inside).drop("tail")
 
 
+def readable(blocks: DataFrame) -> DataFrame:
+    """Blocks that are read aloud, with ``speak``: bodies outside closing sections; a heading only if a heading below its
+    level, or a body, follows before the next of its level or above."""
+    b = sections(blocks).withColumn("speak", X.speakable(F.col("spans")))
+    b = b.withColumn("body", is_body(F.col("kind"), F.col("spans"), F.col("speak")) & ~F.col("in_tail"))
+    heading = F.col("kind") == "h"
+    # what follows a heading up to the next one of any level; if that is below it, the heading has a section of its own
+    b = b.withColumn("section", F.sum(heading.cast("int")).over(in_page()))
+    b = b.withColumn("filled", F.max(F.col("body") & ~heading).over(W.partitionBy("page_id", "section")))
+    next_level = F.first(F.when(heading, F.col("level")), ignorenulls=True).over(in_page().rowsBetween(1, W.unboundedFollowing))
+    b = b.withColumn("next_level", next_level)
+    keep = F.col("body") & (~heading | F.col("filled") | F.coalesce(F.col("next_level") > F.col("level"), F.lit(False)))
+    return b.where(keep).drop("section", "filled", "next_level", "body", "in_tail")
+
+
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def places_in_view(body: pa.Array, shown: pa.Array) -> pa.Array:
+    """For each page the place in ``shown`` of every text of ``body``: the first equal one after the one before; null if
+    there is none."""
+    out = []
+    for texts, view in zip(body.to_pylist(), shown.to_pylist()):
+        where: dict[str, list[int]] = {}
+        for i, t in enumerate(view or []):
+            where.setdefault(t, []).append(i)
+        places, at = [], 0
+        for t in texts or []:
+            found = where.get(t, [])
+            i = bisect_left(found, at)
+            places.append(found[i] if i < len(found) else None)
+            at = places[-1] + 1 if i < len(found) else at
+        out.append(places)
+    return pa.array(out, pa.list_(pa.int32()))
+
+
 def max_run(weighted: DataFrame, key: str = "page_id") -> DataFrame:
     """(key, first, last, best): the contiguous run of rows (key, pos, weight) with the greatest sum, none if not above 0.
 

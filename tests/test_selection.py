@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagewright.functions import layout as L
+from pagewright.operators import blocks as B
 from pagewright.operators import selection as S
 from pagewright.operators import state
 from pagewright.sources import store
@@ -76,14 +77,18 @@ def test_cleaned(spark):
 
 
 def test_recent_and_suggestions(spark):
-    rows = [(1, 7, "history", "search", "shogi rules", None, 1.0), (2, 7, "history", "url", "https://a.example/go", "Go 入門", 2.0), (3, 7, "history", "search", "shogi rules", None, 3.0), (4, 7, "bookmarks", "url", "https://a.example/go", "Go 入門", 2.5)]
+    rows = [(1, 7, "history", "search", "river mills", None, 1.0), (2, 7, "history", "url", "https://a.example/mills", "Mills 水車", 2.0), (3, 7, "history", "search", "river mills", None, 3.0), (4, 7, "bookmarks", "url", "https://a.example/mills", "Mills 水車", 2.5)]
     df = spark.createDataFrame(rows, "item_id bigint, profile_id bigint, list_name string, kind string, target string, title string, time_s double")
     got = [(r["target"], r["time_s"]) for r in state.recent(df.where("list_name = 'history'").withColumnRenamed("item_id", "id"), "profile_id").orderBy("place").collect()]
-    assert got == [("shogi rules", 3.0), ("https://a.example/go", 2.0)]
+    assert got == [("river mills", 3.0), ("https://a.example/mills", 2.0)]
     find = lambda q: [r["target"] for r in state.suggestions(df, "profile_id", q).orderBy("place").collect()]
-    assert find("") == ["https://a.example/go", "shogi rules"]
-    assert find("SHOGI rules") == ["shogi rules"]
-    assert find("go 入門 zzz") == []
+    assert find("") == ["https://a.example/mills", "river mills"]
+    assert find("RIVER mills") == ["river mills"]
+    assert find("mills 水車 zzz") == []
+    # marked under another title: history is not shown although its own title matches
+    more = df.union(spark.createDataFrame([(5, 7, "history", "url", "https://a.example/mills", "Pond", 9.0)], df.schema))
+    assert [r["target"] for r in state.suggestions(more, "profile_id", "pond").collect()] == []
+    assert [r["target"] for r in state.suggestions(more, "profile_id", "", bookmarks_only=True).collect()] == ["https://a.example/mills"]
 
 
 def test_layout():
@@ -106,5 +111,32 @@ def test_store(spark, tmp_path):
 @pytest.mark.parametrize("reply, texts", [('["a", "b"]', ["a", "b"]), ('[["a", "en"], ["b", "en"]]', ["a", "b"])])
 def test_replies(spark, reply, texts):
     assert spark.range(1).select(store.reply_texts(F.lit(reply)).alias("v")).first()["v"] == texts
-    marked = spark.range(1).select(store.reply_spans(F.lit("<a i=1>B</a><a i=0>A</a>")).alias("v")).first()["v"]
+    marked = spark.range(1).select(store.reply_spans(F.lit("<a i=1>B</a><a i=0>A</a>"), F.lit(2)).alias("v")).first()["v"]
     assert [(m["i"], m["text"]) for m in marked] == [(1, "B"), (0, "A")]
+
+
+def test_places_in_view_equal_the_scan(spark):
+    rng = random.Random(4)
+    rows = []
+    for n in range(60):
+        shown = [rng.choice("abcd") for _ in range(rng.randint(0, 12))]
+        body = [rng.choice("abcde") for _ in range(rng.randint(0, 8))]
+        rows.append((n, body, shown))
+    df = spark.createDataFrame([*rows, (60, None, None)], "n int, body array<string>, shown array<string>")
+    got = {r["n"]: r["p"] for r in df.select("n", B.places_in_view("body", "shown").alias("p")).collect()}
+    assert got[60] == []
+    for n, body, shown in rows:
+        at, want = 0, []
+        for t in body:
+            i = next((i for i in range(at, len(shown)) if shown[i] == t), None)
+            want.append(i)
+            at = at if i is None else i + 1
+        assert got[n] == want
+
+
+def test_headings_without_anything_below_are_not_read(spark):
+    span = "array<struct<text:string,link:int,image:boolean>>"
+    kinds = [("h", 2, "Empty"), ("h", 2, "Whole"), ("h", 3, "Part"), ("p", 0, "Some words to read."), ("h", 3, "Last part"), ("hr", 0, ""), ("h", 1, "Top"), ("h", 2, "End")]
+    rows = [(1, i, k, level, t, [(t, None, False)]) for i, (k, level, t) in enumerate(kinds)]
+    df = spark.createDataFrame(rows, f"page_id bigint, pos int, kind string, level int, text string, spans {span}")
+    assert sorted(r["pos"] for r in B.readable(df).collect()) == [1, 2, 3, 6]
