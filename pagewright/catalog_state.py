@@ -187,6 +187,17 @@ def visit_sessions(spark, d):
     return V.sessions(table(spark, d, "events"))
 
 
+@_query(
+    """WITH e AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before, event_id FROM events),
+    n AS (SELECT *, sum(CASE WHEN before IS NULL OR ts - before >= INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM e),
+    w AS (SELECT user_id, min(ts) AS first, max(ts) AS last, CAST(count(*) AS BIGINT) AS visits FROM n GROUP BY user_id, s)
+    SELECT * FROM w WHERE last + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 DAY"""
+)
+def streamed_sessions(spark, d):
+    """Sessions by a stream: those that are over by the watermark."""
+    return V.session_stream(spark, f"{d}/events.parquet")
+
+
 @_query("SELECT date_trunc('day', ts) AS day, event_type, CAST(count(*) AS BIGINT) AS visits FROM events GROUP BY ALL")
 def streamed_daily_visits(spark, d):
     """Daily counts by a stream with a watermark, read to its end."""

@@ -57,8 +57,16 @@ def sessions(events: DataFrame, hours: int = 6) -> DataFrame:
 
 
 def session_windows(events: DataFrame) -> DataFrame:
-    """The same as a stream's aggregate; ``events`` may be a stream with a timestamp column ``at``."""
-    return events.withWatermark("at", LATE_EVENTS).groupBy("user_id", F.session_window("at", GAP)).agg(F.count("*").alias("visits"))
+    """The same as a stream's aggregate; ``events`` may be a stream. Sessions come out once the watermark has passed
+    their end, and their state is released."""
+    e = events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", LATE_EVENTS)
+    s = e.groupBy("user_id", F.session_window("at", GAP).alias("w")).agg(F.count("*").alias("visits"))
+    return s.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("first"), (F.col("w.end") - F.expr(f"INTERVAL {GAP}")).cast("timestamp_ntz").alias("last"), "visits")
+
+
+def session_stream(spark: SparkSession, path: str) -> DataFrame:
+    """The sessions that are over for sure: those that the watermark has passed."""
+    return _finished(session_windows(_source(spark, path)), "append", "sessions")
 
 
 def daily(events: DataFrame) -> DataFrame:
@@ -67,8 +75,8 @@ def daily(events: DataFrame) -> DataFrame:
 
 
 def daily_stream(spark: SparkSession, path: str) -> DataFrame:
-    # the last version of every window: complete mode writes them all with each batch
-    out = _finished(daily(_source(spark, path)), "complete", "daily")
+    # each batch writes the windows that it changed; those behind the watermark are released
+    out = _finished(daily(_source(spark, path)), "update", "daily")
     return out.groupBy("day", "event_type").agg(F.max_by("visits", "batch").alias("visits"))
 
 
@@ -79,8 +87,17 @@ def history(events: DataFrame) -> DataFrame:
 
 
 def history_stream(spark: SparkSession, path: str) -> DataFrame:
-    out = _finished(history(_source(spark, path)), "update", "history")
-    return out.groupBy("user_id", "kind", "target").agg(F.max("last").alias("last"), F.max("visits").alias("visits"))
+    """A history has no end, so a state for each of its keys would grow for ever: each batch is aggregated by itself and
+    written under its number (a repeated batch replaces itself), and the batches of a key meet when they are read."""
+    base = stage_path(spark, "stream-history")
+
+    def append(batch: DataFrame, batch_id: int) -> None:
+        history(batch).write.mode("overwrite").parquet(f"{base}/out/batch={batch_id}")
+
+    query = _source(spark, path).writeStream.foreachBatch(append).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    parts = spark.read.parquet(f"{base}/out")
+    return parts.groupBy("user_id", "kind", "target").agg(F.max("last").alias("last"), F.sum("visits").alias("visits"))
 
 
 def unique_items(items: DataFrame) -> DataFrame:
