@@ -12,6 +12,7 @@ from pagewright.functions import urls as U
 from pagewright.operators import blocks as B
 from pagewright.operators import markdown as M
 from pagewright.operators import selection as S
+from pagewright.plans.stages import once
 from pagewright.sources.tables import FULL_BLOCKS, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -183,8 +184,16 @@ _REF = f"""n AS (SELECT page_id, pos, kind, spans, {_norm('text')} AS norm FROM
 @_query(f"WITH {BLOCKS}, {_REF} SELECT page_id, pos, shingles, matched FROM c")
 def shingle_coverage(spark, d):
     """How much of each block is covered by its page's reference text, in runs of four characters."""
-    b = _blocks(spark, d).withColumn("norm", X.norm(F.col("text")))
-    return B.coverage(b, _reference(b)).select("page_id", F.col("pos").cast("bigint"), "shingles", "matched")
+    covered = _normed(spark, d).select("page_id", F.posexplode(B.page_coverage("norms", "chosen")).alias("pos", "c"))
+    return covered.where("c.shingles > 0").select("page_id", F.col("pos").cast("bigint"), "c.shingles", "c.matched")
+
+
+def _normed(spark, d) -> DataFrame:
+    """(page_id, norms, chosen): the normalised texts of each page's blocks, and which make its reference text."""
+    pages = once(table(spark, d, "page_docs", "page_id bigint, blocks array<struct<kind:string,spans:array<struct<text:string,link:int>>,cell_rows:array<array<array<struct<text:string>>>>>>"), "page_id")
+    norms = F.transform("blocks", lambda b: X.norm(B.block_text(b["spans"], b["cell_rows"])))
+    chosen = F.transform("blocks", lambda b: (b["kind"] == "p") & (F.coalesce(F.size(F.filter(b["spans"], lambda s: s["link"].isNotNull() & (F.length(F.coalesce(s["text"], F.lit(""))) > 0))), F.lit(0)) <= 0))
+    return pages.select("page_id", norms.alias("norms"), chosen.alias("chosen"))
 
 
 _RUN = """p AS (SELECT page_id, pos, weight, sum(weight) OVER (PARTITION BY page_id ORDER BY pos) AS p FROM w),
@@ -201,11 +210,7 @@ _RUN = """p AS (SELECT page_id, pos, weight, sum(weight) OVER (PARTITION BY page
 )
 def max_weight_run(spark, d):
     """The contiguous run of blocks that the reference text covers best."""
-    b = _blocks(spark, d).withColumn("norm", X.norm(F.col("text")))
-    c = B.coverage(b, _reference(b))
-    n = F.length("norm")
-    w = b.join(c, ["page_id", "pos"], "left").select("page_id", "pos", F.when(F.col("shingles").isNull(), 0).when(F.col("matched") * 2 >= F.col("shingles"), n).otherwise(-n).alias("weight"))
-    return B.max_run(w).select("page_id", F.col("first").cast("bigint"), F.col("last").cast("bigint"), F.col("best").cast("bigint"))
+    return _normed(spark, d).select("page_id", B.page_run("norms", "chosen").alias("r")).where("r IS NOT NULL").select("page_id", "r.first", "r.last", "r.best")
 
 
 _GROUPS = """sp AS (SELECT page_id, pos, unnest(range(len(spans))) AS n, unnest(spans) AS s FROM blk),

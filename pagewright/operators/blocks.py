@@ -8,7 +8,9 @@ shuffles no page for it but the redelivered.
 from __future__ import annotations
 
 from bisect import bisect_left
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
@@ -159,18 +161,83 @@ def max_run(weighted: DataFrame, key: str = "page_id") -> DataFrame:
     return best.where("m.run > 0").select(key, F.col("m.start").alias("first"), F.col("m.pos").alias("last"), F.col("m.run").alias("best"))
 
 
-@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("shingles", T.LongType()), T.StructField("matched", T.LongType())])))
+def _runs(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _packed(points: np.ndarray) -> np.ndarray:
+    """The runs of four characters as one number each, of characters that fit 16 bits."""
+    a = points.astype(np.uint64)
+    return a[:-3] << np.uint64(48) | a[1:-2] << np.uint64(32) | a[2:-1] << np.uint64(16) | a[3:] if len(a) >= SHINGLE else np.zeros(0, np.uint64)
+
+
+def _hits(texts: list, ref: str) -> list[tuple[int, int]]:
+    """For each text its runs of ``SHINGLE`` characters, and how many of them occur in a reference text."""
+    sizes = [len(t) if t else 0 for t in texts]
+    total = [max(n - SHINGLE + 1, 0) for n in sizes]
+    if len(ref) < SHINGLE or not any(total):
+        return [(n, 0) for n in total]
+    own, other = _runs("".join(t for t in texts if t)), _runs(ref)
+    if max(own.max(), other.max()) > 0xFFFF:  # a page has fewer different characters than that
+        both = np.unique(np.concatenate([own, other]), return_inverse=True)[1]
+        own, other = both[: len(own)], both[len(own) :]
+    known, keys = np.unique(_packed(other)), _packed(own)
+    hit = known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
+    before = np.r_[0, np.cumsum(hit)].tolist()
+    starts = accumulate([0, *sizes])
+    return [(n, before[at + n] - before[at] if n else 0) for at, n in zip(starts, total)]
+
+
+_COVER = T.ArrayType(T.StructType([T.StructField("shingles", T.LongType()), T.StructField("matched", T.LongType())]))
+
+
+def _cover_array(pages: list[list[tuple[int, int]]]) -> pa.Array:
+    offsets = pa.array([0, *accumulate(map(len, pages))], pa.int32())
+    total, matched = ([x[i] for p in pages for x in p] for i in (0, 1))
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(total, pa.int64()), pa.array(matched, pa.int64())], ["shingles", "matched"]))
+
+
+@F.arrow_udf(_COVER)
 def _covered(norms: pa.Array, refs: pa.Array) -> pa.Array:
-    n = SHINGLE
-    offsets, total, hits = [0], [], []
-    for texts, ref in zip(norms.to_pylist(), refs.to_pylist()):
-        known = {ref[i : i + n] for i in range(len(ref) - n + 1)} if ref else frozenset()
-        for t in texts or []:
-            parts = [t[i : i + n] for i in range(len(t) - n + 1)] if t else []
-            total.append(len(parts))
-            hits.append(sum(map(known.__contains__, parts)))
-        offsets.append(len(total))
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(total, pa.int64()), pa.array(hits, pa.int64())], ["shingles", "matched"]))
+    return _cover_array([_hits(texts or [], ref or "") for texts, ref in zip(norms.to_pylist(), refs.to_pylist())])
+
+
+def _own_reference(norms: list, chosen: list, least: int = 50) -> str:
+    """The chosen texts of a page after one another, if they have ``least`` characters."""
+    ref = "".join(t for t, c in zip(norms, chosen) if c and t)
+    return ref if len(ref) >= least else ""
+
+
+@F.arrow_udf(_COVER)
+def page_coverage(norms: pa.Array, chosen: pa.Array) -> pa.Array:
+    """For each block of a page how many of its runs of characters occur in the page's own chosen blocks; the page is one
+    row, so nothing is shuffled."""
+    return _cover_array([_hits(n or [], _own_reference(n or [], c or [])) for n, c in zip(norms.to_pylist(), chosen.to_pylist())])
+
+
+def heaviest_run(weights: list[int]) -> tuple[int, int, int] | None:
+    """(first, last, sum) of the contiguous run with the greatest sum above 0: of equal ones the first to end, and of
+    those the last to start."""
+    best, total, start = None, 0, 0
+    for i, w in enumerate(weights):
+        if total <= 0:
+            total, start = 0, i
+        total += w
+        if total > (best[2] if best else 0):
+            best = (start, i, total)
+    return best
+
+
+@F.arrow_udf(T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType()), T.StructField("best", T.LongType())]))
+def page_run(norms: pa.Array, chosen: pa.Array) -> pa.Array:
+    """The run of a page's blocks that its own chosen blocks cover best; null if there is none."""
+    out = []
+    for n, c in zip(norms.to_pylist(), chosen.to_pylist()):
+        n = n or []
+        weights = [0 if not total else len(t) if hit * 2 >= total else -len(t) for t, (total, hit) in zip(n, _hits(n, _own_reference(n, c or [])))]
+        run = heaviest_run(weights)
+        out.append(None if run is None else dict(zip(("first", "last", "best"), run)))
+    return pa.array(out, pa.struct([("first", pa.int64()), ("last", pa.int64()), ("best", pa.int64())]))
 
 
 def coverage(blocks: DataFrame, reference: DataFrame) -> DataFrame:

@@ -137,6 +137,21 @@ def test_max_run_equals_the_fold(spark):
         assert got.get(p) == brute_run(ws), ws
 
 
+@given(st.lists(st.text(alphabet="abc水\U00020000", max_size=12), max_size=6), st.text(alphabet="abc水\U00020000", max_size=30))
+@settings(max_examples=300, deadline=None)
+def test_runs_of_characters_equal_sets(texts, ref):
+    known = {ref[i : i + 4] for i in range(len(ref) - 3)}
+    want = [(max(len(t) - 3, 0), sum(t[i : i + 4] in known for i in range(len(t) - 3))) for t in texts]
+    assert B._hits(texts, ref) == want
+
+
+def test_page_run_equals_the_fold():
+    rng = random.Random(8)
+    for _ in range(3000):
+        ws = [rng.randint(-3, 3) for _ in range(rng.randint(0, 9))]
+        assert B.heaviest_run(ws) == brute_run(ws), ws
+
+
 def test_batches_reset_at_both_limits(spark):
     rows = [(1, i, "x" * 10) for i in range(120)] + [(2, 0, "x" * 3000), (2, 1, "x" * 2000), (2, 2, "x" * 9000), (2, 3, "x")]
     got = B.batches(spark.createDataFrame(rows, "page_id bigint, pos int, request string")).collect()
