@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.llm import collapse, language, pack, prose, repeats, residue, segment, sitetree, tokenize, unify
+from pagewright.llm import collapse, language, oracle, pack, prose, repeats, residue, segment, sitetree, tokenize, unify
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -29,4 +29,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p3_found": oracle.repeated_lines(), "p3_pages": oracle.cleaned_pages(), "p6_found": oracle.copies(), "p7_found": oracle.disguised()}
