@@ -24,6 +24,10 @@ SCHEMA = "record string, record_id bigint, pos bigint, span_pos bigint, text str
 PAGES = "page_id bigint, blocks array<struct<spans:array<struct<text:string>>>>"
 
 
+#: Pages that DuckDB sees at a time, and the memory that it may use in a task.
+ROWS, MEMORY = 1000, "512MB"
+
+
 def _forms() -> dict[str, str]:
     """Single characters that stand for ordinary ones, by rule: those whose compatibility form is other letters."""
     blocks = [range(0xFF10, 0xFF1A), range(0xFF21, 0xFF3B), range(0xFF41, 0xFF5B), range(0xFF66, 0xFFDD), range(0x2F00, 0x2FD6), range(0xFB00, 0xFB07), range(0xF900, 0xFAFF), range(0x2E80, 0x2EF4), range(0x1D400, 0x1D800)]
@@ -88,7 +92,7 @@ def build_sql(only_altered: bool = False, source: str = "batch") -> str:
 def _run(flat: Iterator[pa.Table], only_altered: bool) -> Iterator[pa.RecordBatch]:
     import duckdb
 
-    con = duckdb.connect(config={"threads": "1", "memory_limit": "256MB"})
+    con = duckdb.connect(config={"threads": "1", "memory_limit": MEMORY, "temp_directory": ""})  # nothing is written to the machine's disk
     sql = build_sql(only_altered)
     try:
         for t in flat:
@@ -106,7 +110,7 @@ _ARROW = pa.schema([("record", pa.string()), ("record_id", pa.int64()), ("pos",
 def _flat_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     import numpy as np
 
-    for b in batches:
+    for b in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
         ids = np.asarray(b.column(0).fill_null(-1))
         page, blocks = _flatten(b.column(1))
         owner, spans = _flatten(blocks.field("spans"))
@@ -131,7 +135,7 @@ def unify_pages(pages: DataFrame, only_altered: bool = False) -> DataFrame:
 def unify_chunks(chunks: DataFrame, only_altered: bool = False) -> DataFrame:
     """Every chunk in one form. ``chunks``: chunk_id and text."""
     flat = chunks.select(F.lit("chunk").alias("record"), F.col("chunk_id").alias("record_id"), F.lit(-1).cast("bigint").alias("pos"), F.lit(-1).cast("bigint").alias("span_pos"), "text")
-    return flat.mapInArrow(lambda it: _run((pa.Table.from_batches([b]) for b in it), only_altered), SCHEMA)
+    return flat.mapInArrow(lambda it: _run((pa.Table.from_batches([b.slice(at, 10 * ROWS)]) for b in it for at in range(0, b.num_rows, 10 * ROWS)), only_altered), SCHEMA)
 
 
 def found(spark: SparkSession, data_dir: str) -> DataFrame:

@@ -270,3 +270,10 @@ def test_pairs_equal_their_patterns(text):
                 assert pair.holds(line, at) == bool(re.search(f"(?:{left})\\Z", text[:at]) and re.match(right, text[at:]))
     for at in range(len(text) + 1):
         assert segment.BRACKET[0].holds(line, at) == bool(re.search(r"[^\s.!?…。！？]\s*[(（][^()（）]*[)）]\Z", text[:at]))
+
+
+def test_unify_long_texts_in_small_batches(spark, monkeypatch):
+    monkeypatch.setattr(unify, "ROWS", 3)
+    rows = [H.page(i, [H.block("p", "ｆｕｌｌ " * (40_000 if i == 5 else 2)), H.block("p", "plain")]) for i in range(10)]
+    got = {(r["record_id"], r["pos"], r["span_pos"]) for r in unify.unify_pages(H.pages(spark, rows).coalesce(1), True).collect()}
+    assert got == {(i, 0, 0) for i in range(10)}
