@@ -130,11 +130,29 @@ class Flat:
         names = [f.name for f in blocks.type]
         self.caption = pc.fill_null(blocks.field("caption"), False).to_pylist() if "caption" in names else [False] * count
         self.rows = blocks.field("cell_rows") if "cell_rows" in names else None
+        self._cells: tuple | None = None
 
     def table_text(self, b: int) -> str:
         """The cells of a table block: a line for each row, cells apart by a tab."""
-        rows = self.rows[b].as_py() if self.rows is not None else None
-        return "\n".join("\t".join("".join((s or {}).get("text") or "" for s in cell or []) for cell in row or []) for row in rows or [])
+        if self.rows is None:
+            return ""
+        if self._cells is None:  # all tables of the batch are taken apart at once
+            row_ends, rows = _ends(self.rows)
+            cell_ends, cells = _ends(rows)
+            span_ends, spans = _ends(cells)
+            self._cells = row_ends, cell_ends, span_ends, pc.fill_null(spans.field("text"), "").to_pylist()
+        row_ends, cell_ends, span_ends, texts = self._cells
+        lines = []
+        for r in range(row_ends[b], row_ends[b + 1]):
+            cells = (texts[span_ends[c]] if span_ends[c + 1] - span_ends[c] == 1 else "".join(texts[span_ends[c] : span_ends[c + 1]]) for c in range(cell_ends[r], cell_ends[r + 1]))
+            lines.append("\t".join(cells))
+        return "\n".join(lines)
+
+
+def _ends(col: pa.Array) -> tuple[list[int], pa.Array]:
+    """Where each list of a column begins and ends among the flattened values; a null list is empty."""
+    owner, values = _flatten(col)
+    return np.r_[0, np.cumsum(np.bincount(owner, minlength=len(col)))].astype(int).tolist(), values
 
 
 def _flatten(col: pa.Array) -> tuple[np.ndarray, pa.Array]:
