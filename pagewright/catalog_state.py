@@ -230,3 +230,18 @@ def saved_bookmarks(spark, d):
 def marks(spark, d):
     """The last target set for each mark of a user."""
     return _events(spark, d).groupBy("user_id", F.col("event_type").alias("mark")).agg(F.max_by("k", F.struct("ts", "event_id")).alias("target"))
+
+
+@_query(f"SELECT h.item_id FROM {_I} h WHERE list_name = 'history' AND NOT EXISTS (SELECT 1 FROM {_I} b WHERE b.list_name = 'bookmarks' AND b.kind IS NOT DISTINCT FROM h.kind AND b.target IS NOT DISTINCT FROM h.target)")
+def items_removed(spark, d):
+    """History after the items whose kind and target some bookmark has are removed."""
+    i = _items(spark, d)
+    return S.without(i.where("list_name = 'history'"), i.where("list_name = 'bookmarks'"), ["kind", "target"]).select("item_id")
+
+
+@_query(f"WITH k AS (SELECT min(target) AS target FROM {_I} WHERE kind = 'search') SELECT profile_id, item_id, title FROM (SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY time_s DESC, item_id DESC) AS r FROM {_I} WHERE kind = 'search' AND target = (SELECT target FROM k)) WHERE r = 1")
+def items_found(spark, d):
+    """Each profile's newest item of one key (here the first of all searches)."""
+    i = _items(spark, d)
+    key = i.where("kind = 'search'").agg(F.min("target")).first()[0]
+    return S.find(i, "profile_id", "search", key or "").select("profile_id", "item_id", "title")

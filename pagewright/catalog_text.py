@@ -259,3 +259,39 @@ def reply_spans_whole(spark, d):
     rows = b.select("page_id", "pos", F.size(groups).alias("n"), request.alias("request"))
     replies = rows.select("page_id", "pos", "n", F.explode(J.reply_texts(F.to_json(F.array("request")))).alias("reply"))
     return replies.select("page_id", F.col("pos").cast("bigint"), F.explode(J.reply_spans("reply", "n")).alias("x")).select("page_id", "pos", F.col("x.i").cast("bigint").alias("i"), "x.text")
+
+
+_MORAS = "CAST(length(regexp_replace(text, '[^\\x{3041}-\\x{3096}\\x{30A1}-\\x{30FA}\\x{30FC}]|[ゃゅょぁぃぅぇぉャュョァィゥェォ]', '', 'g')) AS BIGINT)"
+_INNER = f"regexp_replace(regexp_replace(text, '^[{X.PAUSES}\\s]+', ''), '[{X.PAUSES}\\s]+$', '')"
+
+
+@_query(f"SELECT doc_id, moras, pauses, round(CAST(0.95 * (0.27 + 0.154 * moras) + 0.3 * pauses AS DOUBLE), 6) AS seconds FROM (SELECT doc_id, {_MORAS} AS moras, CAST(len(regexp_extract_all({_INNER}, '[{X.PAUSES}]+')) AS BIGINT) AS pauses FROM {_D})")
+def least_durations(spark, d):
+    """The least time that each text's kana are given when they are read."""
+    t = _docs(spark, d).select("doc_id", X.mora_count(F.col("text")).cast("bigint").alias("moras"), X.pause_count(F.col("text")).cast("bigint").alias("pauses"))
+    return t.withColumn("seconds", F.round(X.least_seconds(F.col("moras"), F.col("pauses")), 6))
+
+
+@_query("SELECT DISTINCT page_id, title AS reading, CAST(NULL AS VARCHAR) AS starred FROM page_docs WHERE title <> '' AND NOT regexp_matches(title, '[\\x00-\\x1F\\\\]') AND trim(title) = title")
+def word_readings(spark, d):
+    """The ninth field of features whose fields may hold commas and quotes (here each page's title)."""
+    p = table(spark, d, "page_docs", "page_id bigint, title string").where("title <> ''").distinct()
+    p = p.where(~F.col("title").rlike(r"[\x00-\x1F\\]") & (F.trim("title") == F.col("title")))
+    field = F.concat(F.lit('"'), F.replace("title", F.lit('"'), F.lit('""')), F.lit('"'))
+    front = F.concat(F.lit("a,"), field, F.lit(",c,d,,f,g,h,"))
+    return p.select("page_id", X.pronunciation(F.concat(front, field, F.lit(",x"))).alias("reading"), X.pronunciation(F.concat(front, F.lit("*,x"))).alias("starred"))
+
+
+@_query()
+def printed_joined(spark, d):
+    """Printed texts with their wrapped lines joined."""
+    return _docs(spark, d).select("doc_id", R.joined_lines("text").alias("text"))
+
+
+@_query(f"SELECT doc_id, text, coalesce(lang, '') AS told FROM {_D} WHERE coalesce(lang, '') <> 'en' AND length({_strip('text')}) > 0 AND NOT regexp_matches(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]')")
+def translations_kept(spark, d):
+    """The replies that replace their original (here each text with its label as a reply into English): not blank, and of another language."""
+    docs = _docs(spark, d).where(~F.col("text").rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F]"))
+    reply = F.to_json(F.array(F.array("text", F.coalesce("lang", F.lit("")))))
+    pairs = docs.select("doc_id", F.explode(J.reply_pairs(reply)).alias("p"))
+    return pairs.where(J.is_of_use(F.col("p.text"), F.col("p.lang"), "en")).select("doc_id", "p.text", F.col("p.lang").alias("told"))

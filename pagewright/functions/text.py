@@ -162,6 +162,34 @@ def mora_count(c: Column) -> Column:
     return F.length(F.regexp_replace(c, r"[^ぁ-ゖァ-ヺー]|[ゃゅょぁぃぅぇぉャュョァィゥェォ]", ""))
 
 
+# fixed values: a fitted model of how long a voice needs, in seconds
+BASE_SECONDS, MORA_SECONDS, PAUSE_SECONDS, FLOOR = 0.27, 0.154, 0.3, 0.95
+PAUSES = "、。，．！？!?,.;:；：・…"
+
+
+def pause_count(c: Column) -> Column:
+    """Pauses within a text: runs of their signs with something on both sides."""
+    inner = F.regexp_replace(F.regexp_replace(c, f"^[{PAUSES}\\s]+", ""), f"[{PAUSES}\\s]+$", "")
+    return F.size(F.regexp_extract_all(inner, F.lit(f"([{PAUSES}]+)"), 1))
+
+
+def least_seconds(moras: Column, pauses: Column) -> Column:
+    """The least time that a Japanese sentence of so many moras and pauses is given."""
+    return FLOOR * (BASE_SECONDS + MORA_SECONDS * moras) + PAUSE_SECONDS * pauses
+
+
+def csv_field(line: Column, n: int) -> Column:
+    """A field of a line of comma-separated values, which quotes may hold together; null beyond the last."""
+    names = [f"f{i}" for i in range(n + 1)]
+    return F.from_csv(line, F.lit(", ".join(f"{x} string" for x in names)), {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "maxCharsPerColumn": "-1", "emptyValue": "", "nullValue": "\0"})[names[n]]
+
+
+def pronunciation(features: Column) -> Column:
+    """The ninth field of a word's features; null if it is empty or a star."""
+    p = csv_field(features, 8)
+    return F.when((p != "") & (p != "*"), p)
+
+
 def alpha(n: Column) -> Column:
     """1, 2, ... as a, b, ..., z, aa, ..."""
     return F.when(n <= 26, F.chr(n + 96)).otherwise(F.concat(F.chr(((n - 1) / 26).cast("int") + 96), F.chr((n - 1) % 26 + 97)))

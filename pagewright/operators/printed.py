@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagewright.functions.text import strip
 
@@ -39,6 +43,45 @@ def hyphens(documents: DataFrame) -> DataFrame:
     return cut.join(vocabulary(documents).withColumn("known", F.lit(True)), ["doc_id", "word"], "left").select("doc_id", "line_no", "left", "right", F.when(F.col("known"), F.concat("left", "right")).otherwise(F.concat("left", F.lit("-"), "right")).alias("joined"))
 
 
+# fixed values: Japanese signs and letters, and signs that end a sentence of them
+_JAPANESE = re.compile("[、-ヿ㐀-鿿豈-﫿！-￯]")
+_ENDS = "。．！？!?」』）)"
+_HYPHENED = re.compile(r"([A-Za-z]+)-$")
+_GOES_ON = re.compile("[a-z][A-Za-z]*")
+
+
+def joined(text: str) -> str:
+    """A printed text whose wrapped lines are joined: an empty line within Japanese that follows a full line goes, and a
+    word parted by a hyphen is one word again, without the hyphen if the text has that word elsewhere."""
+    rows = text.split("\n")
+    lengths = sorted(len(r.strip()) for r in rows if r.strip())
+    full = lengths[len(lengths) // 2] * 4 // 5 if lengths else 0  # most of the usual length of a line
+    words = {w.lower() for w in re.findall("[A-Za-z]{2,}", text)}
+    out: list[str] = []
+    for i, row in enumerate(rows):
+        below = rows[i + 1].strip() if i + 1 < len(rows) else ""
+        above = out[-1].strip() if out else ""
+        if not row.strip() and above and below:
+            japanese = _JAPANESE.match(above[-1]) or _JAPANESE.match(below[0])
+            if japanese and above[-1] not in _ENDS and len(above) >= full:
+                continue
+        cut = _HYPHENED.search(out[-1].rstrip()) if out else None
+        rest = _GOES_ON.match(row.lstrip())
+        if cut and rest:
+            kept = out[-1].rstrip()
+            if (cut.group(1) + rest.group()).lower() in words:
+                kept = kept[:-1]
+            out[-1] = kept + row.lstrip()
+        else:
+            out.append(row)
+    return "\n".join(out)
+
+
+@F.arrow_udf(T.StringType())
+def joined_lines(text: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else joined(t) for t in text.to_pylist()], pa.string())
+
+
 def paragraphs(documents: DataFrame) -> DataFrame:
     """(doc_id, par_no, text): lines joined, by a blank between ASCII characters; broken at empty lines and after a
     short line that ends a sentence."""

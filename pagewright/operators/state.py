@@ -53,6 +53,22 @@ def suggestions(items: DataFrame, owner: str, query: str, limit: int = 11, bookm
     return hit.select(owner, "kind", "target", "r.title", "mark", place.alias("place")).where(F.col("place") <= limit)
 
 
+def without(items: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """What is left of items after those of some keys are removed; a null part of a key equals a null."""
+    g = gone.select(*[F.col(k).alias(f"gone_{k}") for k in keys]).distinct()
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"gone_{k}"))
+    return items.join(g, same, "left_anti")
+
+
+def find(items: DataFrame, owner: str, kind: str, target: str) -> DataFrame:
+    """Each owner's newest item of one key."""
+    hit = items.where((F.col("kind") == kind) & (F.col("target") == target))
+    newest = hit.groupBy(owner).agg(F.max_by(F.struct("item_id", "title", "time_s"), F.struct("time_s", "item_id")).alias("v"))
+    return newest.select(owner, "v.*")
+
+
 def cleared(items: DataFrame, since: Column) -> DataFrame:
     """What is left after entries from a time on are removed."""
     return items.where(F.col("time_s") < since)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagewright.functions.text import SPACE_BEFORE_CLOSE
+from pagewright.functions.text import SPACE_BEFORE_CLOSE, strip
 
 _BEFORE_CLOSE = re.compile(SPACE_BEFORE_CLOSE)
 
@@ -36,6 +36,19 @@ def reply_texts(reply: Column) -> Column:
     return F.when(F.forall(first, lambda t: t.isNotNull()) & (F.size(first) > 0), first).otherwise(plain)
 
 
+def reply_pairs(reply: Column) -> Column:
+    """array<struct<text,lang>> of a translation reply; the language is null where none was told."""
+    pairs = F.from_json(reply, "array<array<string>>")
+    told = F.transform(pairs, lambda p: F.struct(F.get(p, F.lit(0)).alias("text"), F.get(p, F.lit(1)).alias("lang")))
+    plain = F.transform(F.from_json(reply, "array<string>"), lambda t: F.struct(t.alias("text"), F.lit(None).cast("string").alias("lang")))
+    return F.when(F.forall(pairs, lambda p: p.isNotNull()) & (F.size(pairs) > 0), told).otherwise(plain)
+
+
+def is_of_use(text: Column, lang: Column, target: str) -> Column:
+    """Whether a translation replaces its original: it says something, and the original was in another language."""
+    return ~F.coalesce(lang == target, F.lit(False)) & (F.length(strip(F.coalesce(text, F.lit("")))) > 0)
+
+
 # fixed values: a marked part of a reply, any mark, and text before which no blank stands
 _MARK = re.compile(r"<a\s+i=(\d+)>([^<]*)</a>")
 _ANY_MARK = re.compile(r"</?[a-zA-Z][^>]*>")

@@ -140,3 +140,11 @@ def test_headings_without_anything_below_are_not_read(spark):
     rows = [(1, i, k, level, t, [(t, None, False)]) for i, (k, level, t) in enumerate(kinds)]
     df = spark.createDataFrame(rows, f"page_id bigint, pos int, kind string, level int, text string, spans {span}")
     assert sorted(r["pos"] for r in B.readable(df).collect()) == [1, 2, 3, 6]
+
+
+def test_items_are_removed_and_found_by_key(spark):
+    rows = [(1, 7, "url", "a", "A", 1.0), (2, 7, "url", "a", "B", 2.0), (3, 7, None, None, "C", 3.0), (4, 8, "url", "b", None, 4.0)]
+    df = spark.createDataFrame(rows, "item_id bigint, profile_id bigint, kind string, target string, title string, time_s double")
+    gone = spark.createDataFrame([("url", "b", "extra"), (None, None, "extra")], "kind string, target string, title string")
+    assert sorted(r["item_id"] for r in state.without(df, gone, ["kind", "target"]).collect()) == [1, 2]
+    assert [(r["profile_id"], r["item_id"]) for r in state.find(df, "profile_id", "url", "a").collect()] == [(7, 2)]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pagewright.functions import text as X
 from pagewright.operators import blocks as B
 from pagewright.operators import markdown as M
+from pagewright.operators import printed as R
 from pagewright.sources import store as J
 
 
@@ -164,3 +165,33 @@ def test_indents(spark):
     kinds = [("p", 0), ("h", 2), ("p", 0), ("h", 4), ("li", 0), ("h", 2)]
     df = blocks(spark, [(1, i, k, lv, "x", "") for i, (k, lv) in enumerate(kinds)])
     assert [r["indent"] for r in M.indents(df).orderBy("pos").collect()] == [0, 0, 2, 2, 4, 0]
+
+
+def test_printed_lines_are_joined():
+    full = "この村の水車は川のそばにあり、長いあいだ"
+    assert R.joined(f"{full}\n\n使われていません。\n\n次の段落です。") == f"{full}\n使われていません。\n\n次の段落です。"
+    assert R.joined(f"見出し\n\n{full}\n{full}") == f"見出し\n\n{full}\n{full}"  # a short line before
+    assert R.joined("One line here\n\nanother one here") == "One line here\n\nanother one here"
+    assert R.joined("The river-\nbank is a riverbank") == "The riverbank is a riverbank"
+    assert R.joined("A well-\nknown mill") == "A well-known mill"
+    assert R.joined("Pages 3-\nfour and A-\nB") == "Pages 3-\nfour and A-\nB"
+    assert R.joined("") == "" and R.joined("\n\n") == "\n\n"
+
+
+def test_durations_and_readings(spark):
+    rows = [("かわ、みず。", 4, 1), ("。かわ", 2, 0), ("abc, def: ghi", 0, 2), ("", 0, 0)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "n int, t string, m int, p int")
+    got = df.select("n", X.mora_count(F.col("t")).alias("m"), X.pause_count(F.col("t")).alias("p"), X.least_seconds(F.col("m"), F.col("p")).alias("s")).orderBy("n").collect()
+    assert [(r["m"], r["p"]) for r in got] == [(m, p) for _, m, p in rows]
+    assert all(abs(r["s"] - (0.95 * (0.27 + 0.154 * r["m"]) + 0.3 * r["p"])) < 1e-9 for r in got)
+    lines = ['1,2,3,4,5,6,7,8,"a,""b""",10', "1,2,3,4,5,6,7,8,*,10", "1,2,3,4,5,6,7,8,,10", "1,2", None]
+    df = spark.createDataFrame(list(enumerate(lines)), "n int, l string")
+    assert [r["v"] for r in df.select("n", X.pronunciation(F.col("l")).alias("v")).orderBy("n").collect()] == ['a,"b"', None, None, None, None]
+
+
+def test_replies_of_use(spark):
+    rows = [('["x", " "]', [("x", None, True), (" ", None, False)]), ('[["x", "de"], ["y", "en"], ["", "de"]]', [("x", "de", True), ("y", "en", False), ("", "de", False)])]
+    for reply, want in rows:
+        pairs = spark.range(1).select(F.explode(J.reply_pairs(F.lit(reply))).alias("p"))
+        got = pairs.select("p.text", "p.lang", J.is_of_use(F.col("p.text"), F.col("p.lang"), "en").alias("use")).collect()
+        assert [tuple(r) for r in got] == want
