@@ -349,18 +349,57 @@ def title_headings(spark, d):
     return b.groupBy("page_id").agg((~F.bool_or((F.col("pos") < 3) & (F.col("kind") == "h") & (n != "") & F.contains(t, n))).alias("title_line"))
 
 
-@_query(f"WITH {BLOCKS} SELECT page_id, max(pos) FILTER (WHERE regexp_matches(text, '{X.NEXT_LINK}')) AS next_pos, max(pos) FILTER (WHERE regexp_matches(text, '{X.PREVIOUS_LINK}')) AS previous_pos FROM blk WHERE {_LINKED.format(x='')} > 0 GROUP BY page_id HAVING next_pos IS NOT NULL OR previous_pos IS NOT NULL")
+_REL = "arg_max(url, (pos, -n)) FILTER (WHERE regexp_matches(t, '{r}'))"
+
+
+@_query(
+    f"""WITH {BLOCKS}, sp AS (SELECT page_id, links, pos, unnest(range(len(spans))) AS n, unnest(spans) AS s FROM blk),
+    l AS (SELECT page_id, pos, n, coalesce(s.text, '') AS t, links[s.link + 1] AS url FROM sp WHERE s.link IS NOT NULL)
+    SELECT * FROM (SELECT page_id, {_REL.format(r=X.NEXT_LINK)} AS next_url, {_REL.format(r=X.PREVIOUS_LINK)} AS previous_url FROM l GROUP BY page_id) WHERE next_url IS NOT NULL OR previous_url IS NOT NULL"""
+)
 def rel_links(spark, d):
-    """The last linked block that reads like "next" or "previous"."""
-    b = _blocks(spark, d).where(B.linked_chars(F.col("spans")) > 0)
-    at = lambda r: F.max(F.when(F.col("text").rlike(r), F.col("pos"))).cast("bigint")
-    out = b.groupBy("page_id").agg(at(X.NEXT_LINK).alias("next_pos"), at(X.PREVIOUS_LINK).alias("previous_pos"))
-    return out.where("next_pos IS NOT NULL OR previous_pos IS NOT NULL")
+    """Where the last block with a link that reads like "next" or "previous" leads, by its first such link."""
+    pages = _pages(spark, d, "page_id bigint, links array<string>, blocks array<struct<spans:array<struct<text:string,link:int>>>>")
+    linked = F.filter(F.flatten(F.transform("blocks", lambda b: F.reverse(F.coalesce(b["spans"], F.array().cast("array<struct<text:string,link:int>>"))))), lambda s: s["link"].isNotNull())
+    # blocks in order and each one's spans reversed: the last that reads so is the one
+    at = lambda r: F.get("links", F.try_element_at(F.filter(linked, lambda s: F.coalesce(s["text"], F.lit("")).rlike(r)), F.lit(-1))["link"])
+    out = once(pages, "page_id").select("page_id", at(X.NEXT_LINK).alias("next_url"), at(X.PREVIOUS_LINK).alias("previous_url"))
+    return out.where("next_url IS NOT NULL OR previous_url IS NOT NULL")
 
 
-@_query(f"WITH {BLOCKS} SELECT page_id, pos, text AS alt FROM blk WHERE len(list_filter(spans, lambda s: s.image)) > 0 AND len(list_filter(spans, lambda s: NOT (s.image OR {_solid('s.text')} = 0))) = 0")
+@_query(f"WITH {BLOCKS}, i AS (SELECT page_id, pos, text, spans FROM blk WHERE len(list_filter(spans, lambda s: s.image)) > 0 AND len(list_filter(spans, lambda s: NOT (s.image OR {_solid('s.text')} = 0))) = 0) SELECT page_id, pos, text AS alt, list_filter(list_transform(spans, lambda s: s.src), lambda x: x IS NOT NULL) AS sources FROM i")
 def page_images(spark, d):
-    return _blocks(spark, d).where(B.image_only(F.col("spans"))).select("page_id", F.col("pos").cast("bigint"), F.col("text").alias("alt"))
+    """Blocks that are pictures only, with the addresses of their pictures."""
+    b = _blocks(spark, d).where(B.image_only(F.col("spans")))
+    return b.select("page_id", F.col("pos").cast("bigint"), F.col("text").alias("alt"), F.filter(F.transform("spans", lambda s: s["src"]), lambda x: x.isNotNull()).alias("sources"))
+
+
+@_query("SELECT page_id, anchor, CAST(min(pos) AS BIGINT) AS pos FROM (SELECT page_id, pos, unnest(anchors) AS anchor FROM (SELECT page_id, unnest(range(len(blocks))) AS pos, unnest(list_transform(blocks, lambda b: b.anchors)) AS anchors FROM page_docs)) GROUP BY page_id, anchor")
+def anchor_places(spark, d):
+    """The block that a fragment leads to (here an escaped one of every anchor): the first that has the anchor."""
+    pages = table(spark, d, "page_docs", "page_id bigint, blocks array<struct<anchors:array<string>>>")
+    held = pages.select("page_id", F.posexplode("blocks").alias("pos", "b")).select("page_id", "pos", F.explode("b.anchors").alias("anchor"))
+    first = held.groupBy("page_id", U.unquote(F.col("anchor")).alias("key")).agg(F.min("pos").cast("bigint").alias("pos"))
+    link = F.concat(F.lit("https://a.example/x?y#"), F.replace(F.url_encode("anchor"), F.lit("+"), F.lit("%20")))
+    asked = held.select("page_id", "anchor").distinct().withColumn("key", U.unquote(U.fragment(link)))
+    return asked.join(first, ["page_id", "key"]).select("page_id", "anchor", "pos")
+
+
+def _in_korean(t: str) -> str:
+    return f"regexp_matches({t}, '[\\x{{AC00}}-\\x{{D7A3}}\\x{{1100}}-\\x{{11FF}}\\x{{3131}}-\\x{{318E}}]')"
+
+
+_PLAIN_TARGETS = SQL["translate_targets"].replace(" AND NOT regexp_matches(text, '[\\x{3040}-\\x{30FF}\\x{FF66}-\\x{FF9F}]')", "")
+_LABELLED = f"(SELECT page_id, 'ko' AS target FROM d UNION ALL SELECT page_id, 'en' FROM d WHERE coalesce(lower(regexp_extract(trim(coalesce(lang, '')), '^([^-_]*)', 1)), '') <> 'en')"
+
+
+@_query(f"WITH {BLOCKS}, o AS ({_PLAIN_TARGETS.split('WITH ' + BLOCKS, 1)[1].strip()}) SELECT o.page_id, o.pos, t.target FROM o JOIN {_LABELLED} t USING (page_id) WHERE t.target = 'en' OR NOT {_in_korean('o.text')}")
+def translate_targets_other(spark, d):
+    """Blocks to be translated into Korean (none that is Korean) and into English (none of a page labelled so)."""
+    pages = table(spark, d, "page_docs", f"page_id bigint, lang string, {FULL_BLOCKS}")
+    b = B.page_blocks(pages, "lang").where("kind IN ('h', 'p', 'li', 'quote')")
+    wanted = F.filter(F.array(F.lit("ko"), F.lit("en")), lambda t: B.is_to_translate(F.col("text"), F.col("spans"), F.col("lang"), t))
+    return b.select("page_id", F.col("pos").cast("bigint"), F.explode(wanted).alias("target"))
 
 
 @_query(f"WITH {BLOCKS}, l AS (SELECT page_id, pos, unnest(range(len(string_split(text, chr(10))))) AS line_no, unnest(string_split(text, chr(10))) AS line FROM blk) SELECT page_id, pos, CAST(line_no AS BIGINT) AS line_no, CAST(row_number() OVER (PARTITION BY page_id ORDER BY pos, line_no) AS BIGINT) AS hit_no FROM l WHERE contains(lower(line), 'cookie')")

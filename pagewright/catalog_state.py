@@ -127,11 +127,18 @@ def visit_log_rule(spark, d):
     return p.where((F.trim(F.coalesce("url", F.lit(""))) != "") & ~F.coalesce("note", F.lit("")).rlike("HTTP [45][0-9][0-9]")).select("page_id")
 
 
-@_query("SELECT page_id, note AS old_note, concat_ws(' | ', 'HTTP 404', nullif(note, '')) AS note FROM (SELECT DISTINCT page_id, note FROM page_docs)")
+@_query(
+    """SELECT page_id, concat_ws(' | ', CASE WHEN status >= 400 THEN 'HTTP ' || status END, nullif(note, ''), CASE WHEN removed > 0 THEN 'Removed ' || removed || ' ad/tracking links' END) AS note,
+    CASE WHEN status >= 400 AND (page_id % 2 = 0 OR coalesce(len(blocks), 0) = 0) THEN 'The site answered with HTTP ' || status || '.' END AS message
+    FROM (SELECT DISTINCT page_id, note, blocks, [200, 404, 503][page_id % 3 + 1] AS status, page_id % 4 AS removed FROM page_docs)"""
+)
 def error_notes(spark, d):
-    """Notes with a status in front."""
-    p = table(spark, d, "page_docs", "page_id bigint, note string").distinct()
-    return p.select("page_id", F.col("note").alias("old_note"), F.concat_ws(" | ", F.lit("HTTP 404"), F.nullif("note", F.lit(""))).alias("note"))
+    """Notes of pages with a status (here one of three) and removed links (here up to three), and the message that an empty
+    error page has (here every other page is emptied)."""
+    p = table(spark, d, "page_docs", "page_id bigint, note string, blocks array<struct<kind:string>>").select("page_id", "note", F.when(F.col("page_id") % 2 == 1, F.size("blocks")).otherwise(0).alias("n")).distinct()
+    status = F.element_at(F.array(F.lit(200), F.lit(404), F.lit(503)), (F.col("page_id") % 3 + 1).cast("int"))
+    blocks = F.when(F.col("n") > 0, F.array_repeat(F.lit(1), F.col("n"))).otherwise(F.array().cast("array<int>"))
+    return p.select("page_id", S.noted(F.col("note"), status, F.col("page_id") % 4).alias("note"), S.error_message(status, blocks).alias("message"))
 
 
 @_query(
@@ -245,3 +252,19 @@ def items_found(spark, d):
     i = _items(spark, d)
     key = i.where("kind = 'search'").agg(F.min("target")).first()[0]
     return S.find(i, "profile_id", "search", key or "").select("profile_id", "item_id", "title")
+
+
+@_query(
+    """WITH t AS (SELECT DISTINCT item_id, target, synced_at FROM items WHERE kind = 'url' AND target IS NOT NULL),
+    k AS (SELECT *, string_split(target, '#')[1] AS bare FROM t), q AS (SELECT *, string_split(bare, '?')[1] AS path FROM k),
+    n AS (SELECT item_id, synced_at, path || '?' || array_to_string(list_sort(list_filter(string_split(substr(bare, length(path) + 2), '&'), lambda x: x <> '')), '&') AS key FROM q)
+    SELECT key, arg_max(item_id, (synced_at, item_id)) AS item_id, CAST(count(DISTINCT item_id) AS BIGINT) AS requests FROM n GROUP BY key"""
+)
+def search_cache(spark, d):
+    """The newest item of every address whose parameters are the same in any order."""
+    i = table(spark, d, "items").where("kind = 'url' AND target IS NOT NULL").select("item_id", "target", "synced_at")
+    bare = F.substring_index("target", "#", 1)
+    path = F.substring_index(bare, "?", 1)
+    fields = F.array_sort(F.filter(F.split(F.substring(bare, F.length(path) + 2, F.length(bare)), "&"), lambda x: x != ""))
+    key = F.concat(path, F.lit("?"), F.array_join(fields, "&"))
+    return i.groupBy(key.alias("key")).agg(F.max_by("item_id", F.struct("synced_at", "item_id")).alias("item_id"), F.countDistinct("item_id").alias("requests"))

@@ -279,6 +279,15 @@ def request(groups: Column) -> Column:
     return F.when(F.size(groups) > 1, marked).otherwise(X.escape(X.strip(F.get(groups, F.lit(0))["text"])))
 
 
+def is_to_translate(text: Column, spans: Column, declared: Column, target: Column) -> Column:
+    """Whether a block is translated into a language: it has words, is no picture or address alone, and is not in that
+    language; English can't be told by its letters, so the page's label decides."""
+    kana, hangul = text.rlike("[\u3041-\u3096\u30a1-\u30fa]"), text.rlike("[\uac00-\ud7a3\u1100-\u11ff\u3131-\u318e]")
+    labelled = F.coalesce(F.lower(F.regexp_extract(F.trim(declared), "^([^-_]*)", 1)), F.lit(""))
+    there = F.when(target == "ja", kana).when(target == "ko", hangul).otherwise(labelled == target)
+    return X.has_letter(text) & ~text.rlike(X.URL_ONLY) & ~image_only(spans) & ~there
+
+
 def batches(targets: DataFrame, items: int = 50, chars: int = 4000, top: Column | None = None) -> DataFrame:
     """(page_id, pos, batch): requests (column ``request``) in order, a new batch at ``items`` requests or where the
     characters would pass ``chars``; a longer one has its own. With ``top``, those from that place on come first. The

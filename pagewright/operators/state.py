@@ -92,6 +92,17 @@ def unseen(pages: DataFrame, seen: DataFrame, key: str) -> DataFrame:
     return first.select(key, "r.*").join(seen.select(key).distinct(), key, "left_anti")
 
 
+def noted(note: Column, status: Column, removed: Column) -> Column:
+    """A page's note with its status in front if that is an error, and behind how many links were removed."""
+    gone = F.when(removed > 0, F.concat(F.lit("Removed "), removed.cast("string"), F.lit(" ad/tracking links")))
+    return F.concat_ws(" | ", F.when(status >= 400, F.concat(F.lit("HTTP "), status.cast("string"))), F.nullif(note, F.lit("")), gone)
+
+
+def error_message(status: Column, blocks: Column) -> Column:
+    """The paragraph that stands for an error page without blocks; null otherwise."""
+    return F.when((status >= 400) & (F.coalesce(F.size(blocks), F.lit(0)) <= 0), F.concat(F.lit("The site answered with HTTP "), status.cast("string"), F.lit(".")))
+
+
 def numbered_names(files: DataFrame, name: str, order: str) -> DataFrame:
     """File names made unique: a number in brackets before the extension for every later one."""
     n = F.row_number().over(W.partitionBy(name).orderBy(order)) - 1
