@@ -490,7 +490,12 @@ def speech_chunks(spark, d):
     return b.select("page_id", F.col("pos").cast("bigint"), F.posexplode(X.reading_pieces("speak")).alias("n", "piece")).withColumn("n", F.col("n").cast("bigint"))
 
 
-@_query()
+@_query(
+    f"""WITH RECURSIVE {BLOCKS}, w AS (SELECT page_id, text, row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS place FROM blk WHERE pos % 2 = 1),
+    g AS (SELECT w.page_id, w.place, (SELECT min(b.pos) FROM blk b WHERE b.page_id = w.page_id AND b.text = w.text) AS shown FROM w WHERE place = 0
+    UNION ALL SELECT w.page_id, w.place, min(b.pos) AS shown FROM g JOIN w ON w.page_id = g.page_id AND w.place = g.place + 1 JOIN blk b ON b.page_id = w.page_id AND b.text = w.text AND b.pos > g.shown GROUP BY w.page_id, w.place)
+    SELECT page_id, CAST(place AS BIGINT) AS place, CAST(shown AS BIGINT) AS shown FROM g"""
+)
 def view_places(spark, d):
     """Where the blocks of a reduced page (here every other one) stand in the whole one, found by their texts in order."""
     b = _blocks(spark, d)

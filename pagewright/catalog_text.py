@@ -70,10 +70,16 @@ def locale_codes(spark, d):
     return table(spark, d, "page_docs", "lang string").where("lang IS NOT NULL").distinct().select("lang", X.readable_code(F.col("lang")).alias("readable"))
 
 
-@_query()
+# letters and digits outside the Japanese ranges, by what they are not
+_JAPANESE = r"ぁ-ヿ㐀-鿿\x{F900}-\x{FAFF}ｦ-ﾟ"
+_MARKS = r"\x{E31}\x{E34}-\x{E3A}\x{E4D}\x{24B6}-\x{24E9}"
+_RUN_PATTERN = rf"[ぁ-ゟ]+|[゠-ヿｦ-ﾟ]+|[㐀-鿿\x{{F900}}-\x{{FAFF}}々〆ヶ]+|(?:[^\P{{L}}{_JAPANESE}]|[^\P{{N}}{_JAPANESE}]|[{_MARKS}])+|[^\s\p{{L}}\p{{N}}{_MARKS}]+"
+
+
+@_query(f"WITH r AS (SELECT doc_id, regexp_extract_all(text, '{_RUN_PATTERN}') AS runs FROM {_D}) SELECT doc_id, CAST(unnest(range(len(runs))) AS BIGINT) AS run_no, unnest(runs) AS run FROM r")
 def script_runs(spark, d):
     """Runs of one script."""
-    return _docs(spark, d).select("doc_id", F.posexplode(X.script_runs(F.col("text"))).alias("run_no", "run"))
+    return _docs(spark, d).select("doc_id", F.posexplode(X.script_runs(F.col("text"))).alias("run_no", "run")).withColumn("run_no", F.col("run_no").cast("bigint"))
 
 
 @_query()
@@ -191,10 +197,14 @@ def speech_input(spark, d):
     return _docs(spark, d).select("doc_id", X.speech_input("text", F.coalesce(F.col("lang"), F.lit("na"))).alias("spoken"))
 
 
-@_query()
+@_query(f"SELECT doc_id, text AS labelled, text AS marked, text AS named FROM {_D}")
 def decoded_bytes(spark, d):
-    """Texts from bytes without a declared charset."""
-    return _docs(spark, d).select("doc_id", X.decoded(F.encode("text", "UTF-8"), F.lit(None).cast("string")).alias("text"))
+    """Texts from bytes: of a declared charset, of UTF-8 with a mark in front, and of a charset named in their beginning."""
+    docs = _docs(spark, d)
+    utf8, none = F.encode("text", "UTF-8"), F.lit(None).cast("string")
+    head = '<meta charset="utf-8">'
+    named = X.decoded(F.concat(F.encode(F.lit(head), "UTF-8"), utf8), none)
+    return docs.select("doc_id", X.decoded(F.encode("text", "UTF-16LE"), F.lit("utf-16-le")).alias("labelled"), X.decoded(F.concat(F.unhex(F.lit("EFBBBF")), utf8), F.lit("utf-8")).alias("marked"), F.substring(named, len(head) + 1, 2**30).alias("named"))
 
 
 _TYPES = ["text/html; charset=UTF-8", "application/xhtml+xml", "application/pdf", "text/plain; Charset=\"shift_jis\"", "application/ld+json", "image/png", ""]

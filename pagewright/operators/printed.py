@@ -44,7 +44,7 @@ def hyphens(documents: DataFrame) -> DataFrame:
 
 
 # fixed values: Japanese signs and letters, and signs that end a sentence of them
-_JAPANESE = re.compile("[、-ヿ㐀-鿿豈-﫿！-￯]")
+_JAPANESE = re.compile("[、-ヿ㐀-鿿\uf900-\ufaff！-￯]")
 _ENDS = "。．！？!?」』）)"
 _HYPHENED = re.compile(r"([A-Za-z]+)-$")
 _GOES_ON = re.compile("[a-z][A-Za-z]*")
