@@ -30,7 +30,7 @@ from pagewright.sources.tables import table
 
 UP = "A-ZÀ-ÖØ-ÞĀĂĄĆČĎĐĒĘĚĞĢĪĶĹĻŁŃŅŇŐŒŔŘŚŞŠŤŪŮŰŹŻŽА-ЯЁ"
 LOW = "a-zß-öø-ÿāăąćčďđēęěğģīķĺļłńņňőœŕřśşšťūůűźżžа-яё"
-CJK = "぀-ヿㇰ-ㇿ㐀-䶿一-鿿豈-﫿"
+CJK = "぀-ヿㇰ-ㇿ㐀-䶿一-鿿\uf900-\ufaff"
 OPEN = r"\"'“„«‹(\[¿¡「『（【"
 CLOSE = r"”“\"'’»›)\]」』）】"
 
