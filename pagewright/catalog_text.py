@@ -225,10 +225,26 @@ def content_routes(spark, d):
     return t.select("site_id", "content_type", "mime", F.lower(F.regexp_extract("content_type", r'(?i)charset=\s*"?([^\s;"]*)', 1)).alias("charset"), route.alias("route"))
 
 
-@_query()
+def _class(holds: Callable[[str], bool]) -> str:
+    """The characters of which something holds as the inside of a character class."""
+    out, start = [], None
+    for c in range(0x20, 0x20001):
+        inside = not 0xD800 <= c < 0xE000 and c < 0x20000 and holds(chr(c))
+        if inside and start is None:
+            start = c
+        elif not inside and start is not None:
+            out.append(f"\\x{{{start:X}}}-\\x{{{c - 1:X}}}")
+            start = None
+    return "".join(out)
+
+
+_CELLS = f"length(text) + length(regexp_replace(text, '[^{_class(lambda c: L.char_width(c) == 2)}]', '', 'g')) - length(regexp_replace(text, '[^\\x00-\\x1F{_class(lambda c: L.char_width(c) == 0)}]', '', 'g'))"
+
+
+@_query(f"SELECT doc_id, CAST(CASE WHEN strlen(text) = length(text) THEN length(text) ELSE {_CELLS} END AS BIGINT) AS cells FROM {_D}")
 def cell_widths(spark, d):
     """How many cells of a terminal each text takes."""
-    return _docs(spark, d).select("doc_id", L.cell_width("text").alias("cells"))
+    return _docs(spark, d).select("doc_id", L.cell_width("text").cast("bigint").alias("cells"))
 
 
 @_query()
